@@ -138,3 +138,46 @@ def percentiles(
         part = F.max(pos - F.floor(pos))
         columns.append((low + (high - low) * part).alias(name))
     return below.groupBy(*keys).agg(*columns)
+
+
+def lag_in_chunks(df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, name: str) -> DataFrame:
+    """``lag(value)`` within ``keys`` by ``order``, computed chunk by chunk.
+
+    ``chunk`` must grow with the first order column. The window runs inside (keys,
+    chunk); the first row of a chunk takes the last value of the chunk before it,
+    so no single key has to fit in one task.
+    """
+    marked = df.withColumn("_chunk", chunk)
+    last = marked.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    per_key = Window.partitionBy(*keys).orderBy("_chunk")
+    edges = last.select(*keys, "_chunk", F.lag("_last").over(per_key).alias("_before"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    previous = F.coalesce(F.lag(F.struct(value)).over(inside), F.col("_before"))
+    return (
+        marked.join(edges, [*keys, "_chunk"])
+        .withColumn(name, previous[value])
+        .drop("_chunk", "_before")
+    )
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate as scalar subqueries, without a join."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in one_row.columns])
+
+
+def sliced_row_number(df: DataFrame, keys: list[str], order: list[str], coarse: Column, name: str) -> DataFrame:
+    """1-based row_number within ``keys``, ordered inside slices of a bounded coarse key.
+
+    ``coarse`` must be an order-preserving coarsening of the first order column.
+    """
+    sliced = df.withColumn("_slice", coarse)
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return (
+        sliced.join(offsets, [*keys, "_slice"])
+        .withColumn(name, F.col("_off") + F.row_number().over(inside))
+        .drop("_slice", "_off")
+    )

@@ -48,7 +48,10 @@ def summaries(spark, d) -> DataFrame:
 
 
 def summaries_with_tardiness(spark, d) -> DataFrame:
-    return summaries(spark, d).join(tables.tardiness(spark, d), "user_id", "left")
+    """Activity totals and tardiness of every enrolled student."""
+    totals = summaries(spark, d).drop("course_id")
+    roster = members(spark, d).select("course_id", "user_id")
+    return roster.join(totals, "user_id", "left").join(tables.tardiness(spark, d), "user_id", "left")
 
 
 def completion(spark, d) -> DataFrame:
