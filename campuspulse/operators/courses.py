@@ -303,13 +303,18 @@ def grade_distribution(members: DataFrame, score: str = "final_score") -> DataFr
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None) -> DataFrame:
-    """Equal-width bins over the column's own range; the last bin is closed."""
-    bounds = df.agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
+    """Equal-width bins over the column's own range; the last bin is closed.
+
+    A constant column gets a range of one around its value.
+    """
+    low, high = F.min(column).cast("double"), F.max(column).cast("double")
+    pad = F.when(low == high, 0.5).otherwise(0.0)
+    bounds = df.agg((low - pad).alias("_lo"), (high + pad).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(column) - F.col("_lo"), width)))
+    b = F.least(F.lit(bins - 1), F.floor((F.col(column) - F.col("_lo")) / width))
     return (
         attach_row(df.where(F.col(column).isNotNull()), bounds)
-        .groupBy(*(by or []), F.coalesce(b, F.lit(0)).alias("bin"))
+        .groupBy(*(by or []), b.alias("bin"))
         .agg(F.count("*").alias("n"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from campuspulse.plans import activity_queries, course_queries, ml_queries, stats_queries  # noqa: F401
+from campuspulse.plans import activity_queries, course_queries, ml_queries, stats_queries, stream_queries  # noqa: F401
 from campuspulse.plans.registry import ORACLES, QUERIES
 
 
