@@ -325,16 +325,16 @@ def box_stats(members: DataFrame, minimum: int = 5, score: str = "final_score",
     iqr = F.col("q3") - F.col("q1")
     low, high = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     s = F.col(score)
-    whiskers = (
+    return (
         members.where(s.isNotNull()).join(q, by)
-        .groupBy(by)
+        .groupBy(by, "q1", "median", "q3")
         .agg(
             F.count("*").alias("n"),
             F.min(F.when(s >= low, s)).alias("whisker_low"), F.max(F.when(s <= high, s)).alias("whisker_high"),
             F.count_if((s < low) | (s > high)).alias("outliers"),
         )
+        .where(F.col("n") >= minimum)
     )
-    return q.join(whiskers, by).where(F.col("n") >= minimum)
 
 
 def recent_students(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from campuspulse.functions import features as names
 from campuspulse.functions.exprs import (
+    SLOTS,
     course_weeks,
     day_block,
     days_since,
@@ -16,10 +17,11 @@ from campuspulse.functions.exprs import (
     iso_week,
     ratio_or_null,
     safe_ratio,
+    slot_of_day,
 )
 from campuspulse.operators.access import hourly_access_terms
 from campuspulse.operators.activity import KEYS
-from campuspulse.operators.calendar import BLOCKS, cnt_if, dct_terms, week_block_shares
+from campuspulse.operators.calendar import BLOCKS, cnt_if, dct_terms, week_block_shares, with_dominant
 from campuspulse.operators.sessions import regularity
 from campuspulse.operators.weekly import trajectory_aggs, workload_aggs, weekly_series
 
@@ -27,6 +29,35 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
+def keys_of(df: DataFrame) -> list[str]:
+    """(course_id, user_id), or user_id alone for frames that carry no course."""
+    return [k for k in KEYS if k in df.columns]
+
+
+def activity_basics(hours: DataFrame, carry: tuple[str, ...] = (), evening_end: int = 22) -> DataFrame:
+    """Views, participations, seconds, gaps between active hours, slots and span per student.
+
+    One aggregate over hourly rows with ``parts`` and ``seconds``; ``carry`` names
+    columns that are constant per student.
+    """
+    w = Window.partitionBy(*KEYS).orderBy("hour")
+    rows = hours.withColumn("_gap", hours_between(F.col("hour"), F.lag("hour").over(w))).withColumn(
+        "_slot", slot_of_day(F.col("hour"), evening_end)
+    )
+    long_gap = F.when(F.col("_gap") > 0.5, F.col("_gap"))
+    counts = rows.groupBy(*KEYS, *carry).agg(
+        F.sum("cnt").alias("page_views"),
+        F.sum("parts").alias("participations"),
+        F.sum("seconds").alias("total_activity_time"),
+        F.count("*").alias("unique_active_hours"),
+        F.coalesce(F.avg(long_gap), zero()).alias("avg_gap_hours"),
+        F.coalesce(F.stddev_pop(long_gap), zero()).alias("gap_std_hours"),
+        F.floor(hours_between(F.max("hour"), F.min("hour")) / 24).alias("activity_span_days"),
+        *[cnt_if(F.col("_slot") == s).alias(f"{s}_activity") for s in SLOTS],
+    )
+    return with_dominant(counts)
+
+
 def activity_profile(hours: DataFrame, gap_hours: float = 1.0) -> DataFrame:
     """All activity features in one pass over hourly rows partitioned by student.
 
@@ -35,6 +66,7 @@ def activity_profile(hours: DataFrame, gap_hours: float = 1.0) -> DataFrame:
     Hour rows fold into week rows, week rows into one row per student; both steps
     and all windows reuse that partitioning, so no further shuffle is added.
     """
+    totals = [c for c in ("parts", "seconds") if c in hours.columns]
     w = Window.partitionBy(*KEYS).orderBy("hour")
     weight, log_share = hourly_access_terms(F.col("start_at"), F.col("end_at"), KEYS)
     rows = (
@@ -59,6 +91,7 @@ def activity_profile(hours: DataFrame, gap_hours: float = 1.0) -> DataFrame:
         (F.var_pop(inter) * F.count(inter)).alias("g_m2"),
         F.sum("_w").alias("a_n"),
         F.sum("_wlog").alias("a_log"),
+        *[F.sum(x).alias(x) for x in totals],
         *[cnt_if(F.col("_block") == b).alias(f"b_{b}") for b in BLOCKS],
         *[c.alias(f"s_{n}") for n, c in share.items()],
         *[c.alias(f"d_{k}") for k, c in enumerate(dct_terms())],
@@ -75,7 +108,8 @@ def activity_profile(hours: DataFrame, gap_hours: float = 1.0) -> DataFrame:
     weeks_long = course_weeks(F.min("start_at"), F.min("end_at"))
     count = F.when(n >= 2, g_n + 1).otherwise(0)
     return series.groupBy(*KEYS).agg(
-        n.alias("event_count"),
+        n.alias("total_page_views"),
+        *([F.sum("parts").alias("total_participations")] if "parts" in totals else []),
         count.alias("session_count"),
         F.coalesce(F.min("g_min"), zero()).alias("session_gap_min"),
         F.coalesce(F.max("g_max"), zero()).alias("session_gap_max"),
@@ -96,14 +130,13 @@ def activity_profile(hours: DataFrame, gap_hours: float = 1.0) -> DataFrame:
 
 
 def student_engagement_features(
-    members: DataFrame, profile: DataFrame, totals: DataFrame, modules: DataFrame, null_score: str = "keep"
+    members: DataFrame, profile: DataFrame, modules: DataFrame, null_score: str = "keep"
 ) -> DataFrame:
     """The full student feature row: ids, target and 54 features, zero where nothing was seen.
 
-    ``totals`` has (course_id, user_id, total_page_views, total_participations),
-    ``modules`` (course_id, user_id, first_module_day).
+    ``modules`` has first_module_day per student.
     """
-    joined = members.join(profile, KEYS, "left").join(totals, KEYS, "left").join(modules, KEYS, "left")
+    joined = members.join(profile, KEYS, "left").join(modules, keys_of(modules), "left")
     kinds = dict(joined.dtypes)
     # First assignment access is part of the row but is never observed.
     columns = [
@@ -229,10 +262,15 @@ def max_norm_engagement(df: DataFrame) -> DataFrame:
 
 
 def course_student_frame(
-    members: DataFrame, summaries: DataFrame, sub_stats: DataFrame, n_assignments: DataFrame, exams: DataFrame | None = None
+    members: DataFrame, summaries: DataFrame, tardiness: DataFrame, sub_stats: DataFrame, n_assignments: DataFrame,
+    exams: DataFrame | None = None,
 ) -> DataFrame:
     """Scores, activity, tardiness and submission features per enrolled student."""
-    df = members.join(summaries, KEYS, "left").join(sub_stats, KEYS, "left")
+    seen = members.join(summaries, keys_of(summaries), "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0)) for c in ("page_views", "participations")}
+    )
+    # Course maxima need the activity counts only, so they are taken before the wider joins.
+    df = max_norm_engagement(seen).join(tardiness, keys_of(tardiness), "left").join(sub_stats, keys_of(sub_stats), "left")
     if exams is not None:
         df = df.join(exams, KEYS, "left")
     filled = [
@@ -243,12 +281,12 @@ def course_student_frame(
     df = df.join(n_assignments, "course_id", "left").withColumn(
         "submission_rate", F.col("num_submissions") / F.greatest(F.coalesce("n_assignments", F.lit(1)), F.lit(1))
     )
-    return max_norm_engagement(tardiness_rates(df.drop("n_assignments")))
+    return tardiness_rates(df.drop("n_assignments"))
 
 
 def grade_prediction_frame(members: DataFrame, summaries: DataFrame, flags: DataFrame) -> DataFrame:
     """Enrolments joined with summaries and submission flags, plus the composite score."""
-    df = members.join(summaries, KEYS).join(flags, KEYS, "left")
+    df = members.join(summaries, keys_of(summaries)).join(flags, keys_of(flags), "left")
     df = df.withColumn("late_pct", ratio_or_null(F.col("late_count"), F.col("submission_count"))).withColumn(
         "missing_pct", ratio_or_null(F.col("missing_count"), F.col("submission_count"))
     )
@@ -285,15 +323,12 @@ def activity_level(df: DataFrame, by: str = "course_id", value: str = "page_view
     )
 
 
-def early_warning_frame(
-    members: DataFrame, summaries: DataFrame, tardiness: DataFrame, completion: DataFrame, day: DataFrame
-) -> DataFrame:
+def early_warning_frame(members: DataFrame, basics: DataFrame, tardiness: DataFrame, completion: DataFrame) -> DataFrame:
     """Enrolment, activity, tardiness, modules and time of day; a missing score counts as failed."""
     df = (
-        members.join(summaries, KEYS, "left")
-        .join(tardiness, "user_id", "left")
-        .join(completion, KEYS, "left")
-        .join(day, KEYS, "left")
+        members.join(basics, keys_of(basics), "left")
+        .join(tardiness, keys_of(tardiness), "left")
+        .join(completion, keys_of(completion), "left")
         .withColumn("failed", failed(F.col("final_score"), "fail"))
         .withColumn("dominant_time", F.coalesce("dominant_time", F.lit("none")))
     )
@@ -314,13 +349,23 @@ def staff_roster(enrollments: DataFrame) -> DataFrame:
     )
 
 
-def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame) -> DataFrame:
-    """Events of rostered users between the start and end of their course (inclusive)."""
+def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame, salts: int = 16) -> DataFrame:
+    """Events of rostered users between the start and end of their course (inclusive).
+
+    The join works on raw events, so a user's rows are spread over ``salts`` tasks
+    and the much smaller roster is repeated once per salt.
+    """
     windows = courses.select("course_id", "start_at", "end_at")
-    bounds = roster.select(*KEYS).join(windows, "course_id")
-    return events.join(
-        bounds, (events.user_id == bounds.user_id) & events.ts.between(bounds.start_at, bounds.end_at)
-    ).drop(bounds.user_id)
+    bounds = (
+        roster.select(*KEYS).join(windows, "course_id")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    spread = events.withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int"))
+    return (
+        spread.join(bounds, ["user_id", "_salt"])
+        .where(F.col("ts").between(F.col("start_at"), F.col("end_at")))
+        .drop("_salt")
+    )
 
 
 def instructor_features(views: DataFrame, staff: DataFrame, courses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from campuspulse.functions import exprs
 from campuspulse.operators import access, activity, calendar, frames, sessions, weekly
 from campuspulse.plans import inputs
 from campuspulse.plans.registry import add_cte, big, query, rnd
+from campuspulse.session import materialise
 from campuspulse.sources import tables
 
 WEEKS = 30 / 7
@@ -309,7 +310,7 @@ def access_time_pct(spark, d):
     f"SELECT course_id, user_id, module_id, state, CAST(rk AS DOUBLE) AS completion_rank, completers AS completers_in_module, {rnd('norm_rank', 'completion_rank_normalized')} FROM ranked",
 )
 def module_rank(spark, d):
-    ranked = access.module_ranks(tables.module_progress(spark, d))
+    ranked = access.module_ranks(materialise(tables.module_progress(spark, d)))
     return ranked.select(
         "course_id", "user_id", "module_id", "state", F.col("completion_rank").cast("double").alias("completion_rank"),
         "completers_in_module", "completion_rank_normalized",
@@ -321,7 +322,7 @@ def module_rank(spark, d):
     "SELECT course_id, module_id, count(*) AS completers, CAST(max(rk) AS BIGINT) AS max_rank FROM ranked WHERE state = 'completed' GROUP BY ALL",
 )
 def module_summary(spark, d):
-    return access.module_summary(access.module_ranks(tables.module_progress(spark, d)))
+    return access.module_summary(access.module_ranks(materialise(tables.module_progress(spark, d))))
 
 
 @query(
@@ -348,7 +349,7 @@ EARLY_SQL = f"""
 def early_access_score(spark, d):
     done = inputs.completion(spark, d).select(*activity.KEYS, "first_module_completed_at")
     students = inputs.members(spark, d).select(*activity.KEYS).join(done, activity.KEYS, "left")
-    return access.early_access_rank(students)
+    return access.early_access_rank(materialise(students))
 
 
 @query(
@@ -360,7 +361,7 @@ def early_access_score(spark, d):
 )
 def module_timing(spark, d):
     """Module timing, activity and grade per enrolled student."""
-    timing = access.module_timing(access.module_ranks(tables.module_progress(spark, d)))
+    timing = access.module_timing(access.module_ranks(materialise(tables.module_progress(spark, d))))
     day = calendar.time_of_day(inputs.hours(spark, d), evening_end=22)
     views = sum((F.col(f"{s}_activity") for s in exprs.SLOTS[1:]), F.col("morning_activity"))
     day = day.select(*activity.KEYS, views.alias("total_page_views"), "dominant_time")
@@ -435,7 +436,7 @@ def zscore_in_course(spark, d):
     columns = ["session_count", "session_gap_mean", "session_regularity", "sessions_per_week",
                "total_page_views", "total_participations", "weekly_range"]
     table = inputs.engagement(spark, d).select(*activity.KEYS, *columns)
-    z = frames.zscore_within(table, columns)
+    z = frames.zscore_within(materialise(table), columns)
     return z.select(*activity.KEYS, *[f"{c}_norm" for c in columns])
 
 
@@ -458,8 +459,7 @@ def zscore_in_course(spark, d):
 def early_warning_features(spark, d):
     """Enrolment, activity, tardiness, module and time-of-day features per student."""
     table = frames.early_warning_frame(
-        inputs.members(spark, d), inputs.summaries(spark, d), tables.tardiness(spark, d),
-        inputs.completion(spark, d), calendar.time_of_day(inputs.hours(spark, d), evening_end=22),
+        inputs.members(spark, d), inputs.basics(spark, d).drop("final_score"), tables.tardiness(spark, d), inputs.completion(spark, d)
     )
     return table.select(
         *activity.KEYS, "final_score", "failed", "page_views", "participations", "total_activity_time",

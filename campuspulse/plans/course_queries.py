@@ -9,6 +9,7 @@ from campuspulse.operators import courses, frames, ranks
 from campuspulse.operators.activity import KEYS, daily_activity as daily
 from campuspulse.plans import inputs
 from campuspulse.plans.registry import add_cte, big, query, rnd
+from campuspulse.session import materialise
 from campuspulse.sources import readers, tables
 
 
@@ -21,10 +22,14 @@ def n_assignments(spark, d):
     return tables.assignments(spark, d).groupBy("course_id").agg(F.count("*").alias("n_assignments"))
 
 
+def user_stats(spark, d, variant="population"):
+    """Submission statistics per user."""
+    return frames.submission_stats(tables.submissions(spark, d), ["user_id"], variant)
+
+
 def user_sub_stats(spark, d, variant="population"):
-    """Submission statistics per student, reduced before the join with enrolments."""
-    stats = frames.submission_stats(tables.submissions(spark, d), ["user_id"], variant)
-    return stats.join(inputs.members(spark, d).select(*KEYS), "user_id")
+    """The same with the student's course, reduced before the join with enrolments."""
+    return user_stats(spark, d, variant).join(inputs.members(spark, d).select(*KEYS), "user_id")
 
 
 # --- frames -----------------------------------------------------------------------
@@ -124,8 +129,8 @@ ENGAGE = "page_views / greatest(max(page_views) OVER (PARTITION BY course_id), 1
 
 def student_frame(spark, d):
     return frames.course_student_frame(
-        inputs.members(spark, d).select(*KEYS, "final_score"), inputs.summaries_with_tardiness(spark, d),
-        user_sub_stats(spark, d), n_assignments(spark, d), exam_scores(spark, d),
+        inputs.members(spark, d).select(*KEYS, "final_score"), inputs.user_totals(spark, d), tables.tardiness(spark, d),
+        user_stats(spark, d), n_assignments(spark, d), exam_scores(spark, d),
     )
 
 
@@ -153,8 +158,8 @@ def course_student_frame(spark, d):
 def baseline_frame(spark, d):
     """The variant with sample deviations, first score in time and zero fill."""
     frame = frames.course_student_frame(
-        inputs.members(spark, d).select(*KEYS, "final_score"), inputs.summaries_with_tardiness(spark, d),
-        user_sub_stats(spark, d, "sample"), n_assignments(spark, d),
+        inputs.members(spark, d).select(*KEYS, "final_score"), inputs.user_totals(spark, d), tables.tardiness(spark, d),
+        user_stats(spark, d, "sample"), n_assignments(spark, d),
     )
     return frame.select(
         *KEYS, F.col("final_score").alias("target"), "page_views", "num_submissions",
@@ -168,7 +173,7 @@ PLEVELS = """CASE WHEN participations > 0 THEN ntile(3) OVER (PARTITION BY cours
 
 
 def levelled(spark, d):
-    totals = inputs.summaries(spark, d)
+    totals = materialise(inputs.summaries(spark, d))
     return frames.activity_level(frames.activity_level(totals, value="page_views"), value="participations")
 
 
@@ -190,8 +195,7 @@ def activity_level(spark, d):
         FROM totals t LEFT JOIN flags f ON f.user_id = t.user_id)""".replace("SELECT *,", "SELECT course_id, user_id, " + rnd("lp", "late_pct") + ", " + rnd("mp", "missing_pct") + ",").replace("EXCLUDE_MARK", ""),
 )
 def grade_prediction_frame(spark, d):
-    per_user = frames.submission_flags(flagged(spark, d), ["user_id"])
-    flags = per_user.join(inputs.members(spark, d).select(*KEYS), "user_id")
+    flags = frames.submission_flags(flagged(spark, d), ["user_id"])
     frame = frames.grade_prediction_frame(inputs.members(spark, d).select(*KEYS), levelled(spark, d), flags)
     return frame.select(*KEYS, "late_pct", "missing_pct", "engagement_score")
 
@@ -494,9 +498,9 @@ add_cte("pv", f"SELECT *, {URL} AS url FROM act", ["act"])
 def url_parse(spark, d):
     url = F.col("url")
     return (
-        tables.page_views(spark, d)
+        tables.page_view_counts(spark, d)
         .groupBy(exprs.course_id_from_url(url).cast("double").alias("url_course"), exprs.is_resource_url(url).alias("is_resource"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("cnt").alias("n"))
     )
 
 
@@ -518,7 +522,7 @@ def page_url_parse(spark, d):
     (SELECT course_id, user_id, count(DISTINCT url) AS viewed FROM pv WHERE regexp_matches(url, '/(files|pages)/') GROUP BY ALL) s
     JOIN (SELECT course_id, count(DISTINCT url) AS resources FROM pv WHERE regexp_matches(url, '/(files|pages)/') GROUP BY ALL) r USING (course_id)""")
 def resource_view_pct(spark, d):
-    views = tables.page_views(spark, d).where(exprs.is_resource_url(F.col("url"))).select(*KEYS, "url").distinct()
+    views = tables.page_view_counts(spark, d).where(exprs.is_resource_url(F.col("url"))).select(*KEYS, "url")
     totals = views.select("course_id", "url").distinct().groupBy("course_id").agg(F.count("*").alias("resources"))
     return courses.resource_view_share(views, totals)
 

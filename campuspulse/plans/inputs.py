@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from campuspulse.operators import access, activity, calendar, frames, sessions
+from campuspulse.functions.exprs import days_since
+from campuspulse.operators import access, activity, frames
 from campuspulse.sources import tables
 
 MODULE_START = "1995-01-01 00:00:00"
@@ -16,8 +17,12 @@ def members(spark, d) -> DataFrame:
 
 
 def user_hours(spark, d) -> DataFrame:
-    """(user_id, hour, first_ts, last_ts, cnt): the pre-aggregated click stream."""
-    return activity.hourly(tables.activity(spark, d))
+    """(user_id, hour, first_ts, last_ts, cnt, parts, seconds): the pre-aggregated click stream.
+
+    Unused measures are pruned from the aggregate by the optimizer.
+    """
+    part = F.when(F.col("kind").isin(*tables.PARTICIPATION_KINDS), F.col("cnt")).otherwise(0)
+    return activity.hourly(tables.activity(spark, d), parts=F.sum(part), seconds=F.sum("seconds"))
 
 
 def hours(spark, d) -> DataFrame:
@@ -36,22 +41,19 @@ def profile(spark, d) -> DataFrame:
     return frames.activity_profile(dated_hours(spark, d))
 
 
-def summaries(spark, d) -> DataFrame:
-    """Per-student views, participations and activity seconds (course, user)."""
+def user_totals(spark, d) -> DataFrame:
+    """Views, participations and activity seconds per user."""
     part = F.col("kind").isin(*tables.PARTICIPATION_KINDS)
-    per_user = tables.activity(spark, d).groupBy("user_id").agg(
+    return tables.activity(spark, d).groupBy("user_id").agg(
         F.sum("cnt").alias("page_views"),
         F.sum(F.when(part, F.col("cnt")).otherwise(0)).alias("participations"),
         F.sum("seconds").alias("total_activity_time"),
     )
-    return per_user.join(members(spark, d).select("user_id", "course_id"), "user_id")
 
 
-def summaries_with_tardiness(spark, d) -> DataFrame:
-    """Activity totals and tardiness of every enrolled student."""
-    totals = summaries(spark, d).drop("course_id")
-    roster = members(spark, d).select("course_id", "user_id")
-    return roster.join(totals, "user_id", "left").join(tables.tardiness(spark, d), "user_id", "left")
+def summaries(spark, d) -> DataFrame:
+    """The same per (course, user)."""
+    return user_totals(spark, d).join(members(spark, d).select("user_id", "course_id"), "user_id")
 
 
 def completion(spark, d) -> DataFrame:
@@ -60,27 +62,23 @@ def completion(spark, d) -> DataFrame:
 
 
 def engagement(spark, d) -> DataFrame:
-    """The full student feature table."""
-    totals = summaries(spark, d).select(
-        "course_id", "user_id",
-        F.col("page_views").alias("total_page_views"), F.col("participations").alias("total_participations"),
+    """The full student feature table: one scan of the events, one of the module progress."""
+    start = F.lit(MODULE_START).cast("timestamp")
+    first = F.min("completed_at")
+    modules = tables.module_progress_by_user(spark, d).groupBy("user_id").agg(
+        F.coalesce(days_since(first, start), F.lit(0)).alias("first_module_day")
     )
-    modules = completion(spark, d).select("course_id", "user_id", "first_module_day")
     return frames.student_engagement_features(
-        members(spark, d).select("course_id", "user_id", "final_score"), profile(spark, d), totals, modules
+        members(spark, d).select("course_id", "user_id", "final_score"), profile(spark, d), modules
     )
 
 
+def basics(spark, d) -> DataFrame:
+    """Activity basics per (course, user) with the final score."""
+    roster = members(spark, d).select("user_id", "course_id", "final_score")
+    return frames.activity_basics(user_hours(spark, d).join(roster, "user_id"), ("final_score",))
+
+
 def active_students(spark, d) -> DataFrame:
     """Students seen in the click stream, with scores and the basic activity features."""
-    h = hours(spark, d)
-    gaps = sessions.raw_gap_features(h)
-    day = calendar.time_of_day(h, evening_end=22).drop("unique_active_hours")
-    count = h.groupBy("course_id", "user_id").agg(F.count("*").alias("unique_active_hours"))
-    return (
-        summaries(spark, d)
-        .join(gaps, ["course_id", "user_id"])
-        .join(count, ["course_id", "user_id"])
-        .join(day, ["course_id", "user_id"])
-        .join(members(spark, d).select("course_id", "user_id", "final_score"), ["course_id", "user_id"])
-    )
+    return basics(spark, d)

@@ -62,17 +62,24 @@ def activity(spark, sf_dir) -> DataFrame:
     )
 
 
-def page_views(spark, sf_dir) -> DataFrame:
-    """Click-stream with the URL each kind of event would carry."""
-    url = (
-        F.when(F.col("kind") == "view", F.concat(F.lit("/courses/"), F.col("course_id"), F.lit("/pages/"), F.col("resource_id")))
-        .when(F.col("kind") == "click", F.concat(F.lit("/courses/"), F.col("course_id"), F.lit("/files/"), F.col("resource_id")))
-        .when(F.col("kind") == "purchase", F.concat(F.lit("/courses/"), F.col("course_id"), F.lit("/assignments/"), F.col("resource_id")))
-        .when(F.col("kind") == "signup", F.concat(F.lit("/courses/"), F.col("course_id")))
+def view_url() -> Column:
+    """The URL a click-stream row of each kind would carry."""
+    kind = F.col("kind")
+    course = F.concat(F.lit("/courses/"), F.col("course_id"))
+    return (
+        F.when(kind == "view", F.concat(course, F.lit("/pages/"), F.col("resource_id")))
+        .when(kind == "click", F.concat(course, F.lit("/files/"), F.col("resource_id")))
+        .when(kind == "purchase", F.concat(course, F.lit("/assignments/"), F.col("resource_id")))
+        .when(kind == "signup", course)
         .otherwise(F.lit("/about"))
     )
+
+
+def page_view_counts(spark, sf_dir) -> DataFrame:
+    """Views per (course, user, URL); events are reduced per user and resource before the join."""
     members = enrollments(spark, sf_dir).select("user_id", "course_id")
-    return activity(spark, sf_dir).join(members, "user_id").withColumn("url", url)
+    reduced = activity(spark, sf_dir).groupBy("user_id", "kind", "resource_id").agg(F.sum("cnt").alias("cnt"))
+    return reduced.join(members, "user_id").select("course_id", "user_id", view_url().alias("url"), "cnt")
 
 
 def submissions(spark, sf_dir) -> DataFrame:
@@ -124,8 +131,8 @@ def tardiness(spark, sf_dir) -> DataFrame:
     )
 
 
-def module_progress(spark, sf_dir) -> DataFrame:
-    """(course_id, user_id, module_id, state, completed_at, items_count)."""
+def module_progress_by_user(spark, sf_dir) -> DataFrame:
+    """(user_id, module_id, state, completed_at, items_count)."""
     done = F.col("l_linestatus") == "F"
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("timestamp").alias("at")
@@ -134,7 +141,6 @@ def module_progress(spark, sf_dir) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("module_id")
     )
-    members = enrollments(spark, sf_dir).select("user_id", "course_id")
     per_student = (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -145,13 +151,21 @@ def module_progress(spark, sf_dir) -> DataFrame:
             F.count("*").alias("items_count"),
         )
     )
-    return per_student.join(members, "user_id").select(
-        "course_id", "user_id", "module_id",
+    return per_student.select(
+        "user_id", "module_id",
         F.when(F.col("_done") == 1, "completed").otherwise("started").alias("state"),
         "completed_at", "items_count",
     )
 
 
+def module_progress(spark, sf_dir) -> DataFrame:
+    """The same with the student's course."""
+    members = enrollments(spark, sf_dir).select("user_id", "course_id")
+    return module_progress_by_user(spark, sf_dir).join(members, "user_id").select(
+        "course_id", "user_id", "module_id", "state", "completed_at", "items_count"
+    )
+
+
 def resource_counts(spark, sf_dir) -> DataFrame:
     """Resources per course section: parts by size class, one kind per part type."""
     kind = F.col("p_type")
