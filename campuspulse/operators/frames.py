@@ -16,12 +16,14 @@ from campuspulse.functions.exprs import (
     hours_between,
     iso_week,
     ratio_or_null,
+    role_of,
     safe_ratio,
     slot_of_day,
 )
 from campuspulse.operators.access import hourly_access_terms
-from campuspulse.operators.activity import KEYS
+from campuspulse.operators.activity import KEYS, hourly
 from campuspulse.operators.calendar import BLOCKS, cnt_if, dct_terms, week_block_shares, with_dominant
+from campuspulse.operators.ranks import attach_row, positions
 from campuspulse.operators.sessions import regularity
 from campuspulse.operators.weekly import trajectory_aggs, workload_aggs, weekly_series
 
@@ -153,13 +155,13 @@ def student_engagement_features(
 def zscore_within(
     df: DataFrame, columns: list[str], by: list[str] | None = None, sample: bool = True, suffix: str = "_norm"
 ) -> DataFrame:
-    """Standardise columns within groups; zero where the group has no spread.
+    """Standardise columns within groups (``by=[]``: over all rows); zero where there is no spread.
 
     ``sample`` chooses the n-1 deviation; otherwise population, and a group of one
     row keeps its values. Group moments are aggregated and joined back instead of
     windowed, so one large course is never gathered in one task.
     """
-    by = by or ["course_id"]
+    by = ["course_id"] if by is None else by
     std = F.stddev_samp if sample else F.stddev_pop
     stats = df.groupBy(*by).agg(
         F.count("*").alias("_rows"),
@@ -172,7 +174,8 @@ def zscore_within(
         z = F.when(F.col(f"_s_{c}") > 0, centred / F.nullif(F.col(f"_s_{c}"), zero())).otherwise(zero())
         return z if sample else F.when(F.col("_rows") > 1, z).otherwise(F.col(c).cast("double"))
 
-    return df.join(stats, by).select(*df.columns, *[scaled(c).alias(f"{c}{suffix}") for c in columns])
+    joined = df.join(stats, by) if by else attach_row(df, stats)
+    return joined.select(*df.columns, *[scaled(c).alias(f"{c}{suffix}") for c in columns])
 
 
 def submission_stats(subs: DataFrame, keys: list[str] | None = None, variant: str = "population") -> DataFrame:
@@ -303,8 +306,6 @@ def activity_level(df: DataFrame, by: str = "course_id", value: str = "page_view
 
     Follows ``ntile(3)`` with ties by user_id, built on sliced positions.
     """
-    from campuspulse.operators.ranks import positions
-
     seen = df.where(F.col(value) > 0)
     # 64 slices per doubling of the count keep the order and stay few at any size.
     placed = positions(
@@ -342,8 +343,6 @@ def early_warning_frame(members: DataFrame, basics: DataFrame, tardiness: DataFr
 
 def staff_roster(enrollments: DataFrame) -> DataFrame:
     """Teacher and TA enrolments as one roster with their role."""
-    from campuspulse.functions.exprs import role_of
-
     return enrollments.where(F.contains("type", F.lit("Teacher")) | F.contains("type", F.lit("Ta"))).withColumn(
         "user_role", role_of(F.col("type"))
     )
@@ -370,7 +369,5 @@ def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame, s
 
 def instructor_features(views: DataFrame, staff: DataFrame, courses: DataFrame) -> DataFrame:
     """The student activity profile computed for staff, with their role."""
-    from campuspulse.operators.activity import hourly
-
     hours = hourly(views, keys=KEYS).join(courses.select("course_id", "start_at", "end_at"), "course_id")
     return activity_profile(hours).join(staff.select(*KEYS, "user_role"), KEYS)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from campuspulse.functions.exprs import safe_ratio
 from campuspulse.functions.features import GROUPS
 from campuspulse.operators.frames import zscore_within
-from campuspulse.operators.ranks import sliced_row_number
+from campuspulse.operators.ranks import attach_row, sliced_row_number
 from campuspulse.operators.stats import auc
 
 SEED = 42
@@ -47,8 +47,8 @@ def complete_rows(df: DataFrame, features: list[str]) -> DataFrame:
 
 def standardise(df: DataFrame, features: list[str]) -> DataFrame:
     """Zero mean and unit population deviation over all rows; constants become zero."""
-    tagged = zscore_within(df.withColumn("_all", F.lit(0)), features, ["_all"], sample=False, suffix="_z")
-    return tagged.drop("_all", *features).withColumnsRenamed({f"{f}_z": f for f in features})
+    scaled = zscore_within(df, features, [], sample=False, suffix="_z")
+    return scaled.drop(*features).withColumnsRenamed({f"{f}_z": f for f in features})
 
 
 def standardise_within(df: DataFrame, features: list[str], by: str = "course_id") -> DataFrame:
@@ -75,8 +75,6 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     """n / (2 * class size) per row, for two classes."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*").alias("_all"))
-    from campuspulse.operators.ranks import attach_row
-
     return attach_row(df.join(sizes, label), total).withColumn("weight", F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")
 
 

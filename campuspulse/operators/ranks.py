@@ -148,7 +148,8 @@ def lag_in_chunks(df: DataFrame, keys: list[str], order: list[str], value: str,
     so no single key has to fit in one task.
     """
     marked = df.withColumn("_chunk", chunk)
-    last = marked.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    final = F.max_by(F.struct(value), F.struct(*order)) if value != order[0] else F.struct(F.max(value).alias(value))
+    last = marked.groupBy(*keys, "_chunk").agg(final.alias("_last"))
     per_key = Window.partitionBy(*keys).orderBy("_chunk")
     edges = last.select(*keys, "_chunk", F.lag("_last").over(per_key).alias("_before"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)

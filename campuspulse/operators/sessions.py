@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import SESSION_GAP_HOURS, hours_between
 from campuspulse.operators.activity import KEYS
+from campuspulse.operators.ranks import lag_in_chunks
 
 SESSION_COLUMNS = [
     "session_count", "session_gap_min", "session_gap_max", "session_gap_mean",
@@ -14,24 +15,15 @@ SESSION_COLUMNS = [
 ]
 
 
-def event_gaps(events: DataFrame, hours: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
+def event_gaps(events: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
     """Hours since the same student's previous event, one row per event.
 
     Lagging a whole student in one task would break on a very active account, so
-    the lag runs inside (student, hour) and the first event of each hour takes the
-    last event of the previous active hour from the hourly table. The join and the
-    window share one hash partitioning by (student, hour).
+    the lag runs minute by minute and the first event of a minute takes the last
+    event of the active minute before it.
     """
-    per_student = Window.partitionBy(key).orderBy("hour")
-    edges = hours.select(key, "hour", F.lag("last_ts").over(per_student).alias("_before"))
-    in_hour = Window.partitionBy(key, "hour").orderBy("ts", order)
-    return (
-        events.withColumn("hour", F.date_trunc("hour", "ts"))
-        .join(edges, [key, "hour"])
-        .withColumn("_prev", F.coalesce(F.lag("ts").over(in_hour), F.col("_before")))
-        .withColumn("gap_hours", hours_between(F.col("ts"), F.col("_prev")))
-        .drop("_before", "_prev", "hour")
-    )
+    lagged = lag_in_chunks(events, [key], ["ts", order], "ts", F.date_trunc("minute", "ts"), "_prev")
+    return lagged.withColumn("gap_hours", hours_between(F.col("ts"), F.col("_prev"))).drop("_prev")
 
 
 def with_bucket_gaps(buckets: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ WEEKS = 30 / 7
 
 @query("session_gaps", "gaps", f"SELECT event_id, user_id, {rnd('gap', 'gap_hours')} FROM gaps")
 def session_gaps(spark, d):
-    gaps = sessions.event_gaps(tables.activity(spark, d), inputs.user_hours(spark, d))
+    gaps = sessions.event_gaps(tables.activity(spark, d))
     return gaps.select("event_id", "user_id", "gap_hours")
 
 

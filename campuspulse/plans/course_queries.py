@@ -482,7 +482,7 @@ def weighted_scores(spark, d):
 def grade_changes(spark, d):
     graded = tables.submissions(spark, d).where("score is not null")
     lagged = ranks.lag_in_chunks(
-        graded, ["user_id", "assignment_id"], ["submitted_at", "submission_id"], "score", F.date_trunc("month", "submitted_at"), "previous_score"
+        graded, ["user_id", "assignment_id"], ["submitted_at", "submission_id"], "score", F.date_trunc("day", "submitted_at"), "previous_score"
     )
     return lagged.where("previous_score <> score").select("user_id", "assignment_id", "submission_id", "previous_score", "score")
 

@@ -14,11 +14,11 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_by_course(df: DataFrame, path: str, salts: int = 1, mode: str = "errorifexists") -> None:
+def write_by_course(df: DataFrame, path: str, salts: int = 16, mode: str = "errorifexists") -> None:
     """Parquet partitioned by course.
 
     Rows are clustered by (course, salt), so each course lands in at most
-    ``salts`` tasks and files: raise it where one course holds much of the data.
+    ``salts`` tasks and files, and a course holding much of the data is still split.
     """
     if salts < 1:
         raise ValueError(salts)

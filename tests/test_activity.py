@@ -58,7 +58,7 @@ def test_event_gaps_equal_plain_lag(spark):
     rows = [(int(u), f"2024-01-{d:02d} {h:02d}:{m:02d}", 1) for u, d, h, m in
             zip(rng.integers(1, 3, 80), rng.integers(1, 4, 80), rng.integers(0, 24, 80), rng.integers(0, 60, 80))]
     e = events(spark, rows)
-    got = {r.event_id: r.gap_hours for r in sessions.event_gaps(e, activity.hourly(e)).collect()}
+    got = {r.event_id: r.gap_hours for r in sessions.event_gaps(e).collect()}
     seen = {}
     for r in sorted(e.collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
         want = None if r.user_id not in seen else (r.ts - seen[r.user_id]).total_seconds() / 3600
