@@ -53,6 +53,19 @@ def hourly_access_terms(start: Column, end: Column, keys: list[str], first_n: in
     return weight, weight * F.log(share)
 
 
+def known_modules(progress: DataFrame, modules: DataFrame) -> DataFrame:
+    """Progress rows whose module belongs to the course."""
+    return progress.join(modules.select("course_id", "module_id"), ["course_id", "module_id"], "left_semi")
+
+
+def with_module_names(progress: DataFrame, modules: DataFrame) -> DataFrame:
+    """Module names looked up by (course, module); 'Unknown' where there is none."""
+    names = modules.select("course_id", "module_id", "module_name")
+    return progress.join(names, ["course_id", "module_id"], "left").withColumn(
+        "module_name", F.coalesce("module_name", F.lit("Unknown"))
+    )
+
+
 def module_completion(progress: DataFrame, start: Column | None = None) -> DataFrame:
     """Completion rate and timing per student."""
     done = F.col("state") == "completed"

@@ -389,5 +389,13 @@ def resource_view_share(views: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def with_course_names(df: DataFrame, courses: DataFrame) -> DataFrame:
+    """Course names looked up by id; the id itself where there is none."""
+    names = courses.select("course_id", "course_name")
+    return df.join(names, "course_id", "left").withColumn(
+        "course_name", F.coalesce("course_name", F.concat(F.lit("Course "), F.col("course_id")))
+    )
+
+
 def valid_students(members: DataFrame) -> DataFrame:
     return members.where(valid_grade(F.col("final_score")))

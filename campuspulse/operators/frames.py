@@ -13,6 +13,7 @@ from campuspulse.functions.exprs import (
     days_since,
     engagement_composite,
     failed,
+    floor_days,
     hours_between,
     iso_week,
     ratio_or_null,
@@ -31,6 +32,37 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
+def time_features(hours: DataFrame) -> DataFrame:
+    """Slot shares, active hours of the day, concentration and raw gaps per student.
+
+    Hours of the day fold first, so the last step sees at most 24 rows per student.
+    """
+    w = Window.partitionBy(*KEYS).orderBy("hour")
+    gap = hours_between(F.col("hour"), F.lag("hour").over(w))
+    long_gap = F.when(F.col("_gap") > 0.5, F.col("_gap"))
+    by_hour = (
+        hours.withColumn("_gap", gap)
+        .groupBy(*KEYS, F.hour("hour").alias("_h"))
+        .agg(
+            F.sum("cnt").alias("cnt"), F.min("hour").alias("_first"), F.max("hour").alias("_last"),
+            F.count(long_gap).alias("_n"), F.sum(long_gap).alias("_s"), F.sum(long_gap * long_gap).alias("_q"),
+        )
+    )
+    total, n = F.sum("cnt"), F.sum("_n")
+    mean = F.coalesce(F.try_divide(F.sum("_s"), n), zero())
+    var = F.coalesce(F.try_divide(F.sum("_q"), n), zero()) - mean * mean
+    h = F.col("_h")
+    slots = {"morning": (6, 11), "afternoon": (12, 17), "evening": (18, 23), "night": (0, 5)}
+    return by_hour.groupBy(*KEYS).agg(
+        *[safe_ratio(cnt_if(h.between(*r)), total).alias(f"{s}_activity") for s, r in slots.items()],
+        F.count("*").alias("unique_active_hours"),
+        F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("_sq"), total.alias("_total"),
+        mean.alias("avg_gap_hours"),
+        F.when(n > 1, F.sqrt(F.greatest(var, zero()))).otherwise(zero()).alias("gap_std_hours"),
+        F.floor(hours_between(F.max("_last"), F.min("_first")) / 24).alias("activity_span_days"),
+    ).withColumn("time_concentration", F.col("_sq") / (F.col("_total") * F.col("_total"))).drop("_sq", "_total")
+
+
 def keys_of(df: DataFrame) -> list[str]:
     """(course_id, user_id), or user_id alone for frames that carry no course."""
     return [k for k in KEYS if k in df.columns]
@@ -51,6 +83,8 @@ def activity_basics(hours: DataFrame, carry: tuple[str, ...] = (), evening_end:
         F.sum("cnt").alias("page_views"),
         F.sum("parts").alias("participations"),
         F.sum("seconds").alias("total_activity_time"),
+        F.min("first_ts").alias("first_activity_at"),
+        F.max("last_ts").alias("last_activity_at"),
         F.count("*").alias("unique_active_hours"),
         F.coalesce(F.avg(long_gap), zero()).alias("avg_gap_hours"),
         F.coalesce(F.stddev_pop(long_gap), zero()).alias("gap_std_hours"),
@@ -324,8 +358,13 @@ def activity_level(df: DataFrame, by: str = "course_id", value: str = "page_view
     )
 
 
-def early_warning_frame(members: DataFrame, basics: DataFrame, tardiness: DataFrame, completion: DataFrame) -> DataFrame:
-    """Enrolment, activity, tardiness, modules and time of day; a missing score counts as failed."""
+def early_warning_frame(
+    members: DataFrame, basics: DataFrame, tardiness: DataFrame, completion: DataFrame, start: Column
+) -> DataFrame:
+    """Enrolment, activity, tardiness, modules and time of day; a missing score counts as failed.
+
+    Days to the first activity stay null where nothing was seen.
+    """
     df = (
         members.join(basics, keys_of(basics), "left")
         .join(tardiness, keys_of(tardiness), "left")
@@ -333,12 +372,14 @@ def early_warning_frame(members: DataFrame, basics: DataFrame, tardiness: DataFr
         .withColumn("failed", failed(F.col("final_score"), "fail"))
         .withColumn("dominant_time", F.coalesce("dominant_time", F.lit("none")))
     )
+    days = floor_days(F.col("first_activity_at"), start)
     kinds = dict(df.dtypes)
     zeros = [
         c for c, k in kinds.items()
         if k in ("int", "bigint", "double") and c not in (*KEYS, "account_id", "final_score", "current_score", "failed")
     ]
-    return tardiness_rates(df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in zeros}))
+    filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in zeros})
+    return tardiness_rates(filled).withColumn("days_to_first_activity", days)
 
 
 def staff_roster(enrollments: DataFrame) -> DataFrame:

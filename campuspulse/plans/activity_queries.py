@@ -353,33 +353,35 @@ def early_access_score(spark, d):
 
 
 @query(
-    "module_timing", "modt tod totals",
+    "module_timing", "modt tod totals rawgap",
     f"""SELECT e.course_id, e.user_id, e.final_score, {rnd('coalesce(modules_completed / modules_total, 0)', 'module_completion_pct')},
                {rnd('coalesce(avg_completion_rank, 0.5)', 'avg_completion_rank')}, {rnd('1 - coalesce(avg_completion_rank, 0.5)', 'early_access_score')},
-               coalesce(page_views, 0) AS total_page_views, coalesce(dominant_time, 'none') AS dominant_time_of_day
-        FROM enr e LEFT JOIN modt m ON m.user_id = e.user_id LEFT JOIN tod t ON t.user_id = e.user_id LEFT JOIN totals a ON a.user_id = e.user_id""",
+               coalesce(page_views, 0) AS total_page_views, coalesce(dominant_time, 'none') AS dominant_time_of_day, coalesce(activity_span_days, 0) AS activity_span_days
+        FROM enr e LEFT JOIN modt m ON m.user_id = e.user_id LEFT JOIN tod t ON t.user_id = e.user_id LEFT JOIN totals a ON a.user_id = e.user_id
+        LEFT JOIN rawgap g ON g.user_id = e.user_id""",
 )
 def module_timing(spark, d):
     """Module timing, activity and grade per enrolled student."""
     timing = access.module_timing(access.module_ranks(materialise(tables.module_progress(spark, d))))
-    day = calendar.time_of_day(inputs.hours(spark, d), evening_end=22)
-    views = sum((F.col(f"{s}_activity") for s in exprs.SLOTS[1:]), F.col("morning_activity"))
-    day = day.select(*activity.KEYS, views.alias("total_page_views"), "dominant_time")
+    seen = inputs.basics(spark, d).select(*activity.KEYS, "page_views", "dominant_time", "activity_span_days")
     half = F.lit(0.5)
     return (
         inputs.members(spark, d).select(*activity.KEYS, "final_score")
-        .join(timing, activity.KEYS, "left").join(day, activity.KEYS, "left")
+        .join(timing, activity.KEYS, "left").join(seen, activity.KEYS, "left")
         .select(
             *activity.KEYS, "final_score",
             F.coalesce("module_completion_pct", F.lit(0.0)).alias("module_completion_pct"),
             F.coalesce("avg_completion_rank", half).alias("avg_completion_rank"),
             F.coalesce("early_access_score", half).alias("early_access_score"),
-            F.coalesce("total_page_views", F.lit(0)).alias("total_page_views"),
+            F.coalesce("page_views", F.lit(0)).alias("total_page_views"),
             F.coalesce("dominant_time", F.lit("none")).alias("dominant_time_of_day"),
+            F.coalesce("activity_span_days", F.lit(0)).alias("activity_span_days"),
         )
     )
 
 
+add_cte("early", EARLY_SQL, ["modt", "enr"])
+
 # --- full feature tables ----------------------------------------------------------
 
 add_cte("bshare", f"SELECT user_id, {BLOCK_SQL}, {DCT_SQL}, count(DISTINCT date_trunc('hour', ts)) AS unique_active_hours,"
@@ -440,35 +442,57 @@ def zscore_in_course(spark, d):
     return z.select(*activity.KEYS, *[f"{c}_norm" for c in columns])
 
 
+EW_COUNTS = [
+    "page_views", "participations", "on_time", "late", "missing", "modules_completed", "modules_total", "morning_activity",
+    "afternoon_activity", "evening_activity", "night_activity", "unique_active_hours",
+]
+
+
 @query(
-    "early_warning_features", "tod tard modt totals",
-    f"""SELECT e.course_id, e.user_id, e.final_score, CASE WHEN coalesce(e.final_score, 0) < 57 THEN 1 ELSE 0 END AS failed,
-        coalesce(page_views, 0) AS page_views, coalesce(participations, 0) AS participations, {rnd('coalesce(total_activity_time, 0)', 'total_activity_time')},
-        coalesce(on_time, 0) AS on_time, coalesce(late, 0) AS late, coalesce(missing, 0) AS missing,
-        {rnd('CASE WHEN on_time + late + missing > 0 THEN on_time / (on_time + late + missing) ELSE 0 END', 'on_time_rate')},
-        {rnd('CASE WHEN on_time + late + missing > 0 THEN late / (on_time + late + missing) ELSE 0 END', 'late_rate')},
-        {rnd('CASE WHEN on_time + late + missing > 0 THEN missing / (on_time + late + missing) ELSE 0 END', 'missing_rate')},
-        coalesce(modules_completed, 0) AS modules_completed, {rnd('coalesce(modules_completed / modules_total, 0)', 'module_completion_rate')},
-        coalesce(morning_activity, 0) AS morning_activity, coalesce(evening_activity, 0) AS evening_activity,
+    "early_warning_features", "tod tard modt totals rawgap early",
+    f"""SELECT e.course_id, e.user_id, e.current_score, e.final_score, CASE WHEN coalesce(e.final_score, 0) < 57 THEN 1 ELSE 0 END AS failed,
+        {', '.join(f'coalesce({c if c != "unique_active_hours" else "t.unique_active_hours"}, 0) AS {c}' for c in EW_COUNTS)},
+        {rnd('coalesce(total_activity_time, 0)', 'total_activity_time')},
+        {', '.join(rnd(f'CASE WHEN on_time + late + missing > 0 THEN {c} / (on_time + late + missing) ELSE 0 END', f'{c}_rate') for c in ('on_time', 'late', 'missing'))},
+        {rnd('coalesce(modules_completed / modules_total, 0)', 'module_completion_rate')}, first_done AS first_module_completed_at, last_done AS last_module_completed_at,
+        coalesce(date_diff('microsecond', first_done, last_done) // 86400000000, 0) AS module_completion_span_days,
         coalesce(dominant_time, 'none') AS dominant_time, coalesce(CASE WHEN morning_activity = best THEN 1 ELSE 0 END, 0) AS is_morning_studier,
         coalesce(CASE WHEN evening_activity = best THEN 1 ELSE 0 END, 0) AS is_evening_studier,
-        coalesce(unique_active_hours, 0) AS unique_active_hours
+        first_ts AS first_activity_at, last_ts AS last_activity_at, coalesce(activity_span_days, 0) AS activity_span_days,
+        CAST(date_diff('microsecond', TIMESTAMP '2024-01-01', first_ts) // 86400000000 AS DOUBLE) AS days_to_first_activity,
+        early_access_rank, early_access_score
         FROM enr e LEFT JOIN tod t ON t.user_id = e.user_id LEFT JOIN tard x ON x.user_id = e.user_id LEFT JOIN modt m ON m.user_id = e.user_id
-        LEFT JOIN totals a ON a.user_id = e.user_id""",
+        LEFT JOIN totals a ON a.user_id = e.user_id LEFT JOIN rawgap g ON g.user_id = e.user_id
+        LEFT JOIN (SELECT user_id, min(first_ts) AS first_ts, max(last_ts) AS last_ts FROM hourly GROUP BY ALL) h ON h.user_id = e.user_id
+        LEFT JOIN (SELECT user_id, early_access_rank, early_access_score FROM early) r ON r.user_id = e.user_id""",
 )
 def early_warning_features(spark, d):
-    """Enrolment, activity, tardiness, module and time-of-day features per student."""
+    """Enrolment, activity, tardiness, module, time-of-day and early-access features per student."""
     table = frames.early_warning_frame(
-        inputs.members(spark, d), inputs.basics(spark, d).drop("final_score"), tables.tardiness(spark, d), inputs.completion(spark, d)
+        inputs.members(spark, d), inputs.basics(spark, d).drop("final_score"), tables.tardiness(spark, d),
+        inputs.completion(spark, d), F.lit(tables.COURSE_START).cast("timestamp"),
     )
-    return table.select(
-        *activity.KEYS, "final_score", "failed", "page_views", "participations", "total_activity_time",
-        "on_time", "late", "missing", "on_time_rate", "late_rate", "missing_rate", "modules_completed",
-        "module_completion_rate", "morning_activity", "evening_activity", "dominant_time",
-        "is_morning_studier", "is_evening_studier", "unique_active_hours",
+    ranked = access.early_access_rank(materialise(table))
+    return ranked.select(
+        *activity.KEYS, "current_score", "final_score", "failed", *EW_COUNTS, "total_activity_time", "on_time_rate", "late_rate",
+        "missing_rate", "module_completion_rate", "first_module_completed_at", "last_module_completed_at", "module_completion_span_days",
+        "dominant_time", "is_morning_studier", "is_evening_studier", "first_activity_at", "last_activity_at", "activity_span_days",
+        F.col("days_to_first_activity").cast("double").alias("days_to_first_activity"), "early_access_rank", "early_access_score",
     )
 
 
+@query(
+    "time_features", "rawgap act",
+    f"""SELECT course_id, user_id, {', '.join(rnd(f'{s} / c', f'{s}_activity') for s in ('morning', 'afternoon', 'evening', 'night'))}, hod AS unique_active_hours,
+               {rnd('avg_gap_hours')}, {rnd('gap_std_hours')}, activity_span_days, {rnd('conc', 'time_concentration')}
+        FROM rawgap JOIN (SELECT user_id, sum(n) AS c, count(*) AS hod, sum(n * n) / (sum(n) * sum(n)) AS conc, coalesce(sum(n) FILTER (h BETWEEN 6 AND 11), 0) AS morning,
+             coalesce(sum(n) FILTER (h BETWEEN 12 AND 17), 0) AS afternoon, coalesce(sum(n) FILTER (h >= 18), 0) AS evening, coalesce(sum(n) FILTER (h < 6), 0) AS night
+             FROM (SELECT user_id, hour(ts) AS h, count(*) AS n FROM act GROUP BY ALL) GROUP BY user_id) USING (user_id)""",
+)
+def time_features(spark, d):
+    return frames.time_features(inputs.hours(spark, d))
+
+
 @query(
     "instructor_features", "sess eng",
     """SELECT course_id, user_id, CASE WHEN program IN ('BUILDING') THEN 'teacher' ELSE 'ta' END AS user_role, session_count, session_regularity, weekday_morning_pct,

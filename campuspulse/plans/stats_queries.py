@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from campuspulse.operators import access, courses, risk, stats
 from campuspulse.operators.activity import KEYS
 from campuspulse.plans import inputs
-from campuspulse.plans.activity_queries import EARLY_SQL
 from campuspulse.plans.course_queries import student_frame
 from campuspulse.plans.registry import add_cte, big, query, rnd
 from campuspulse.session import materialise
@@ -232,13 +231,13 @@ def density_curve(spark, d):
 
 
 @query("resource_impact", "act", f"""
-    SELECT course_id, resource_id, viewers, {rnd('vm', 'viewed_mean')}, {rnd('om', 'other_mean')}, {rnd('vm - om', 'difference')}, {rnd('r2')} FROM (
+    SELECT course_id, resource_id, viewers, {rnd('vm', 'viewed_mean', 9)}, {rnd('om', 'other_mean', 9)}, {rnd('vm - om', 'difference', 9)}, {rnd('r2', None, 9)} FROM (
     SELECT t.course_id, resource_id, count(*) FILTER (seen) AS viewers, avg(final_score) FILTER (seen) AS vm, avg(final_score) FILTER (NOT seen) AS om,
            pow(covar_pop(CASE WHEN seen THEN 1.0 ELSE 0.0 END, final_score), 2) / nullif(var_pop(CASE WHEN seen THEN 1.0 ELSE 0.0 END) * var_pop(final_score), 0) AS r2
     FROM (SELECT e.course_id, e.user_id, e.final_score, q.resource_id, v.user_id IS NOT NULL AS seen
           FROM (SELECT * FROM enr WHERE user_id IN (SELECT user_id FROM act)) e JOIN (SELECT DISTINCT course_id, resource_id FROM act) q USING (course_id)
           LEFT JOIN (SELECT DISTINCT user_id, resource_id FROM act) v ON v.user_id = e.user_id AND v.resource_id = q.resource_id) t
-    GROUP BY ALL) WHERE viewers >= 5 AND om IS NOT NULL""")
+    GROUP BY ALL) WHERE viewers >= 5 AND om IS NOT NULL""", digits=9)
 def resource_impact(spark, d):
     per_user = tables.activity(spark, d).select("user_id", "resource_id").distinct()
     views = per_user.join(inputs.members(spark, d).select(*KEYS), "user_id")
@@ -394,7 +393,6 @@ def alert_thresholds(spark, d):
     return risk.alert_thresholds(students(spark, d))
 
 
-add_cte("early", EARLY_SQL, ["modt", "enr"])
 add_cte("rf", """
     SELECT a.*, CASE WHEN is_evening_studier = 1 THEN 1 ELSE 0 END AS risk_evening, CASE WHEN coalesce(early_access_score, 0) < 0.3 THEN 1 ELSE 0 END AS risk_late_access,
            CASE WHEN page_views < (SELECT quantile_cont(page_views, 0.25) FROM active) THEN 1 ELSE 0 END AS risk_low_views,

@@ -38,6 +38,13 @@ def test_early_access_scores(spark):
     assert got == {1: (1, 1.0), 2: (2, 0.5), 3: (3, 0.0), 4: (4, 0.0), 9: (1, 0.5), 7: (1, 0.0)}
 
 
+def test_module_lookups(spark):
+    rows = progress(spark, [(1, 1, "completed", "2024-01-01"), (1, 9, "started", None)])
+    modules = spark.createDataFrame([(1, 1, "Intro")], "course_id long, module_id long, module_name string")
+    assert [r.module_id for r in access.known_modules(rows, modules).collect()] == [1]
+    assert {r.module_id: r.module_name for r in access.with_module_names(rows, modules).collect()} == {1: "Intro", 9: "Unknown"}
+
+
 def test_timing_score(spark):
     rows = [(1, 1, "completed", "2024-01-01"), (2, 1, "completed", "2024-01-02"), (1, 2, "started", None)]
     got = {r.user_id: r for r in access.module_timing(access.module_ranks(progress(spark, rows))).collect()}

@@ -115,6 +115,12 @@ def test_current_and_final_score(spark):
     assert one(courses.current_final_score(none, ["user_id"])).final_score == 0.0
 
 
+def test_course_names(spark):
+    names = spark.createDataFrame([(1, "Algebra")], "course_id long, course_name string")
+    df = spark.createDataFrame([(1,), (2,)], "course_id long")
+    assert {r.course_name for r in courses.with_course_names(df, names).collect()} == {"Algebra", "Course 2"}
+
+
 def test_term_fallback(spark):
     df = spark.createDataFrame([(1, 336, 20), (2, 322, 30), (3, 336, 5)], "id long, enrollment_term_id int, total_students int")
     assert [r.id for r in courses.course_filter(df, 336, 322).collect()] == [1]

@@ -60,6 +60,14 @@ def test_out_of_fold_covers_every_row_and_learns(data):
     assert summary.auc_mean > 0.8 and summary.f1_std >= 0
 
 
+def test_comparison_picks_the_best_model(spark):
+    rows = [("a", 0.9, 0.1), ("b", 0.4, 0.7)]
+    table = spark.createDataFrame(rows, "model string, recall double, auc double")
+    assert one(ml.best_model(table)).model == "a" and one(ml.best_model(table, "auc")).model == "b"
+    imp = spark.createDataFrame([("x", 0.2, 1), ("x", 0.4, 2)], "feature string, importance double, course_id long")
+    assert one(ml.mean_importance(imp)).importance == pytest.approx(0.3)
+
+
 def test_impute_median_and_infinity(spark):
     df = spark.createDataFrame([(1.0,), (None,), (3.0,), (100.0,)], "x double")
     got = sorted(r.x for r in ml.impute(df, ["x"]).collect())
