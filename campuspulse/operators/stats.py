@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import PASS_MARK, direction, safe_ratio
-from campuspulse.functions.tails import chi2_pvalue, fisher_pvalue, normal_pvalue, r_to_t, t_pvalue
+from campuspulse.functions.tails import chi2_pvalue, normal_pvalue, r_to_t, t_pvalue, two_by_two_pvalue
 from campuspulse.operators.ranks import attach_row, midranks, percentiles, prefix_totals, value_counts
 
 
@@ -311,16 +311,14 @@ def yates(a: Column, b: Column, c: Column, d: Column) -> Column:
 def insights(impact: DataFrame, min_risk: float = 1.2) -> DataFrame:
     """Impacts worth reporting: p-value, stars of significance and a sentence.
 
-    Fisher's exact test when a cell is below five, Yates' chi-square otherwise.
+    Fisher's exact test when a cell is below five, Yates' chi-square otherwise. The
+    rows are one per feature.
     """
     a, b = F.col("high_group_n") - F.col("high_failed"), F.col("high_failed")
     c, d = F.col("low_group_n") - F.col("low_failed"), F.col("low_failed")
     spark = impact.sparkSession
     texts = spark.createDataFrame([(x[0], x[1]) for x in CATALOGUE], "feature string, description string")
     kept = impact.where(F.col("relative_risk") > min_risk).join(texts, "feature")
-    small = F.least(a, b, c, d) < 5
-    exact = kept.where(small).withColumn("p_value", fisher_pvalue(a, b, c, d))
-    approx = kept.where(~small).withColumn("p_value", chi2_pvalue(F.col("yates_chi2"), F.lit(1.0)))
     p = F.col("p_value")
     worse, other = (
         F.when(F.col("inverse"), F.col("high_fail_rate")).otherwise(F.col("low_fail_rate")) * 100,
@@ -341,7 +339,7 @@ def insights(impact: DataFrame, min_risk: float = 1.2) -> DataFrame:
         note,
     )
     return (
-        exact.unionByName(approx)
+        kept.withColumn("p_value", two_by_two_pvalue(a, b, c, d, F.col("yates_chi2")))
         .withColumn("significant", p < 0.05)
         .withColumn("insight_text", sentence)
         .orderBy(F.desc(F.abs(F.col("relative_risk") - 1)), "feature")

@@ -145,6 +145,29 @@ def big(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 
 
+def _simpson(f: str, upper: str, steps: int = 2000) -> str:
+    """Simpson's rule for ``f`` of ``u`` from 0 to ``upper`` as a correlated subquery."""
+    u = f"(({upper}) * i / {steps}.0)"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"((SELECT sum({weight} * {f.replace('$u', u)}) FROM range({steps + 1}) r(i)) * ({upper}) / {steps * 3}.0)"
+
+
+def sql_t_p(t: str, df: str) -> str:
+    """Two-sided t tail by integrating the density: SQL has no t distribution."""
+    front = f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi())"
+    return f"(1 - 2 * {front} * {_simpson(f'pow(1 + $u * $u / ({df}), -(({df}) + 1) / 2.0)', f'abs({t})')})"
+
+
+def sql_chi2_p(x: str, df: str) -> str:
+    """Upper chi-square tail; x = u * u keeps the integrand smooth at zero."""
+    front = f"exp(-lgamma(({df}) / 2.0) - (({df}) / 2.0 - 1) * ln(2.0))"
+    return f"(1 - {front} * {_simpson(f'pow($u, ({df}) - 1.0) * exp(-$u * $u / 2)', f'sqrt({x})')})"
+
+
+def sql_z_p(z: str) -> str:
+    return f"(1 - 2 / sqrt(2 * pi()) * {_simpson('exp(-$u * $u / 2)', z)})"
+
+
 def query(name: str, needs: str = "", sql: str | None = None, digits: int = 6):
     """Register a query; its doubles are rounded as the SQL twin rounds them."""
 

@@ -8,7 +8,7 @@ from campuspulse.operators import access, courses, risk, stats
 from campuspulse.operators.activity import KEYS
 from campuspulse.plans import inputs
 from campuspulse.plans.course_queries import student_frame
-from campuspulse.plans.registry import add_cte, big, query, rnd
+from campuspulse.plans.registry import add_cte, big, query, rnd, sql_chi2_p, sql_t_p, sql_z_p
 from campuspulse.session import materialise
 from campuspulse.sources import tables
 
@@ -66,7 +66,11 @@ def spearman_by_course(spark, d):
     return stats.spearman(students(spark, d), FEATURES, "final_score", ["course_id"])
 
 
-@query("correlation_pvalues")
+add_cte("peart", "SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM pear", ["pear"])
+P_R = sql_t_p("t", "n - 2")
+
+
+@query("correlation_pvalues", "peart", f"SELECT course_id, feature, n, {rnd('r')}, {rnd('p', 'p_value')}, p < 0.05 AS significant FROM (SELECT *, {P_R} AS p FROM peart)")
 def correlation_pvalues(spark, d):
     return stats.with_significance(pearson(spark, d))
 
@@ -124,7 +128,11 @@ def t_test(spark, d):
     return stats.t_test(stats.pass_fail(inputs.active_students(spark, d)), ["page_views", "total_activity_time", "unique_active_hours", "avg_gap_hours"])
 
 
-@query("t_test_pvalues")
+add_cte("core_t", f"""SELECT feature, count(*) FILTER (failed = 0) AS n_passed, count(*) FILTER (failed = 1) AS n_failed, avg(value) FILTER (failed = 0) AS mean_passed,
+    avg(value) FILTER (failed = 1) AS mean_failed, {TT} AS t, count(*) - 2 AS df FROM along WHERE feature IN ('unique_active_hours', 'total_activity_time', 'avg_gap_hours', 'gap_std_hours') GROUP BY ALL""", ["along"])
+
+
+@query("t_test_pvalues", "core_t", f"SELECT feature, n_passed, n_failed, {rnd('mean_passed')}, {rnd('mean_failed')}, {rnd('t')}, df, {rnd(sql_t_p('t', 'df'), 'p_value')} FROM core_t")
 def t_test_pvalues(spark, d):
     return stats.with_t_p(stats.t_test(stats.pass_fail(inputs.active_students(spark, d)), CORE))
 
@@ -132,17 +140,24 @@ def t_test_pvalues(spark, d):
 MID = "rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2"
 
 
-@query("mann_whitney", "along", f"""
-    WITH_U SELECT feature, n_passed, n_failed, {rnd('u')}, {rnd('greatest(0, (abs(u - n_passed * n_failed / 2) - 0.5) / sqrt(n_passed * n_failed / 12 * ((n + 1) - ties / (n * (n - 1)))))', 'z')}
+def _mwu(features: str) -> str:
+    return f"""
+    SELECT feature, n_passed, n_failed, u, greatest(0, (abs(u - n_passed * n_failed / 2) - 0.5) / sqrt(n_passed * n_failed / 12 * ((n + 1) - ties / (n * (n - 1))))) AS z
     FROM (SELECT feature, count(*) FILTER (failed = 0) AS n_passed, count(*) FILTER (failed = 1) AS n_failed, count(*) AS n,
                  sum(mid) FILTER (failed = 0) - count(*) FILTER (failed = 0) * (count(*) FILTER (failed = 0) + 1) / 2 AS u, CAST(sum(tie * tie - 1) AS DOUBLE) AS ties
-          FROM (SELECT feature, failed, {MID} AS mid, count(*) OVER (PARTITION BY feature, value) AS tie FROM along WHERE feature IN ('page_views', 'total_activity_time', 'unique_active_hours', 'avg_gap_hours'))
-          GROUP BY ALL)""".replace("WITH_U ", ""))
+          FROM (SELECT feature, failed, {MID} AS mid, count(*) OVER (PARTITION BY feature, value) AS tie FROM along WHERE feature IN ({features}))
+          GROUP BY ALL)"""
+
+
+@query("mann_whitney", "along", f"SELECT feature, n_passed, n_failed, {rnd('u')}, {rnd('z')} FROM ({_mwu("'page_views', 'total_activity_time', 'unique_active_hours', 'avg_gap_hours'")})")
 def mann_whitney(spark, d):
     return stats.mann_whitney(students(spark, d), ["page_views", "total_activity_time", "unique_active_hours", "avg_gap_hours"])
 
 
-@query("mann_whitney_pvalues")
+add_cte("core_u", _mwu("'unique_active_hours', 'total_activity_time', 'avg_gap_hours', 'gap_std_hours'"), ["along"])
+
+
+@query("mann_whitney_pvalues", "core_u", f"SELECT feature, n_passed, n_failed, {rnd('u')}, {rnd('z')}, {rnd(sql_z_p('z'), 'p_value')} FROM core_u")
 def mann_whitney_pvalues(spark, d):
     return stats.with_z_p(stats.mann_whitney(students(spark, d), CORE))
 
@@ -161,15 +176,18 @@ def contingency(spark, d):
     return stats.contingency(outcomes(spark, d), "dominant_time", "outcome")
 
 
-@query("chi_square", "cont", f"""
-    SELECT {rnd('sum((coalesce(c.n, 0) - rs * cs / tot) * (coalesce(c.n, 0) - rs * cs / tot) / (rs * cs / tot))', 'chi2')}, (count(DISTINCT r.dominant_time) - 1) * (count(DISTINCT s.outcome) - 1) AS dof, {big('max(tot)', 'n')}
+add_cte("chi", """
+    SELECT sum((coalesce(c.n, 0) - rs * cs / tot) * (coalesce(c.n, 0) - rs * cs / tot) / (rs * cs / tot)) AS chi2, (count(DISTINCT r.dominant_time) - 1) * (count(DISTINCT s.outcome) - 1) AS dof, max(tot) AS n
     FROM (SELECT dominant_time, sum(n) AS rs FROM cont GROUP BY 1) r CROSS JOIN (SELECT outcome, sum(n) AS cs FROM cont GROUP BY 1) s CROSS JOIN (SELECT sum(n) AS tot FROM cont) t
-    LEFT JOIN cont c ON c.dominant_time = r.dominant_time AND c.outcome = s.outcome""")
+    LEFT JOIN cont c ON c.dominant_time = r.dominant_time AND c.outcome = s.outcome""", ["cont"])
+
+
+@query("chi_square", "chi", f"SELECT {rnd('chi2')}, dof, {big('n', 'n')} FROM chi")
 def chi_square(spark, d):
     return stats.chi_square(materialise(stats.contingency(outcomes(spark, d), "dominant_time", "outcome")), "dominant_time", "outcome")
 
 
-@query("chi_square_pvalue")
+@query("chi_square_pvalue", "chi", f"SELECT {rnd('chi2')}, dof, {big('n', 'n')}, {rnd(sql_chi2_p('chi2', 'dof'), 'p_value')} FROM chi")
 def chi_square_pvalue(spark, d):
     return stats.with_chi2_p(chi_square(spark, d))
 
@@ -203,17 +221,42 @@ def feature_impact(spark, d):
     return impact.select("feature", "high_group_n", "low_group_n", "high_fail_rate", "low_fail_rate", "relative_risk", "odds_ratio", "yates_chi2")
 
 
-@query("insights")
+CAT = ", ".join(
+    f"('{f}', '{text}', {str(inverse).upper()}, {str(share).upper()})" for f, text, inverse, share in stats.CATALOGUE
+)
+CAT_FEATURES = [c[0] for c in stats.CATALOGUE if c[0] != "weekend_study_pct"]
+add_cte("inl", "SELECT failed, feature, value FROM (SELECT failed, " + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in CAT_FEATURES)
+        + ", round(weekend_morning_pct + weekend_afternoon_pct + weekend_evening_pct + weekend_night_pct, 6) AS weekend_study_pct FROM eng WHERE total_page_views > 0) "
+        + f"UNPIVOT (value FOR feature IN ({', '.join(c[0] for c in stats.CATALOGUE)}))", ["eng"])
+add_cte("ing", f"""
+    SELECT *, CASE WHEN inverse THEN hr / lr ELSE lr / hr END AS rr, (a * d) / nullif(b * c, 0) AS oratio FROM (
+        SELECT feature, description, inverse, hn, ln_, hf / hn AS hr, lf / ln_ AS lr, CAST(hn - hf AS DOUBLE) AS a, CAST(hf AS DOUBLE) AS b, CAST(ln_ - lf AS DOUBLE) AS c, CAST(lf AS DOUBLE) AS d
+        FROM (SELECT feature, description, inverse, count(*) FILTER (value > cut) AS hn, count(*) FILTER (value <= cut) AS ln_, coalesce(sum(failed) FILTER (value > cut), 0) AS hf, coalesce(sum(failed) FILTER (value <= cut), 0) AS lf
+              FROM inl JOIN (SELECT feature, description, inverse, CASE WHEN share THEN CASE WHEN max(value) <= 1 THEN 0.2 ELSE 20 END ELSE quantile_cont(value, 0.5) END AS cut
+                             FROM inl JOIN (VALUES {CAT}) v(feature, description, inverse, share) USING (feature) GROUP BY feature, description, inverse, share) USING (feature) GROUP BY ALL)
+        WHERE hn + ln_ >= 50 AND hn >= 10 AND ln_ >= 10 AND hf > 0 AND lf > 0)""", ["inl"])
+_FACT = "lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1)"
+_CELL = "exp({f} - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1))"
+_SEEN = _CELL.format(f=_FACT).replace("(k", "(a").replace(" k", " a")
+FISHER = f"(SELECT sum(pk) FROM (SELECT {_CELL.format(f=_FACT)} AS pk FROM range(CAST(least(a + b, a + c) AS BIGINT) + 1) r(k) WHERE k >= greatest(0, a - d)) WHERE pk <= {_SEEN} * (1 + 1e-7))"
+YATES = "(a + b + c + d) * pow(greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d))"
+TEXT = """printf('Students with %s %s have %.0f%% higher failure risk (failure rate: %.1f%% vs %.1f%%)', CASE WHEN inverse THEN 'high' ELSE 'low' END, description, (rr - 1) * 100,
+    CASE WHEN inverse THEN hr ELSE lr END * 100, CASE WHEN inverse THEN lr ELSE hr END * 100)
+    || CASE WHEN p < 0.001 THEN ' (p < 0.001)' WHEN p < 0.01 THEN ' (p < 0.01)' WHEN p < 0.05 THEN ' (p < 0.05)' ELSE printf(' (p = %.3f, not statistically significant)', p) END"""
+
+
+@query("insights", "ing", f"""SELECT feature, {rnd('rr', 'relative_risk')}, {rnd('oratio', 'odds_ratio')}, {rnd('p', 'p_value')}, p < 0.05 AS significant, hn AS high_group_n, ln_ AS low_group_n,
+    {rnd('hr', 'high_fail_rate')}, {rnd('lr', 'low_fail_rate')}, {TEXT} AS insight_text
+    FROM (SELECT *, CASE WHEN least(a, b, c, d) < 5 THEN {FISHER} ELSE {sql_chi2_p('y2', '1')} END AS p FROM (SELECT *, {YATES} AS y2 FROM ing WHERE rr > 1.2))""")
 def insights(spark, d):
     """The whole catalogue over the engagement table of active students, with sentences."""
     table = stats.pass_fail(inputs.engagement(spark, d)).where("total_page_views > 0")
-    weekend = [f"weekend_{s}_pct" for s in ("morning", "afternoon", "evening", "night")]
-    total = F.col(weekend[0])
+    weekend = [F.round(f"weekend_{s}_pct", 6) for s in ("morning", "afternoon", "evening", "night")]
+    total = weekend[0]
     for c in weekend[1:]:
-        total = total + F.col(c)
-    names = [c[0] for c in stats.CATALOGUE if c[0] != "weekend_study_pct"]
-    frame = materialise(table.select(*KEYS, "failed", *names, total.alias("weekend_study_pct")))
-    out = stats.insights(stats.feature_impact(frame))
+        total = total + c
+    frame = materialise(table.select(*KEYS, "failed", *CAT_FEATURES, total.alias("weekend_study_pct")))
+    out = stats.insights(stats.feature_impact(frame, digits=6))
     return out.select("feature", "relative_risk", "odds_ratio", "p_value", "significant", "high_group_n", "low_group_n", "high_fail_rate", "low_fail_rate", "insight_text")
 
 

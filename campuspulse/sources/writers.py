@@ -22,6 +22,7 @@ def write_by_course(df: DataFrame, path: str, salts: int = 16, mode: str = "erro
     """
     if salts < 1:
         raise ValueError(salts)
-    ids = [F.col(c) for c in ("user_id",) if c in df.columns] or [F.monotonically_increasing_id()]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
+    # The salt is a hash of the row, so a retried task sends every row to the same place.
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)))
     salted.repartition("course_id", "_salt").drop("_salt").write.mode(mode).partitionBy("course_id").parquet(path)

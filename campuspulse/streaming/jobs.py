@@ -105,16 +105,20 @@ def rescore_alerts(events: DataFrame, table: str, alerts: str, checkpoint: str,
     """Micro-batch re-scoring: students seen in a batch get their active-hour alert recomputed.
 
     Each batch adds its hourly rows under its own batch number, so a repeated batch
-    overwrites itself; only the batch's students are read back.
+    overwrites itself. Rows are stored by a hash bucket of the student, and only the
+    buckets of the batch's students are read back.
     """
+    buckets = 64
 
     def score(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = hourly(batch.withColumn("cnt", F.lit(1)))
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        rows = hourly(batch.withColumn("cnt", F.lit(1))).withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
         fresh = spark.read.parquet(f"{table}/batch={batch_id}")
         seen = fresh.select("user_id").distinct()
-        history = spark.read.option("basePath", table).parquet(table).where(F.col("batch") <= batch_id)
+        hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most 64 numbers
+        stored = spark.read.option("basePath", table).parquet(table)
+        history = stored.where(F.col("bucket").isin(hit) & (F.col("batch") <= batch_id))
         (
             history.join(seen, "user_id", "left_semi")
             .groupBy("user_id")
