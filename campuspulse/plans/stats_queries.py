@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from campuspulse.functions.exprs import days_since, outcome
 from campuspulse.operators import access, courses, risk, stats
 from campuspulse.operators.activity import KEYS
+from campuspulse.operators.sessions import session_features
 from campuspulse.plans import inputs
 from campuspulse.plans.course_queries import student_frame
 from campuspulse.plans.registry import add_cte, big, query, rnd, sql_chi2_p, sql_t_p, sql_z_p
@@ -166,8 +168,6 @@ add_cte("cont", "SELECT dominant_time, CASE WHEN final_score >= 57 THEN 'Passed'
 
 
 def outcomes(spark, d):
-    from campuspulse.functions.exprs import outcome
-
     return inputs.active_students(spark, d).withColumn("outcome", outcome(F.col("final_score")))
 
 
@@ -469,21 +469,20 @@ def risk_count_rates(spark, d):
     FROM enr e LEFT JOIN sess s ON s.user_id = e.user_id LEFT JOIN totals t ON t.user_id = e.user_id LEFT JOIN fmod m ON m.user_id = e.user_id
     LEFT JOIN (SELECT user_id, count(*) AS h, max(last_ts) AS last_ts FROM hourly GROUP BY ALL) x ON x.user_id = e.user_id""")
 def alerts(spark, d):
-    from campuspulse.operators.sessions import session_features
-
     hours = inputs.hours(spark, d)
     seen = hours.groupBy(*KEYS).agg(F.count("*").alias("unique_active_hours"), F.max("last_ts").alias("last_ts"))
     gaps = session_features(hours, 30 / 7).select(*KEYS, "session_gap_mean")
-    first = tables.module_progress(spark, d).groupBy(*KEYS).agg(F.min("completed_at").alias("_first"))
     start = F.lit(inputs.MODULE_START).cast("timestamp")
-    days = F.floor(F.timestamp_diff("MICROSECOND", start, F.col("_first")) / 8.64e10)
+    done = F.min("completed_at")
+    first = tables.module_progress_by_user(spark, d).groupBy("user_id").agg(
+        F.when(done.isNotNull(), days_since(done, start)).alias("first_module_day")
+    )
     frame = (
         inputs.members(spark, d).select(*KEYS)
         .join(inputs.summaries(spark, d).select(*KEYS, "total_activity_time"), KEYS, "left")
-        .join(seen, KEYS, "left").join(gaps, KEYS, "left").join(first, KEYS, "left")
-        .withColumn("first_module_day", F.greatest(F.lit(0), days))
+        .join(seen, KEYS, "left").join(gaps, KEYS, "left").join(first, "user_id", "left")
     )
-    flags = risk.activity_alerts(frame.withColumn("first_module_day", F.when(F.col("_first").isNotNull(), F.col("first_module_day"))), F.lit(tables.COURSE_END).cast("timestamp"))
+    flags = risk.activity_alerts(frame, F.lit(tables.COURSE_END).cast("timestamp"))
     return flags.select(*KEYS, "alert_no_module", "alert_low_time", "alert_long_gap", "alert_few_hours", "alert_inactive")
 
 
