@@ -391,7 +391,9 @@ add_cte("bsd", f"SELECT user_id, {BLOCK_SD_SQL} FROM blockweek GROUP BY ALL", ["
 add_cte("traj", f"SELECT user_id, {TRAJECTORY_SQL}, {WORKLOAD_SQL} FROM series2 GROUP BY ALL", ["series2"])
 add_cte("sessf", f"SELECT * EXCLUDE (course_id) FROM ({SESSION_SQL})", ["sess"])
 add_cte("accp", f"SELECT user_id, {rnd(ACCESS_SQL, 'access_time_pct')} FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM act) GROUP BY ALL", ["act"])
-add_cte("fmod", "SELECT user_id, greatest(0, date_diff('microsecond', TIMESTAMP '1995-01-01', min(completed_at)) // 86400000000) AS first_module_day FROM prog GROUP BY ALL", ["prog"])
+add_cte("fmod",
+        # greatest() skips nulls in DuckDB, so a student without any completion is kept null explicitly.
+        "SELECT user_id, CASE WHEN min(completed_at) IS NOT NULL THEN greatest(0, date_diff('microsecond', TIMESTAMP '1995-01-01', min(completed_at)) // 86400000000) END AS first_module_day FROM prog GROUP BY ALL", ["prog"])
 add_cte("eng", """
     SELECT e.course_id, e.user_id, 'student' AS user_role, final_score, CASE WHEN final_score < 57 THEN 1 ELSE 0 END AS failed,
            """ + ", ".join(
