@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from campuspulse.llm import exact_dedup
+from campuspulse.llm import chat_format, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, chat_format)
 
 
 def queries():
