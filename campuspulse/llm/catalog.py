@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from campuspulse.llm import chat_format, exact_dedup, license_scan
+from campuspulse.llm import chat_format, decontaminate, exact_dedup, license_scan
 
-MODULES = (exact_dedup, chat_format, license_scan)
+MODULES = (exact_dedup, chat_format, license_scan, decontaminate)
 
 
 def queries():
