@@ -68,7 +68,9 @@ def _keyed(chunked: DataFrame) -> DataFrame:
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk, start, n_lines, digest) of every chunk of several lines."""
-    return _keyed(with_chunks(with_lines(docs))).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*")
+    # An inner explode lets the optimizer add a filter that repeats the whole derivation per element; the outer one does not.
+    keyed = _keyed(with_chunks(with_lines(docs))).select("doc_id", F.explode_outer("chunks").alias("c"))
+    return keyed.where("c is not null").select("doc_id", "c.*")
 
 
 def removals(docs: DataFrame) -> DataFrame:
