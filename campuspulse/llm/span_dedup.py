@@ -105,22 +105,19 @@ def run_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs: array of start, h1, first): per document its runs that must go, with the document that keeps each."""
+    """(doc_id, runs: array of h1, h2, start, first, own) of documents that lose sentences.
+
+    ``first`` keeps the run; in that document itself (``own``) the run stays at its first place.
+    """
     rows = written(run_rows(docs), "sentence-runs")
     counts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = rows.join(counts, ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("first"))
-    # In the document that keeps a run, its first place stays.
-    by_doc = met.withColumn("own", own).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2", "start", "first", "own")).alias("r"))
-    ordered = F.array_sort("r")
-
-    def goes(run, i):
-        before = F.get(F.col("r"), i - 1)
-        again = (i > 0) & (before["h1"] == run["h1"]) & (before["h2"] == run["h2"]) & (before["start"] < run["start"])
-        return ~run["own"] | F.coalesce(again, F.lit(False))
-
-    gone = F.transform(F.filter("r", goes), lambda x: F.struct(x["start"].alias("start"), x["h1"].alias("h1"), x["first"].alias("first")))
-    return by_doc.withColumn("r", ordered).select("doc_id", gone.alias("runs")).where(F.size("runs") > 0)
+    by_doc = met.withColumn("own", own).groupBy("doc_id").agg(
+        F.collect_set(F.struct("h1", "h2", "start", "first", "own")).alias("runs"),
+        F.size(F.collect_set(F.struct("h1", "h2"))).alias("kinds"), F.bool_or(~F.col("own")).alias("others"))
+    # A document that only keeps its runs, each at one place, loses nothing.
+    return by_doc.where(F.col("others") | (F.col("kinds") < F.size("runs"))).select("doc_id", "runs")
 
 
 _CLEAN = pa.schema([
@@ -139,10 +136,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(b - a):
                 lo, hi = edges[i], edges[i + 1]
                 own = {(s, h): n for s, h, n in zip(r["start"][lo:hi].tolist(), r["h1"][lo:hi].tolist(), r["n"][lo:hi].tolist())}
-                gone, first = np.zeros(counts[i], bool), set()
-                for run in removed[a + i].as_py():
-                    n = own.get((run["start"], run["h1"]))
-                    if n:
+                gone, first, kept = np.zeros(counts[i], bool), set(), set()
+                for run in sorted(removed[a + i].as_py(), key=lambda x: x["start"]):
+                    n, key = own.get((run["start"], run["h1"])), (run["h1"], run["h2"])
+                    if n and run["own"] and key not in kept:
+                        kept.add(key)
+                    elif n:
                         gone[run["start"]: run["start"] + n] = True
                         first.add(run["first"])
                 if not gone.any():
