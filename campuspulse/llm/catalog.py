@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from campuspulse.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, quality_crf, span_dedup
+from campuspulse.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, pii, quality_crf, span_dedup
 
-MODULES = (exact_dedup, chat_format, license_scan, decontaminate, line_dedup, span_dedup, bpe, quality_crf, jaccard_join)
+MODULES = (exact_dedup, chat_format, license_scan, decontaminate, line_dedup, span_dedup, bpe, quality_crf, jaccard_join, pii)
 
 
 def queries():
