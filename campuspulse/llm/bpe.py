@@ -27,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
 from campuspulse.llm.bpe_lexicon import LETTER, OTHER, SPACE, Lexicon, char_classes, compile_image, lexicon, ragged
-from campuspulse.llm.common import ids_and_text, table, text_of
+from campuspulse.llm.common import ids_and_text, most_frequent, table, text_of
 from campuspulse.llm.textbytes import slices, span_hashes
 
 LEXICON_WORDS = 30_000
@@ -224,8 +224,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_words(docs: DataFrame, limit: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words of all documents; their number, hence what the driver gets, is bounded by ``limit``."""
     counts = ids_and_text(docs).select("text").mapInArrow(_count_words, "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [bytes(r.word) for r in top.collect()]
+    top = most_frequent(counts.groupBy("word").agg(F.sum("n").alias("n")), limit, "word-counts")
+    return sorted(bytes(r.word) for r in top.select("word").collect())
 
 
 def prepare(docs: DataFrame, vocabulary: str | None = None, limit: int = LEXICON_WORDS) -> str:

@@ -32,3 +32,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null text read as empty; other columns are left behind, so none can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
+def most_frequent(counts: DataFrame, limit: int, label: str) -> DataFrame:
+    """Rows of a table of distinct keys with a count ``n`` that are among the ``limit`` most frequent, ties in or out together.
+
+    A histogram of counts in steps of an eighth of a power of two (some hundred rows) gives the least count, so
+    that never more than ``limit`` rows leave the executors, however many tasks hold them.
+    """
+    counts = written(counts, label)
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
+    total, least = 0, None
+    for at, size in sizes:
+        total += size
+        if total > limit:
+            break
+        least = at
+    return counts.where(step >= least if least is not None else F.lit(False))
