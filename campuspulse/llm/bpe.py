@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from campuspulse.llm.textbytes import slices, span_hashes
 
 LEXICON_WORDS = 30_000
 COUNT_WORDS = 300_000
+DECODE_IDS = 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -160,10 +162,14 @@ def _decoder(image: str):
     @arrow_udf(from_arrow_type(pa.string()))
     def decode_ids(lists: pa.Array) -> pa.Array:
         lex, out = lexicon(image), []
-        for ids in lists.to_pylist():
-            ids = np.array([i for i in ids or [] if i is not None], np.int64)
-            raw, _ = decode_slice(lex, ids, np.array([0, len(ids)]))
-            out.append(raw.tobytes().decode("utf-8", "replace"))
+        offs, values = lists.offsets.to_numpy(), pc.fill_null(lists.values, -1).to_numpy().astype(np.int64)
+        at = 0
+        while at < len(lists):
+            end = max(at + 1, int(np.searchsorted(offs, offs[at] + DECODE_IDS, "right")) - 1)
+            raw, ends = decode_slice(lex, values[offs[at]: offs[end]], offs[at: end + 1] - offs[at])
+            data, ends = raw.tobytes(), ends.tolist()
+            out += [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+            at = end
         return pa.array(out, pa.string())
 
     return decode_ids

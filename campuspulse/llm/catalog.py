@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from campuspulse.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, pii, quality_crf, span_dedup
+import corpus_pipeline
+from campuspulse.llm import (
+    bpe, chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, pii, quality_crf, span_dedup,
+)
 
-MODULES = (exact_dedup, chat_format, license_scan, decontaminate, line_dedup, span_dedup, bpe, quality_crf, jaccard_join, pii)
+MODULES = (exact_dedup, quality_crf, pii, span_dedup, bpe, jaccard_join, line_dedup, chat_format, license_scan, decontaminate)
 
 
 def queries():
     found = {}
     for module in MODULES:
         found |= module.QUERIES
-    return found
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracles():
     found = {}
     for module in MODULES:
         found |= module.ORACLES
-    return found
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
