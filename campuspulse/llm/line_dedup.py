@@ -92,7 +92,8 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_chunks (removed), text (what is left)."""
-    gone = written(removals(docs), "line-removals").groupBy("doc_id").agg(
+    # Unwritten, so that both joins read one exchange of the texts.
+    gone = removals(docs).groupBy("doc_id").agg(
         F.collect_set(F.struct("chunk", "start", "n_lines", "digest")).alias("gone")).withColumnRenamed("doc_id", "id")
     joined = with_lines(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     mine = F.filter(F.coalesce("gone", F.array().cast("array<struct<chunk:int,start:int,n_lines:int,digest:binary>>")),
