@@ -93,7 +93,8 @@ def failed(score: Column, nulls: str = "keep") -> Column:
 
 
 def outcome(score: Column) -> Column:
-    return F.when(score >= PASS_MARK, "Passed").otherwise("Failed")
+    """Passed or Failed; a missing score has no outcome."""
+    return F.when(score >= PASS_MARK, "Passed").when(score.isNotNull(), "Failed")
 
 
 def valid_grade(score: Column) -> Column:

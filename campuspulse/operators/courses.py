@@ -354,13 +354,14 @@ def top_courses(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(column), tie).limit(n)
 
 
-def current_final_score(subs: DataFrame, by: list[str], weights: DataFrame | None = None) -> DataFrame:
+def current_final_score(subs: DataFrame, by: list[str], weights: DataFrame | None = None, default_weight: float = 1.0) -> DataFrame:
     """Current score over graded work and final score with missing work as zero.
 
-    ``weights`` (assignment_id, weight) makes both weighted means.
+    ``weights`` (assignment_id, weight) makes both weighted means. Work without a weight keeps its row and its student and
+    counts with ``default_weight``.
     """
-    w = F.col("weight") if weights is not None else F.lit(1.0)
-    df = subs.join(weights, "assignment_id") if weights is not None else subs
+    w = F.coalesce(F.col("weight"), F.lit(default_weight)) if weights is not None else F.lit(1.0)
+    df = subs.join(weights, "assignment_id", "left") if weights is not None else subs
     graded = F.when(F.col("score").isNotNull(), w)
     earned = F.sum(F.col("score") * w)
     return df.groupBy(*by).agg(

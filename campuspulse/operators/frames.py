@@ -175,8 +175,11 @@ def student_engagement_features(
     joined = members.join(profile, KEYS, "left").join(modules, keys_of(modules), "left")
     kinds = dict(joined.dtypes)
     # First assignment access is part of the row but is never observed.
+    seen = F.coalesce(F.col("total_page_views"), F.lit(0)) > 0
     columns = [
         F.lit(0.0).alias(f) if f == "first_assignment_day"
+        # Access days exist only where a click was seen.
+        else F.when(seen, F.coalesce(F.col(f), F.lit(0).cast(kinds[f]))).otherwise(F.lit(0).cast(kinds[f])).alias(f) if f == "first_module_day"
         else F.coalesce(F.col(f), F.lit(0).cast(kinds[f])).alias(f)
         for f in names.ALL_FEATURES
     ]
@@ -408,7 +411,10 @@ def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame, s
     )
 
 
-def instructor_features(views: DataFrame, staff: DataFrame, courses: DataFrame) -> DataFrame:
-    """The student activity profile computed for staff, with their role."""
-    hours = hourly(views, keys=KEYS).join(courses.select("course_id", "start_at", "end_at"), "course_id")
-    return activity_profile(hours).join(staff.select(*KEYS, "user_role"), KEYS)
+def instructor_features(views: DataFrame, staff: DataFrame, courses: DataFrame, participation_kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The student activity profile computed for staff, with their role; zero where nothing was seen."""
+    parts = F.when(F.col("kind").isin(*participation_kinds), F.col("cnt")).otherwise(0)
+    hours = hourly(views, keys=KEYS, parts=F.sum(parts)).join(courses.select("course_id", "start_at", "end_at"), "course_id")
+    joined = staff.select(*KEYS, "user_role").join(activity_profile(hours), KEYS, "left")
+    kinds = dict(joined.dtypes)
+    return joined.select(*KEYS, "user_role", *[F.coalesce(F.col(c), F.lit(0).cast(kinds[c])).alias(c) for c in joined.columns[3:]])

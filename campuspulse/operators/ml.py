@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, Imputer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from campuspulse.functions.exprs import safe_ratio
 from campuspulse.functions.features import GROUPS
 from campuspulse.operators.frames import zscore_within
-from campuspulse.operators.ranks import attach_row, sliced_row_number
+from campuspulse.operators.ranks import attach_row, percentiles, sliced_row_number
 from campuspulse.operators.stats import auc
 
 SEED = 42
@@ -33,7 +33,10 @@ def impute(df: DataFrame, features: list[str], strategy: str = "median") -> Data
     inf = float("inf")
     ready = df.withColumns({f: F.col(f).cast("double") for f in features})
     if strategy == "median":
-        ready = Imputer(strategy="median", inputCols=features, outputCols=features).fit(ready).transform(ready)
+        for f in features:
+            value = F.when(~F.isnan(f), F.col(f))
+            median = percentiles(ready.select(value.alias(f)), [], f, {f"_median_{f}": 0.5})
+            ready = attach_row(ready, median).withColumn(f, F.coalesce(value, F.col(f"_median_{f}"))).drop(f"_median_{f}")
     elif strategy != "zero":
         raise ValueError(strategy)
     return ready.withColumns({

@@ -70,7 +70,9 @@ def prefix_totals(
         counts = counts.withColumn("_g", F.lit(0))
     if coarse is None:
         edges = slice_edges(counts, group, value)
-        sliced = counts.join(edges, group).withColumn(
+        # Without keys the edges are one row, attached as a scalar: a join on a constant would be a cross join.
+        met = counts.join(edges, group) if keys else attach_row(counts, edges.select("_edges"))
+        sliced = met.withColumn(
             "_slice", F.size(F.filter("_edges", lambda e: e < F.col(value)))
         ).drop("_edges")
     else:
@@ -154,11 +156,10 @@ def lag_in_chunks(df: DataFrame, keys: list[str], order: list[str], value: str,
     edges = last.select(*keys, "_chunk", F.lag("_last").over(per_key).alias("_before"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     previous = F.coalesce(F.lag(F.struct(value)).over(inside), F.col("_before"))
-    return (
-        marked.join(edges, [*keys, "_chunk"])
-        .withColumn(name, previous[value])
-        .drop("_chunk", "_before")
-    )
+    # Null-safe: rows without a first order value form a chunk of their own, before all others.
+    named = edges.select(*[F.col(c).alias(f"_e_{c}") for c in (*keys, "_chunk")], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in (*keys, "_chunk")]
+    return marked.join(named, same).withColumn(name, previous[value]).drop("_chunk", "_before", *[f"_e_{c}" for c in (*keys, "_chunk")])
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -127,17 +127,33 @@ def compare_groups(corr: DataFrame, by: str, groups: list) -> DataFrame:
 def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearson") -> DataFrame:
     """(feature1, feature2, r) for i < j. Only the small matrix reaches the driver.
 
-    Nulls count as zero. Features without spread are left out of the matrix.
+    Each pair uses the rows where both are present. Features without spread are left out of the matrix. Rank
+    correlation takes complete columns only.
     """
     spark = df.sparkSession
-    filled = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
-    vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(filled).select("_v")
-    matrix = Correlation.corr(vectors, "_v", method).head()[0].toArray()
-    pairs = [
-        (features[i], features[j], float(matrix[i, j]))
-        for i in range(len(features)) for j in range(i + 1, len(features)) if matrix[i, j] == matrix[i, j]
-    ]
-    return spark.createDataFrame(pairs, "feature1 string, feature2 string, r double")
+    wide = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    missing = wide.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    holes = [f for f in features if missing[f]]
+    if holes and method != "pearson":
+        raise ValueError(f"nulls in {holes}")
+    full = [f for f in features if f not in holes]
+    found = {}
+    if len(full) > 1:
+        vectors = VectorAssembler(inputCols=full, outputCol="_v").transform(wide.select(*full)).select("_v")
+        matrix = Correlation.corr(vectors, "_v", method).head()[0].toArray()
+        found = {(full[i], full[j]): float(matrix[i, j]) for i in range(len(full)) for j in range(i + 1, len(full))}
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    partial = [p for p in pairs if p[0] in holes or p[1] in holes]
+    for at in range(0, len(partial), 100):
+        part = partial[at: at + 100]
+        both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in part]
+        row = wide.agg(*[
+            guarded_r(F.covar_pop(a, b), F.stddev_pop(F.when(k, F.col(a))), F.stddev_pop(F.when(k, F.col(b)))).alias(f"_{i}")
+            for i, ((a, b), k) in enumerate(zip(part, both))
+        ]).first()
+        found |= {p: row[i] for i, p in enumerate(part)}
+    rows = [(a, b, found[a, b]) for a, b in pairs if found.get((a, b)) is not None and found[a, b] == found[a, b]]
+    return spark.createDataFrame(rows, "feature1 string, feature2 string, r double")
 
 
 def high_pairs(matrix: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from campuspulse.functions import exprs
+from campuspulse.functions import features as names
+from campuspulse.functions.exprs import round_doubles
 from campuspulse.operators import access, activity, calendar, frames, sessions, weekly
 from campuspulse.plans import inputs
 from campuspulse.plans.registry import add_cte, big, query, rnd
@@ -403,9 +405,9 @@ add_cte("eng", """
         + ["weekday_morning_sd", "weekday_afternoon_sd", "weekend_total_sd"] + [f"dct_coef_{k}" for k in range(12)]
         + ["engagement_velocity", "engagement_acceleration", "weekly_cv", "trend_reversals", "early_engagement_ratio", "late_surge",
            "peak_count_type1", "peak_count_type2", "peak_count_type3", "peak_ratio", "max_positive_slope", "max_negative_slope",
-           "slope_std", "positive_slope_sum", "negative_slope_sum", "weekly_range", "first_access_day", "first_module_day"]
+           "slope_std", "positive_slope_sum", "negative_slope_sum", "weekly_range", "first_access_day"]
     )
-) + """, CAST(0 AS DOUBLE) AS first_assignment_day, coalesce(access_time_pct, 0) AS access_time_pct,
+) + """, CASE WHEN page_views > 0 THEN coalesce(first_module_day, 0) ELSE 0 END AS first_module_day, CAST(0 AS DOUBLE) AS first_assignment_day, coalesce(access_time_pct, 0) AS access_time_pct,
            coalesce(page_views, 0) AS total_page_views, coalesce(participations, 0) AS total_participations,
            coalesce(activity_span_days, 0) AS activity_span_days, coalesce(unique_active_hours, 0) AS unique_active_hours
     FROM enr e LEFT JOIN sessf USING (user_id) LEFT JOIN bshare USING (user_id) LEFT JOIN bsd USING (user_id) LEFT JOIN traj USING (user_id)
@@ -418,30 +420,17 @@ def engagement_features(spark, d):
     return inputs.engagement(spark, d)
 
 
-# Unrounded inputs, as standardising rounded values would differ in the last digits.
-add_cte(
-    "zin",
-    """SELECT e.course_id, e.user_id, CASE WHEN coalesce(s.n, 0) >= 2 THEN inter + 1 ELSE 0 END AS session_count, coalesce(gmean, 0) AS session_gap_mean,
-              CASE WHEN gmean > 0 THEN greatest(0, least(1, 1 - gstd / gmean)) ELSE 0 END AS session_regularity,
-              CASE WHEN coalesce(s.n, 0) >= 2 THEN inter + 1 ELSE 0 END / (30 / 7.0) AS sessions_per_week,
-              coalesce(page_views, 0) AS total_page_views, coalesce(participations, 0) AS total_participations, coalesce(wr, 0) AS weekly_range
-       FROM enr e LEFT JOIN sess s ON s.user_id = e.user_id LEFT JOIN totals t ON t.user_id = e.user_id
-       LEFT JOIN (SELECT user_id, max(cnt) - min(cnt) AS wr FROM weekly GROUP BY ALL) w ON w.user_id = e.user_id""",
-    ["enr", "sess", "totals", "weekly"],
-)
 _Z = ", ".join(
-    rnd(f"CASE WHEN stddev_samp({c}) OVER p > 0 THEN ({c} - avg({c}) OVER p) / stddev_samp({c}) OVER p ELSE 0 END", f"{c}_norm")
-    for c in ("session_count", "session_gap_mean", "session_regularity", "sessions_per_week", "total_page_views", "total_participations", "weekly_range")
+    rnd(f"CASE WHEN stddev_samp({c}) OVER p > 0 THEN ({c} - avg({c}) OVER p) / stddev_samp({c}) OVER p ELSE 0 END", f"{c}_norm") for c in names.NORMALISED
 )
 
 
-@query("zscore_in_course", "zin", f"SELECT course_id, user_id, {_Z} FROM zin WINDOW p AS (PARTITION BY course_id)")
+@query("zscore_in_course", "eng", f"SELECT course_id, user_id, {_Z} FROM eng WINDOW p AS (PARTITION BY course_id)")
 def zscore_in_course(spark, d):
-    columns = ["session_count", "session_gap_mean", "session_regularity", "sessions_per_week",
-               "total_page_views", "total_participations", "weekly_range"]
-    table = inputs.engagement(spark, d).select(*activity.KEYS, *columns)
-    z = frames.zscore_within(materialise(table), columns)
-    return z.select(*activity.KEYS, *[f"{c}_norm" for c in columns])
+    """All normalised features, from the feature table at its six digits."""
+    table = round_doubles(inputs.engagement(spark, d).select(*activity.KEYS, *names.NORMALISED), 6)
+    z = frames.zscore_within(materialise(table), names.NORMALISED)
+    return z.select(*activity.KEYS, *[f"{c}_norm" for c in names.NORMALISED])
 
 
 EW_COUNTS = [
@@ -495,18 +484,19 @@ def time_features(spark, d):
     return frames.time_features(inputs.hours(spark, d))
 
 
+STAFF_FEATURES = [f for f in names.ALL_FEATURES if f not in ("first_module_day", "first_assignment_day")]
+
+
 @query(
-    "instructor_features", "sess eng",
-    """SELECT course_id, user_id, CASE WHEN program IN ('BUILDING') THEN 'teacher' ELSE 'ta' END AS user_role, session_count, session_regularity, weekday_morning_pct,
-              engagement_velocity, weekly_range
-       FROM eng JOIN (SELECT user_id, program FROM enr WHERE program IN ('BUILDING', 'MACHINERY')) USING (user_id)
-       WHERE total_page_views > 0""",
+    "instructor_features", "eng",
+    f"""SELECT course_id, user_id, CASE WHEN program IN ('BUILDING') THEN 'teacher' ELSE 'ta' END AS user_role, {', '.join(STAFF_FEATURES)}
+        FROM eng JOIN (SELECT user_id, program FROM enr WHERE program IN ('BUILDING', 'MACHINERY')) USING (user_id)""",
 )
 def instructor_features(spark, d):
-    """Teacher and TA rows: the activity profile of page views inside their course window."""
+    """Teacher and TA rows: the activity profile of page views inside their course window, zero without views."""
     kind = F.when(F.col("program") == "BUILDING", "TeacherEnrollment").when(F.col("program") == "MACHINERY", "TaEnrollment")
     roster = inputs.members(spark, d).withColumn("type", kind)
     staff = frames.staff_roster(roster)
     views = frames.in_course_window(tables.activity(spark, d), staff, tables.courses(spark, d))
-    table = frames.instructor_features(views, staff, tables.courses(spark, d))
-    return table.select(*activity.KEYS, "user_role", "session_count", "session_regularity", "weekday_morning_pct", "engagement_velocity", "weekly_range")
+    table = frames.instructor_features(views, staff, tables.courses(spark, d), tables.PARTICIPATION_KINDS)
+    return table.select(*activity.KEYS, "user_role", *STAFF_FEATURES)

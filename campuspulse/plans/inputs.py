@@ -79,6 +79,11 @@ def basics(spark, d) -> DataFrame:
     return frames.activity_basics(user_hours(spark, d).join(roster, "user_id"), ("final_score",))
 
 
-def active_students(spark, d) -> DataFrame:
-    """Students seen in the click stream, with scores and the basic activity features."""
-    return basics(spark, d)
+def all_students(spark, d) -> DataFrame:
+    """Every enrolled student with score and basic activity features; zero, and no dominant time, where nothing was seen."""
+    roster = members(spark, d).select("user_id", "course_id", "final_score")
+    seen = basics(spark, d).drop("final_score", "first_activity_at", "last_activity_at")
+    kinds = dict(seen.dtypes)
+    joined = roster.join(seen, ["course_id", "user_id"], "left")
+    filled = {c: F.coalesce(F.col(c), F.lit("none" if k == "string" else 0).cast(k)) for c, k in kinds.items() if c not in ("course_id", "user_id")}
+    return joined.withColumns(filled)

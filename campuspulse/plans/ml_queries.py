@@ -136,7 +136,7 @@ def model_catch_rate(spark, d):
 
 
 def feature_table(spark, d):
-    table = inputs.engagement(spark, d).where("total_page_views > 0")
+    table = inputs.engagement(spark, d)
     return materialise(table)
 
 

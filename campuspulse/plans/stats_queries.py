@@ -1,4 +1,4 @@
-"""Correlation, significance, table and risk queries on active students."""
+"""Correlation, significance, table and risk queries on all enrolled students."""
 
 from __future__ import annotations
 
@@ -22,26 +22,29 @@ CORE = ["unique_active_hours", "total_activity_time", "avg_gap_hours", "gap_std_
 
 
 def students(spark, d):
-    """Active students with target, written once to the shared folder: later steps read it several times."""
-    return materialise(stats.pass_fail(inputs.active_students(spark, d)))
+    """All enrolled students with target, written once to the shared folder: later steps read it several times."""
+    return materialise(stats.pass_fail(inputs.all_students(spark, d)))
 
 
 add_cte("active", """
-    SELECT e.course_id, e.user_id, e.final_score, CASE WHEN e.final_score < 57 THEN 1 ELSE 0 END AS failed, t.page_views, t.participations,
-           t.total_activity_time, g.unique_active_hours, g.avg_gap_hours, g.gap_std_hours, g.activity_span_days,
-           morning_activity, afternoon_activity, evening_activity, night_activity, dominant_time,
+    SELECT e.course_id, e.user_id, e.final_score, CASE WHEN e.final_score < 57 THEN 1 ELSE 0 END AS failed, coalesce(t.page_views, 0) AS page_views,
+           coalesce(t.participations, 0) AS participations, coalesce(t.total_activity_time, 0) AS total_activity_time, coalesce(g.unique_active_hours, 0) AS unique_active_hours,
+           coalesce(g.avg_gap_hours, 0) AS avg_gap_hours, coalesce(g.gap_std_hours, 0) AS gap_std_hours, coalesce(g.activity_span_days, 0) AS activity_span_days,
+           coalesce(morning_activity, 0) AS morning_activity, coalesce(afternoon_activity, 0) AS afternoon_activity, coalesce(evening_activity, 0) AS evening_activity,
+           coalesce(night_activity, 0) AS night_activity, coalesce(dominant_time, 'none') AS dominant_time,
            CASE WHEN morning_activity = best THEN 1 ELSE 0 END AS is_morning_studier, CASE WHEN evening_activity = best THEN 1 ELSE 0 END AS is_evening_studier
-    FROM enr e JOIN totals t ON t.user_id = e.user_id JOIN rawgap g ON g.user_id = e.user_id JOIN tod d ON d.user_id = e.user_id""",
+    FROM enr e LEFT JOIN totals t ON t.user_id = e.user_id LEFT JOIN rawgap g ON g.user_id = e.user_id LEFT JOIN tod d ON d.user_id = e.user_id""",
     ["enr", "totals", "rawgap", "tod"])
 add_cte("along", "SELECT * FROM (SELECT course_id, user_id, final_score, failed, " + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
         + f" FROM active) UNPIVOT (value FOR feature IN ({', '.join(FEATURES)}))", ["active"])
 R = "covar_pop(value, final_score) / nullif(stddev_pop(value) * stddev_pop(final_score), 0)"
 add_cte("pear", f"SELECT course_id, feature, count(*) AS n, {R} AS r FROM along GROUP BY ALL HAVING count(*) >= 5 AND {R} IS NOT NULL", ["along"])
-add_cte("pooled", f"SELECT feature, count(*) AS n, {R} AS r FROM along GROUP BY ALL HAVING count(*) >= 5 AND {R} IS NOT NULL", ["along"])
+RF = R.replace("final_score", "failed")
+add_cte("pooled", f"SELECT feature, count(*) AS n, {RF} AS r FROM along GROUP BY ALL HAVING count(*) >= 10 AND {RF} IS NOT NULL", ["along"])
 
 
 def pearson(spark, d):
-    return stats.correlations(inputs.active_students(spark, d), FEATURES, "final_score", ["course_id"])
+    return stats.correlations(inputs.all_students(spark, d), FEATURES, "final_score", ["course_id"])
 
 
 @query("pearson_by_course", "pear", f"SELECT course_id, feature, n, {rnd('r')} FROM pear")
@@ -51,12 +54,13 @@ def pearson_by_course(spark, d):
 
 @query("pooled_correlations", "pooled", f"SELECT feature, n, {rnd('r')}, {rnd('abs(r)', 'abs_r')}, CASE WHEN r > 0 THEN 'increases failure' ELSE 'decreases failure' END AS direction FROM pooled")
 def pooled_correlations(spark, d):
-    return stats.ranked(stats.correlations(inputs.active_students(spark, d), FEATURES, "final_score", []))
+    """Strength and direction against failing, so that a positive r increases failure."""
+    return stats.ranked(stats.correlations(stats.pass_fail(inputs.all_students(spark, d)), FEATURES, "failed", [], min_n=10))
 
 
 @query("failure_correlations", "along", f"SELECT feature, count(*) AS n, {rnd('covar_pop(value, failed) / nullif(stddev_pop(value) * stddev_pop(failed), 0)', 'r')} FROM along GROUP BY ALL HAVING count(*) >= 10 AND stddev_pop(value) > 0")
 def failure_correlations(spark, d):
-    return stats.correlations(stats.pass_fail(inputs.active_students(spark, d)), FEATURES, "failed", [], min_n=10)
+    return stats.correlations(stats.pass_fail(inputs.all_students(spark, d)), FEATURES, "failed", [], min_n=10)
 
 
 @query("spearman_by_course", "along", f"""
@@ -91,13 +95,12 @@ def high_corr_pairs(spark, d):
     return stats.high_pairs(stats.correlation_matrix(students(spark, d), FEATURES))
 
 
-# A bound on |t| stands in for p < 0.05 here, as the check engine has no t distribution.
-add_cte("sig", "SELECT * FROM pear WHERE abs(r * sqrt((n - 2) / (1 - r * r))) > 0.5", ["pear"])
+add_cte("sig", f"SELECT * FROM peart WHERE {P_R} < 0.05", ["peart"])
 
 
 @query("cross_course_mean_r", "sig", f"SELECT feature, {rnd('avg(r)', 'avg_r')}, count(*) AS n_courses, {big('sum(n)', 'total_n')}, {rnd('abs(avg(r))', 'abs_avg_r')} FROM sig GROUP BY ALL HAVING count(*) >= 2")
 def cross_course_mean_r(spark, d):
-    return stats.cross_course_mean(stats.significant_by_t(pearson(spark, d), F.lit(0.5)))
+    return stats.cross_course_mean(stats.with_significance(pearson(spark, d)).where("significant"))
 
 
 @query("cross_course_consistency", "pear", f"SELECT feature, {rnd('avg(r)', 'mean')}, {rnd('stddev_pop(r)', 'std')}, count(*) AS n_courses, CASE WHEN min(r) > 0 OR max(r) < 0 THEN 'consistent' ELSE 'mixed' END AS consistency FROM pear GROUP BY ALL")
@@ -106,14 +109,15 @@ def cross_course_consistency(spark, d):
 
 
 @query("top_features_heatmap", "pear", f"""SELECT course_id, feature, n, {rnd('r')} FROM pear WHERE feature IN (
-    SELECT feature FROM (SELECT feature, row_number() OVER (PARTITION BY course_id ORDER BY abs(r) DESC, feature) AS k FROM pear) WHERE k <= 3)""")
+    SELECT feature FROM (SELECT feature, row_number() OVER (PARTITION BY course_id ORDER BY abs(r) DESC, feature) AS k FROM pear) WHERE k <= 5)""")
 def top_features_heatmap(spark, d):
-    return stats.top_feature_heatmap(pearson(spark, d), k=3)
+    return stats.top_feature_heatmap(pearson(spark, d))
 
 
-@query("course_comparison", "pear", "SELECT feature, " + ", ".join(rnd(f"max(r) FILTER (course_id = {i})", f"r_{i}") for i in range(5)) + " FROM pear GROUP BY ALL")
+@query("course_comparison", "pear", f"SELECT feature, course_id, {rnd('r')} FROM pear")
 def course_comparison(spark, d):
-    return stats.compare_groups(pearson(spark, d), "course_id", list(range(5)))
+    """One row per feature and course, so that no list of courses is needed; ``stats.compare_groups`` makes it wide."""
+    return pearson(spark, d).select("feature", "course_id", "r")
 
 
 @query("top_feature_per_course", "pear", f"SELECT course_id, feature, {rnd('r')}, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY course_id ORDER BY abs(r) DESC, feature) AS k FROM pear) WHERE k <= 5")
@@ -127,7 +131,7 @@ TT = "((avg(value) FILTER (failed = 0)) - (avg(value) FILTER (failed = 1))) / sq
 @query("t_test", "along", f"""SELECT feature, count(*) FILTER (failed = 0) AS n_passed, count(*) FILTER (failed = 1) AS n_failed, {rnd('avg(value) FILTER (failed = 0)', 'mean_passed')},
     {rnd('avg(value) FILTER (failed = 1)', 'mean_failed')}, {rnd(TT, 't')}, count(*) - 2 AS df FROM along WHERE feature IN ('page_views', 'total_activity_time', 'unique_active_hours', 'avg_gap_hours') GROUP BY ALL""")
 def t_test(spark, d):
-    return stats.t_test(stats.pass_fail(inputs.active_students(spark, d)), ["page_views", "total_activity_time", "unique_active_hours", "avg_gap_hours"])
+    return stats.t_test(stats.pass_fail(inputs.all_students(spark, d)), ["page_views", "total_activity_time", "unique_active_hours", "avg_gap_hours"])
 
 
 add_cte("core_t", f"""SELECT feature, count(*) FILTER (failed = 0) AS n_passed, count(*) FILTER (failed = 1) AS n_failed, avg(value) FILTER (failed = 0) AS mean_passed,
@@ -136,7 +140,7 @@ add_cte("core_t", f"""SELECT feature, count(*) FILTER (failed = 0) AS n_passed,
 
 @query("t_test_pvalues", "core_t", f"SELECT feature, n_passed, n_failed, {rnd('mean_passed')}, {rnd('mean_failed')}, {rnd('t')}, df, {rnd(sql_t_p('t', 'df'), 'p_value')} FROM core_t")
 def t_test_pvalues(spark, d):
-    return stats.with_t_p(stats.t_test(stats.pass_fail(inputs.active_students(spark, d)), CORE))
+    return stats.with_t_p(stats.t_test(stats.pass_fail(inputs.all_students(spark, d)), CORE))
 
 
 MID = "rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2"
@@ -168,7 +172,7 @@ add_cte("cont", "SELECT dominant_time, CASE WHEN final_score >= 57 THEN 'Passed'
 
 
 def outcomes(spark, d):
-    return inputs.active_students(spark, d).withColumn("outcome", outcome(F.col("final_score")))
+    return inputs.all_students(spark, d).withColumn("outcome", outcome(F.col("final_score")))
 
 
 @query("contingency", "cont", "SELECT * FROM cont")
@@ -199,12 +203,14 @@ IMPACT_FEATURES = [("page_views", "views", False, False), ("unique_active_hours"
 
 
 def share_students(spark, d):
-    return students(spark, d).withColumn("morning_share", F.col("morning_activity") / F.col("page_views")).withColumn(
-        "night_share", F.col("night_activity") / F.col("page_views"))
+    def share(c):
+        return F.coalesce(F.try_divide(c, F.col("page_views")), F.lit(0.0))
+
+    return students(spark, d).withColumn("morning_share", share(F.col("morning_activity"))).withColumn("night_share", share(F.col("night_activity")))
 
 
 add_cte("imp", """SELECT failed, feature, round(value, 6) AS value FROM (SELECT failed, CAST(page_views AS DOUBLE) AS page_views, CAST(unique_active_hours AS DOUBLE) AS unique_active_hours, avg_gap_hours, total_activity_time,
-    morning_activity / page_views AS morning_share, night_activity / page_views AS night_share FROM active)
+    CASE WHEN page_views > 0 THEN morning_activity / page_views ELSE 0 END AS morning_share, CASE WHEN page_views > 0 THEN night_activity / page_views ELSE 0 END AS night_share FROM active)
     UNPIVOT (value FOR feature IN (page_views, unique_active_hours, avg_gap_hours, total_activity_time, morning_share, night_share))""", ["active"])
 
 
@@ -226,7 +232,7 @@ CAT = ", ".join(
 )
 CAT_FEATURES = [c[0] for c in stats.CATALOGUE if c[0] != "weekend_study_pct"]
 add_cte("inl", "SELECT failed, feature, value FROM (SELECT failed, " + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in CAT_FEATURES)
-        + ", round(weekend_morning_pct + weekend_afternoon_pct + weekend_evening_pct + weekend_night_pct, 6) AS weekend_study_pct FROM eng WHERE total_page_views > 0) "
+        + ", round(weekend_morning_pct + weekend_afternoon_pct + weekend_evening_pct + weekend_night_pct, 6) AS weekend_study_pct FROM eng) "
         + f"UNPIVOT (value FOR feature IN ({', '.join(c[0] for c in stats.CATALOGUE)}))", ["eng"])
 add_cte("ing", f"""
     SELECT *, CASE WHEN inverse THEN hr / lr ELSE lr / hr END AS rr, (a * d) / nullif(b * c, 0) AS oratio FROM (
@@ -249,8 +255,8 @@ TEXT = """printf('Students with %s %s have %.0f%% higher failure risk (failure r
     {rnd('hr', 'high_fail_rate')}, {rnd('lr', 'low_fail_rate')}, {TEXT} AS insight_text
     FROM (SELECT *, CASE WHEN least(a, b, c, d) < 5 THEN {FISHER} ELSE {sql_chi2_p('y2', '1')} END AS p FROM (SELECT *, {YATES} AS y2 FROM ing WHERE rr > 1.2))""")
 def insights(spark, d):
-    """The whole catalogue over the engagement table of active students, with sentences."""
-    table = stats.pass_fail(inputs.engagement(spark, d)).where("total_page_views > 0")
+    """The whole catalogue over the engagement table of all students, with sentences."""
+    table = stats.pass_fail(inputs.engagement(spark, d))
     weekend = [F.round(f"weekend_{s}_pct", 6) for s in ("morning", "afternoon", "evening", "night")]
     total = weekend[0]
     for c in weekend[1:]:
@@ -262,7 +268,7 @@ def insights(spark, d):
 
 @query("trend_line", "active", f"SELECT {rnd('regr_slope(final_score, page_views)', 'slope')}, {rnd('regr_intercept(final_score, page_views)', 'intercept')}, count(*) AS n FROM active")
 def trend_line(spark, d):
-    return stats.trend_line(inputs.active_students(spark, d), "page_views", "final_score")
+    return stats.trend_line(inputs.all_students(spark, d), "page_views", "final_score")
 
 
 @query("density_curve", "active", f"""
@@ -278,14 +284,14 @@ def density_curve(spark, d):
     SELECT t.course_id, resource_id, count(*) FILTER (seen) AS viewers, avg(final_score) FILTER (seen) AS vm, avg(final_score) FILTER (NOT seen) AS om,
            pow(covar_pop(CASE WHEN seen THEN 1.0 ELSE 0.0 END, final_score), 2) / nullif(var_pop(CASE WHEN seen THEN 1.0 ELSE 0.0 END) * var_pop(final_score), 0) AS r2
     FROM (SELECT e.course_id, e.user_id, e.final_score, q.resource_id, v.user_id IS NOT NULL AS seen
-          FROM (SELECT * FROM enr WHERE user_id IN (SELECT user_id FROM act)) e JOIN (SELECT DISTINCT course_id, resource_id FROM act) q USING (course_id)
+          FROM enr e JOIN (SELECT DISTINCT course_id, resource_id FROM act) q USING (course_id)
           LEFT JOIN (SELECT DISTINCT user_id, resource_id FROM act) v ON v.user_id = e.user_id AND v.resource_id = q.resource_id) t
     GROUP BY ALL) WHERE viewers >= 5 AND om IS NOT NULL""", digits=9)
 def resource_impact(spark, d):
     per_user = tables.activity(spark, d).select("user_id", "resource_id").distinct()
     views = per_user.join(inputs.members(spark, d).select(*KEYS), "user_id")
-    scores = inputs.summaries(spark, d).join(inputs.members(spark, d).select(*KEYS, F.col("final_score").alias("score")), KEYS)
-    return stats.resource_impact(views, scores.select(*KEYS, "score"))
+    scores = inputs.members(spark, d).select(*KEYS, F.col("final_score").alias("score"))
+    return stats.resource_impact(views, scores)
 
 
 @query("trending_resources", "act enr", f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, resource_id, count(*) AS views, {rnd('sum(CASE WHEN final_score >= 57 THEN 2.0 ELSE 1.0 END)', 'weighted_views')}
@@ -332,7 +338,7 @@ def r2_overall(spark, d):
 @query("outcome_counts", "active", f"SELECT CASE WHEN final_score >= 57 THEN 'Passed' ELSE 'Failed' END AS outcome, count(*) AS n, {rnd('count(*) / sum(count(*)) OVER ()', 'share')} FROM active GROUP BY 1")
 def outcome_counts(spark, d):
     counts = outcomes(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
-    total = inputs.summaries(spark, d).agg(F.count("*").alias("_all"))
+    total = inputs.members(spark, d).agg(F.count("*").alias("_all"))
     return stats.attach_row(counts, total).select("outcome", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
@@ -379,7 +385,7 @@ PROFILE = ["page_views", "total_activity_time", "participations", "morning_activ
     {rnd('CASE WHEN top > 0 THEN p / top ELSE 0 END', 'passed_scaled')}, {rnd('CASE WHEN top > 0 THEN q / top ELSE 0 END', 'failed_scaled')}
     FROM (SELECT feature, avg(value) FILTER (failed = 0) AS p, avg(value) FILTER (failed = 1) AS q, max(value) AS top FROM along WHERE feature IN ({', '.join(repr(f) for f in PROFILE)}) GROUP BY ALL)""")
 def passed_failed_means(spark, d):
-    return stats.outcome_means(stats.pass_fail(inputs.active_students(spark, d)), PROFILE)
+    return stats.outcome_means(stats.pass_fail(inputs.all_students(spark, d)), PROFILE)
 
 
 @query("median_order", "enr", f"SELECT program, {rnd('quantile_cont(final_score, 0.5)', 'median')} FROM enr GROUP BY ALL")
@@ -447,7 +453,7 @@ def with_factors(spark, d):
     done = inputs.completion(spark, d).select(*KEYS, "first_module_completed_at")
     roster = inputs.members(spark, d).select(*KEYS).join(done, KEYS, "left")
     scores = access.early_access_rank(materialise(roster)).select(*KEYS, "early_access_score")
-    frame = stats.pass_fail(inputs.active_students(spark, d)).join(scores, KEYS, "left")
+    frame = stats.pass_fail(inputs.all_students(spark, d)).join(scores, KEYS, "left")
     return risk.risk_factors(materialise(frame))
 
 
@@ -486,10 +492,24 @@ def alerts(spark, d):
     return flags.select(*KEYS, "alert_no_module", "alert_low_time", "alert_long_gap", "alert_few_hours", "alert_inactive")
 
 
-@query("inactive_students", "", f"SELECT user_id, max(ts) AS last_ts, {rnd('date_diff($$microsecond$$, max(ts), TIMESTAMP $$2024-01-31$$) / 3600000000.0', 'idle_hours')} FROM events GROUP BY ALL HAVING date_diff('microsecond', max(ts), TIMESTAMP '2024-01-31') > 36 * 3600000000")
-def inactive_students(spark, d):
+def _idle(hours: int) -> str:
+    return f"SELECT user_id, max(ts) AS last_ts, {rnd('date_diff($$microsecond$$, max(ts), TIMESTAMP $$2024-01-31$$) / 3600000000.0', 'idle_hours')} FROM events GROUP BY ALL HAVING date_diff('microsecond', max(ts), TIMESTAMP '2024-01-31') > {hours} * 3600000000"
+
+
+def idle_students(spark, d, hours):
     last = tables.activity(spark, d).groupBy("user_id").agg(F.max("ts").alias("last_ts"))
-    return risk.inactive_students(last, F.lit(tables.COURSE_END).cast("timestamp"), hours=36)
+    return risk.inactive_students(last, F.lit(tables.COURSE_END).cast("timestamp"), hours=hours)
+
+
+@query("inactive_students", "", _idle(72))
+def inactive_students(spark, d):
+    """Silent for more than the rule's 72 hours."""
+    return idle_students(spark, d, 72)
+
+
+@query("inactive_students_36h", "", _idle(36))
+def inactive_students_36h(spark, d):
+    return idle_students(spark, d, 36)
 
 
 add_cte("rms", "SELECT course_id, user_id, failed, round(risk_score, 6) AS s FROM rm", ["rm"])

@@ -19,6 +19,8 @@ def build_session(app: str = "campuspulse", master: str | None = None, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Streams merge the sessions of a very active account inside each task before its events are shuffled.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.ui.enabled", "false")
         # Recording a Python call site per column doubles the cost of building wide plans.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -59,22 +59,25 @@ def inactivity_alerts(events: DataFrame, idle: str = "72 hours", delay: str = "2
 
 
 def trending(events: DataFrame, length: str = "24 hours", slide: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Sliding view counts per resource."""
+    """Sliding view counts per resource.
+
+    Events are counted in tumbling windows of one slide first; only those counts, not the events, enter several windows.
+    """
+    slides = events.withWatermark("ts", delay).groupBy(F.window("ts", slide).alias("s"), "resource_id").agg(F.count("*").alias("n"))
     return (
-        events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", length, slide).alias("w"), "resource_id")
-        .agg(F.count("*").alias("views"))
+        slides.groupBy(F.window("s", length, slide).alias("w"), "resource_id")
+        .agg(F.sum("n").alias("views"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "resource_id", "views")
     )
 
 
 def hourly_feed(events: DataFrame, members: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Tumbling hourly counts per course for the heatmap; the roster is a static table."""
+    """Tumbling hourly counts per course for the heatmap, reduced to (user, hour) before they meet the static roster."""
+    per_user = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("s"), "user_id").agg(F.count("*").alias("n"))
     return (
-        events.withWatermark("ts", delay)
-        .join(members.select("user_id", "course_id"), "user_id")
-        .groupBy(F.window("ts", "1 hour").alias("w"), "course_id")
-        .agg(F.count("*").alias("cnt"))
+        per_user.join(members.select("user_id", "course_id"), "user_id")
+        .groupBy(F.window("s", "1 hour").alias("w"), "course_id")
+        .agg(F.sum("n").alias("cnt"))
         .select("course_id", F.col("w.start").alias("hour"), "cnt")
     )
 
