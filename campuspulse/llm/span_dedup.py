@@ -4,7 +4,7 @@ A text is cut into sentences; from every sentence starts a run: the fewest conse
 least, that hold ``RUN_WORDS`` words. All runs are hashed and joined globally. Of equal runs the first (smallest
 doc_id, null last, then the smallest start) stays; sentences that any other copy covers are removed, with the blanks after them.
 
-Runs are (96-bit hash, doc_id, start) rows; counting reduces before its shuffle, and the rows of a repeated run
+Runs are (96-bit hash, doc_id, number of places) rows, one per document and distinct run; counting reduces before its shuffle, and the rows of a repeated run
 meet its one count in a join whose large side can be split. What is gathered per document is bounded by the document.
 
 Edge cases: null text is empty and has no runs; texts with fewer words have none either. Rows that share a doc_id
@@ -88,36 +88,40 @@ def _sequence_hash(symbols: np.ndarray, start: np.ndarray, stop: np.ndarray, ste
     return mix((total[stop] - total[start]) * down[start] ^ (stop - start).astype(np.uint64))
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
+_RUNS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("times", pa.int32())])
 
 
 def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, _, raw, offs in slices(batch["text"]):
             r, _ = runs(raw, offs)
-            ids = batch["doc_id"].take(pa.array(r["text"] + a))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(r[c]) for c in ("start", "h1", "h2"))], schema=_RUNS)
+            order = np.lexsort((r["h2"], r["h1"], r["text"]))
+            text, h1, h2 = (r[c][order] for c in ("text", "h1", "h2"))
+            new = np.append(True, (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(text)]
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(text))).astype(np.int32)
+            ids = batch["doc_id"].take(pa.array(text[first] + a))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h1[first]), pa.array(h2[first]), pa.array(times)], schema=_RUNS)
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, h1, h2), one row per run."""
-    return ids_and_text(docs).mapInArrow(_emit_runs, "doc_id long, start int, h1 long, h2 int")
+    """(doc_id, h1, h2, times): one row per document and distinct run, with the number of its places there."""
+    return ids_and_text(docs).mapInArrow(_emit_runs, "doc_id long, h1 long, h2 int, times int")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, runs: array of h1, h2, start, first, own) of documents that lose sentences.
+    """(doc_id, runs: array of h1, h2, first, own) of documents that lose sentences.
 
     ``first`` keeps the run; in that document itself (``own``) the run stays at its first place.
     """
     rows = written(run_rows(docs), "sentence-runs")
-    counts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    counts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.sum("times").alias("c")).where("c > 1").drop("c")
     met = rows.join(counts, ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("first"))
     by_doc = met.withColumn("own", own).groupBy("doc_id").agg(
-        F.collect_set(F.struct("h1", "h2", "start", "first", "own")).alias("runs"),
-        F.size(F.collect_set(F.struct("h1", "h2"))).alias("kinds"), F.bool_or(~F.col("own")).alias("others"))
+        F.collect_set(F.struct("h1", "h2", "first", "own")).alias("runs"), F.bool_or(~F.col("own") | (F.col("times") > 1)).alias("loses"))
     # A document that only keeps its runs, each at one place, loses nothing.
-    return by_doc.where(F.col("others") | (F.col("kinds") < F.size("runs"))).select("doc_id", "runs")
+    return by_doc.where("loses").select("doc_id", "runs")
 
 
 _CLEAN = pa.schema([
@@ -135,14 +139,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for i in range(b - a):
                 lo, hi = edges[i], edges[i + 1]
-                own = {(s, h): n for s, h, n in zip(r["start"][lo:hi].tolist(), r["h1"][lo:hi].tolist(), r["n"][lo:hi].tolist())}
-                gone, first, kept = np.zeros(counts[i], bool), set(), set()
-                for run in sorted(removed[a + i].as_py(), key=lambda x: x["start"]):
-                    n, key = own.get((run["start"], run["h1"])), (run["h1"], run["h2"])
-                    if n and run["own"] and key not in kept:
-                        kept.add(key)
-                    elif n:
-                        gone[run["start"]: run["start"] + n] = True
+                places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for h1, h2, s, n in zip(*(r[c][lo:hi].tolist() for c in ("h1", "h2", "start", "n"))):
+                    places.setdefault((h1, h2), []).append((s, n))
+                gone, first = np.zeros(counts[i], bool), set()
+                for run in removed[a + i].as_py():
+                    # In the document that keeps a run, its first place stays.
+                    for s, n in places.get((run["h1"], run["h2"]), [])[1 if run["own"] else 0:]:
+                        gone[s: s + n] = True
                         first.add(run["first"])
                 if not gone.any():
                     continue
