@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from campuspulse.plans import activity_queries, course_queries, ml_queries, stats_queries, stream_queries  # noqa: F401
+from campuspulse.plans import (  # noqa: F401
+    activity_queries, course_queries, ml_queries, source_queries, stats_queries, stream_queries,
+)
 from campuspulse.plans.registry import ORACLES, QUERIES
 
 

@@ -98,10 +98,16 @@ def read_features_csv(spark, path, schema: StructType) -> DataFrame:
 
 
 def read_hour_matrix(spark, path) -> DataFrame:
-    """``{course: 7 x 24 matrix}`` documents as (course_id, dow, hour, cnt) rows."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", schemas.HOUR_MATRIX).alias("m")
-    )
+    """``{course: 7 x 24 matrix}`` documents, one a file (so a file is one task), as (course_id, dow, hour, cnt) rows.
+
+    Documents of one line each are better read as text lines and given to ``hour_matrix_rows``.
+    """
+    return hour_matrix_rows(spark.read.text(path, wholetext=True))
+
+
+def hour_matrix_rows(texts: DataFrame) -> DataFrame:
+    """Matrix documents in the column ``value`` as (course_id, dow, hour, cnt) rows."""
+    docs = texts.select(F.from_json("value", schemas.HOUR_MATRIX).alias("m"))
     return (
         docs.select(F.explode("m").alias("course_id", "rows"))
         .select(F.col("course_id").cast("long"), F.posexplode("rows").alias("dow", "hours"))
@@ -110,7 +116,10 @@ def read_hour_matrix(spark, path) -> DataFrame:
 
 
 def read_course_bundle(spark, path, multiline=True) -> dict[str, DataFrame]:
-    """A course bundle (four arrays in one document) fanned out into four frames."""
+    """A course bundle (four arrays in one document) fanned out into four frames.
+
+    With ``multiline`` a file is one document and one task; JSON lines are split across tasks.
+    """
     bundle = _json(spark, path, schemas.COURSE_BUNDLE, multiline)
     return {
         part: bundle.select(F.explode(part).alias("r")).select("r.*")
@@ -119,7 +128,7 @@ def read_course_bundle(spark, path, multiline=True) -> dict[str, DataFrame]:
 
 
 def read_wrapped(spark, path, field: str, schema: StructType, multiline=True) -> DataFrame:
-    """Records held under one list-valued field of a wrapper object."""
+    """Records held under one list-valued field of a wrapper object; with ``multiline`` a file is one task."""
     wrapper = StructType().add(field, schemas.ArrayType(schema))
     return _json(spark, path, wrapper, multiline).select(F.explode(field).alias("r")).select("r.*")
 
