@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,18 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Fewer rows per Arrow batch for what runs inside, where single rows can be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def most_frequent(counts: DataFrame, limit: int, label: str) -> DataFrame:
     """Rows of a table of distinct keys with a count ``n`` that are among the ``limit`` most frequent, ties in or out together.
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -39,11 +39,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power_table(n: int, name: str, base: np.uint64) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) <= n:
-        size = 1 << max(12, int(n).bit_length())
+        size = max(n + 1, SLICE_BYTES + 1)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[name] = have
     return have
 
