@@ -370,6 +370,47 @@ def current_final_score(subs: DataFrame, by: list[str], weights: DataFrame | Non
     )
 
 
+def group_weighted_score(subs: DataFrame, by: list[str], groups: DataFrame, weights: DataFrame) -> DataFrame:
+    """Scores by assignment group, then their weighted mean: (by, current_score, final_score, n_unweighted).
+
+    ``groups`` is (assignment_id, group_id), ``weights`` (group_id, weight). A group's current score is the mean over
+    graded work, its final score counts missing work as zero; the current mean takes groups with graded work. Work outside a
+    weighted group stays in the table with weight zero and is counted in ``n_unweighted``; a student with no weighted
+    group at all gets the plain mean.
+    """
+    known = subs.join(groups, "assignment_id", "left").join(weights, "group_id", "left")
+    per_group = known.groupBy(*by, "group_id").agg(
+        F.avg("score").alias("current"), (F.coalesce(F.sum("score"), F.lit(0.0)) / F.count("*")).alias("final"),
+        F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"), F.count("*").alias("n"),
+        F.count("score").alias("graded"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("earned"),
+    )
+    weight = F.col("weight")
+    graded = F.when(F.col("graded") > 0, weight)
+    return per_group.groupBy(*by).agg(
+        F.coalesce(F.try_divide(F.sum(F.col("current") * weight), F.sum(graded)), F.try_divide(F.sum("earned"), F.sum("graded"))).alias("current_score"),
+        F.coalesce(F.try_divide(F.sum(F.col("final") * weight), F.sum(weight)), F.sum("earned") / F.sum("n")).alias("final_score"),
+        F.sum(F.when(weight == 0, F.col("n")).otherwise(0)).alias("n_unweighted"),
+    )
+
+
+def department_statistics(members: DataFrame, assignments: DataFrame, modules: DataFrame) -> DataFrame:
+    """Courses, teachers, students and items per department; a person counts once.
+
+    ``members`` carries (account_id, course_id, user_id, user_role), the others (course_id, id) of the courses' items.
+    """
+    people = members.groupBy("account_id").agg(
+        F.count_distinct("course_id").alias("courses"),
+        F.count_distinct(F.when(F.col("user_role") == "teacher", F.col("user_id"))).alias("teachers"),
+        F.count_distinct(F.when(F.col("user_role") == "student", F.col("user_id"))).alias("students"),
+    )
+    held = members.select("account_id", "course_id").distinct()
+    items = held.join(assignments.groupBy("course_id").agg(F.count_distinct("id").alias("a")), "course_id", "left").join(
+        modules.groupBy("course_id").agg(F.count_distinct("id").alias("m")), "course_id", "left")
+    totals = items.groupBy("account_id").agg(
+        F.coalesce(F.sum("a"), F.lit(0)).alias("assignments"), F.coalesce(F.sum("m"), F.lit(0)).alias("modules"))
+    return people.join(totals, "account_id")
+
+
 def class_balance(members: DataFrame) -> DataFrame:
     s = F.col("final_score")
     return members.groupBy("course_id").agg(

@@ -33,10 +33,11 @@ def impute(df: DataFrame, features: list[str], strategy: str = "median") -> Data
     inf = float("inf")
     ready = df.withColumns({f: F.col(f).cast("double") for f in features})
     if strategy == "median":
-        for f in features:
-            value = F.when(~F.isnan(f), F.col(f))
-            median = percentiles(ready.select(value.alias(f)), [], f, {f"_median_{f}": 0.5})
-            ready = attach_row(ready, median).withColumn(f, F.coalesce(value, F.col(f"_median_{f}"))).drop(f"_median_{f}")
+        present = [F.struct(F.lit(f).alias("feature"), F.when(~F.isnan(f), F.col(f)).alias("value")) for f in features]
+        # Exact medians of all features in one pass; one number per feature reaches the driver.
+        long = ready.select(F.inline(F.array(*present)))
+        medians = {r.feature: r.median for r in percentiles(long, ["feature"], "value", {"median": 0.5}).collect()}
+        ready = ready.withColumns({f: F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(medians.get(f))) for f in features})
     elif strategy != "zero":
         raise ValueError(strategy)
     return ready.withColumns({

@@ -476,6 +476,31 @@ def weighted_scores(spark, d):
     return courses.current_final_score(tables.submissions(spark, d), ["user_id"], weights)
 
 
+@query("group_scores", "sub", f"""
+    SELECT user_id, {rnd("coalesce(sum(cur * w) / nullif(sum(w) FILTER (g > 0), 0), sum(e) / nullif(sum(g), 0))", 'current_score')}, {rnd("coalesce(sum(fin * w) / nullif(sum(w), 0), sum(e) / sum(n))", 'final_score')},
+           CAST(coalesce(sum(n) FILTER (w = 0), 0) AS BIGINT) AS n_unweighted
+    FROM (SELECT user_id, k, avg(score) AS cur, coalesce(sum(score), 0) / count(*) AS fin, coalesce(sum(score), 0) AS e, count(score) AS g, count(*) AS n,
+                 CASE k WHEN 1 THEN 0.7 WHEN 0 THEN 0.3 ELSE 0 END AS w
+          FROM (SELECT *, CASE WHEN assignment_id < 5 THEN assignment_id % 2 END AS k FROM sub) GROUP BY user_id, k) GROUP BY user_id""")
+def group_scores(spark, d):
+    """Exams weigh 70 %, tasks 30 %; assignment 5 belongs to no group."""
+    groups = tables.assignments(spark, d).select("assignment_id").distinct().where("assignment_id < 5").withColumn("group_id", F.col("assignment_id") % 2)
+    weights = spark.createDataFrame([(1, 0.7), (0, 0.3)], "group_id long, weight double")
+    return courses.group_weighted_score(tables.submissions(spark, d), ["user_id"], groups, weights)
+
+
+@query("department_statistics", "enr sub prog", """
+    SELECT account_id, count(DISTINCT e.course_id) AS courses, count(DISTINCT user_id) FILTER (program = 'BUILDING') AS teachers, count(DISTINCT user_id) FILTER (program <> 'BUILDING') AS students,
+           any_value(a) AS assignments, any_value(m) AS modules
+    FROM enr e LEFT JOIN (SELECT course_id, count(DISTINCT assignment_id) AS a FROM sub GROUP BY 1) x ON x.course_id = e.course_id
+    LEFT JOIN (SELECT course_id, count(DISTINCT module_id) AS m FROM prog GROUP BY 1) y ON y.course_id = e.course_id GROUP BY account_id""")
+def department_statistics(spark, d):
+    role = F.when(F.col("program") == "BUILDING", "teacher").otherwise("student")
+    modules = tables.module_progress(spark, d).select("course_id", F.col("module_id").alias("id"))
+    work = tables.assignments(spark, d).select("course_id", F.col("assignment_id").alias("id"))
+    return courses.department_statistics(inputs.members(spark, d).withColumn("user_role", role), work, modules)
+
+
 @query("grade_changes", "sub", f"""
     SELECT user_id, assignment_id, submission_id, {rnd('prev', 'previous_score')}, {rnd('score')} FROM (
         SELECT *, lag(score) OVER (PARTITION BY user_id, assignment_id ORDER BY submitted_at, submission_id) AS prev FROM sub WHERE score IS NOT NULL) WHERE prev <> score""")

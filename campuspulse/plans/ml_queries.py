@@ -17,11 +17,12 @@ SUBMITTED = ["num_submissions", "on_time_rate", "late_rate", "missing_rate", "su
 EVERYTHING = ACTIVITY + SUBMITTED
 
 
-def model_frame(spark, d, features=None):
-    """Imputed features, label, balanced weight and fold of every enrolled student."""
+def model_frame(spark, d, features=None, complete=False):
+    """Imputed features, label, balanced weight and fold of every enrolled student; ``complete`` keeps full rows only."""
     features = features or EVERYTHING
     base = stats.pass_fail(student_frame(spark, d)).where("final_score is not null")
-    frame = materialise(base.select(*KEYS, "final_score", "failed", *features))
+    rows = base.select(*KEYS, "final_score", "failed", *features)
+    frame = materialise(ml.complete_rows(rows, features) if complete else rows)
     ready = ml.standardise_within(ml.impute(frame, features), features)
     return materialise(ml.stratified_folds(ml.balanced_weight(ready, "failed"), "failed"))
 
@@ -97,7 +98,7 @@ def holdout_metrics(spark, d):
 @query("grade_regression")
 def grade_regression(spark, d):
     """Five regressors, out-of-fold, on complete rows."""
-    frame = ml.assemble(model_frame(spark, d), EVERYTHING)
+    frame = ml.assemble(model_frame(spark, d, complete=True), EVERYTHING)
     shape = frame.agg(F.count("*").alias("n"), F.stddev_pop("final_score").alias("s")).head()
     models = {
         "linear": ml.linear(), "ridge": ml.ridge(int(shape.n * 4 / 5), shape.s), "lasso": ml.lasso(),
