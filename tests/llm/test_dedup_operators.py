@@ -1,5 +1,6 @@
 """Exact, near, line and span dedup, and decontamination: edge cases and brute-force versions."""
 
+import hashlib
 import random
 import re
 
@@ -104,6 +105,39 @@ def test_line_dedup_removes_repeated_chunks_only_after_the_first(spark):
     assert line_dedup.line_dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def _chunks_by_hand(lines):
+    """(start, end) of chunks that close from their second line on; a last line alone takes the one before it in."""
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    out, start = [], 0
+    for i in range(len(lines)):
+        closes = (h[i] + (131 * h[i - 1] if i else 0)) % 3 == 0 and i > start
+        if closes or i == len(lines) - 1:
+            out.append((start - 1 if start == i > 0 else start, i + 1))
+            start = i + 1
+    return out
+
+
+def test_line_dedup_leaves_no_line_of_copies_and_no_run_of_one_line(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(f"line {i} {j} {rng.random()}" for j in range(rng.randint(2, 30))) for i in range(60)]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)]
+    rows += [(299, "same\nsame\nsame"), (300, "\n".join(["same"] * 9)), (301, "\n".join(["same"] * 12)), (302, "alone"), (303, "alone"), (304, None)]
+    rows += [(400 + i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    seen, want = {}, {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        gone = set()
+        for a, b in _chunks_by_hand(lines):
+            body = tuple(lines[a:b])
+            doc, end = seen.setdefault(body, (i, b))
+            if len(body) > 1 and (doc != i or end <= a):
+                gone |= set(range(a, b))
+        want[i] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == want
+    assert all(got[100 + i][2] == "" for i in range(60)) and got[299][1] == 0 and got[300][1] == 9 and got[301][1] == 12
+
+
 def test_line_dedup_runs_without_python(spark, sf):
     plan = line_dedup.chunk_rows(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
