@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences; from every sentence starts a run: the fewest consecutive sentences, two at
-least, that hold ``RUN_WORDS`` words. All runs are hashed and joined globally. Of equal runs the first (smallest
+least, that hold ``RUN_WORDS`` words, and with every sentence ends one by the same measure, so that the first and the last
+sentences of a passage are covered alike. All runs are hashed and joined globally. Of equal runs the first (smallest
 doc_id, null last, then the smallest start) stays; sentences that any other copy covers are removed, with the blanks after them.
 
 Runs are (96-bit hash, doc_id, number of places) rows, one per document and distinct run; counting reduces before its shuffle, and the rows of a repeated run
@@ -15,6 +16,7 @@ its own text has it. An empty table gives an empty result; extra columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,11 @@ def sentences(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words_start[first], words_end[final], after[final], final - first + 1, counts
 
 
-def runs(raw: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
-    """Runs as columns text, start, n, h1, h2 (start is the sentence's number in its text), and the sentences."""
+def runs(raw: np.ndarray, offs: np.ndarray, ends: bool = True) -> tuple[dict[str, np.ndarray], tuple]:
+    """Runs as columns text, start, n, h1, h2 (start is the sentence's number in its text), and the sentences.
+
+    In order of text and start; ``ends`` adds the runs that end with each sentence.
+    """
     cut = sentences(raw, offs)
     start, end, _, words, counts = cut
     base = np.concatenate([[0], np.cumsum(counts)])
@@ -68,9 +73,16 @@ def runs(raw: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], tupl
     stop = np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS, "left"), i + MIN_SENTENCES)
     ok = stop <= base[owner + 1]
     i, stop = i[ok], stop[ok]
+    if ends:
+        to = np.arange(1, len(start) + 1)
+        since = np.minimum(np.searchsorted(total, total[1:] - RUN_WORDS, "right") - 1, to - MIN_SENTENCES)
+        ok = since >= base[owner]
+        both = np.append(i, since[ok]) << 32 | np.append(stop, to[ok])
+        both = np.unique(both)
+        i, stop = both >> 32, both & 0xFFFFFFFF
     sentence = span_hashes(raw, start, end)
     return {
-        "text": owner[ok], "start": (i - base[owner[ok]]).astype(np.int32), "n": (stop - i).astype(np.int32),
+        "text": owner[i], "start": (i - base[owner[i]]).astype(np.int32), "n": (stop - i).astype(np.int32),
         "h1": _sequence_hash(sentence, i, stop, _STEP).view(np.int64),
         "h2": (_sequence_hash(mix(sentence), i, stop, _STEP ^ 0x5A5A5A5A5A5A5A5A) >> np.uint64(32)).astype(np.uint32).view(np.int32),
     }, cut
@@ -91,10 +103,10 @@ def _sequence_hash(symbols: np.ndarray, start: np.ndarray, stop: np.ndarray, ste
 _RUNS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("times", pa.int32())])
 
 
-def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_runs(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, _, raw, offs in slices(batch["text"]):
-            r, _ = runs(raw, offs)
+            r, _ = runs(raw, offs, ends)
             order = np.lexsort((r["h2"], r["h1"], r["text"]))
             text, h1, h2 = (r[c][order] for c in ("text", "h1", "h2"))
             new = np.append(True, (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(text)]
@@ -104,17 +116,17 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(h1[first]), pa.array(h2[first]), pa.array(times)], schema=_RUNS)
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
+def run_rows(docs: DataFrame, ends: bool = True) -> DataFrame:
     """(doc_id, h1, h2, times): one row per document and distinct run, with the number of its places there."""
-    return ids_and_text(docs).mapInArrow(_emit_runs, "doc_id long, h1 long, h2 int, times int")
+    return ids_and_text(docs).mapInArrow(partial(_emit_runs, ends=ends), "doc_id long, h1 long, h2 int, times int")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, ends: bool = True) -> DataFrame:
     """(doc_id, runs: array of h1, h2, first, own) of documents that lose sentences.
 
     ``first`` keeps the run; in that document itself (``own``) the run stays at its first place.
     """
-    rows = written(run_rows(docs), "sentence-runs")
+    rows = written(run_rows(docs, ends), "sentence-runs")
     counts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.sum("times").alias("c")).where("c > 1").drop("c")
     met = rows.join(counts, ["h1", "h2"])
     own = F.col("doc_id").eqNullSafe(F.col("first"))
@@ -129,11 +141,11 @@ _CLEAN = pa.schema([
 ])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed = batch["runs"]
         for a, b, raw, offs in slices(batch["text"]):
-            r, (start, _, after, _, counts) = runs(raw, offs)
+            r, (start, _, after, _, counts) = runs(raw, offs, ends)
             base = np.concatenate([[0], np.cumsum(counts)])
             edges = np.searchsorted(r["text"], np.arange(b - a + 1))
             rows = []
@@ -159,28 +171,37 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _CLEAN)], schema=_CLEAN)
 
 
-def span_dedup(docs: DataFrame) -> DataFrame:
+def span_dedup(docs: DataFrame, ends: bool = True) -> DataFrame:
     """Documents that lose sentences: doc_id, n_sentences, n_removed, first_docs (that keep the removed runs), text (what is left).
 
     Documents that are not listed stay as they are.
     """
-    gone = written(repeated_runs(docs), "sentence-removals").withColumnRenamed("doc_id", "id")
+    gone = written(repeated_runs(docs, ends), "sentence-removals").withColumnRenamed("doc_id", "id")
     rows = ids_and_text(docs)
     joined = rows.join(gone, rows.doc_id.eqNullSafe(gone.id)).select("doc_id", "text", "runs")
-    return joined.mapInArrow(_remove, "doc_id long, n_sentences long, n_removed long, first_docs array<long>, text string")
+    return joined.mapInArrow(partial(_remove, ends=ends), "doc_id long, n_sentences long, n_removed long, first_docs array<long>, text string")
 
 
 # --- registered query ----------------------------------------------------------
 
 
-def op4_span_dedup(spark, sf_dir):
+def _listed(found):
     """The operator's rows, with the smallest of the documents that keep the removed runs."""
-    found = span_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_min("first_docs").alias("first_doc"), "n_sentences", "n_removed", "text")
 
 
+def op4_span_dedup(spark, sf_dir):
+    """By the rule of its SQL twin, with the runs that start at each sentence only."""
+    return _listed(span_dedup(table(spark, sf_dir, "documents"), ends=False))
+
+
+def op4_span_dedup_ends(spark, sf_dir):
+    """The operator's own rule, with the runs that end with each sentence too."""
+    return _listed(span_dedup(table(spark, sf_dir, "documents")))
+
+
 _PIECE = r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)"
-QUERIES = {"op4_span_dedup": op4_span_dedup}
+QUERIES = {"op4_span_dedup": op4_span_dedup, "op4_span_dedup_ends": op4_span_dedup_ends}
 ORACLES = {"op4_span_dedup": rf"""
     WITH d AS (SELECT doc_id, ltrim(coalesce(text, ''), E' \t\n\x0B\f\r') AS body, coalesce(text, '') AS whole FROM documents),
     p AS (SELECT doc_id, list_filter(regexp_extract_all(body, '{_PIECE}'), lambda x: x <> '') AS pieces,
@@ -196,6 +217,27 @@ ORACLES = {"op4_span_dedup": rf"""
     f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth, min(doc_id) OVER (PARTITION BY run) AS first FROM r),
     gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE nth > 1),
     firsts AS (SELECT doc_id, min(first) AS first_doc FROM f WHERE nth > 1 GROUP BY doc_id)
+    SELECT w.doc_id, count(*) AS n_sentences, count(gone.i) AS n_removed, any_value(first_doc) AS first_doc,
+           any_value(head) || coalesce(string_agg(piece, '' ORDER BY w.i) FILTER (gone.i IS NULL), '') AS text
+    FROM w JOIN firsts USING (doc_id) JOIN p USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id""", "op4_span_dedup_ends": rf"""
+    WITH d AS (SELECT doc_id, ltrim(coalesce(text, ''), E' \t\n\x0B\f\r') AS body, coalesce(text, '') AS whole FROM documents),
+    p AS (SELECT doc_id, list_filter(regexp_extract_all(body, '{_PIECE}'), lambda x: x <> '') AS pieces,
+                 substr(whole, 1, length(whole) - length(body)) AS head FROM d),
+    s AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i FROM p),
+    w AS (SELECT doc_id, i, piece, rtrim(piece, E' \t\n\x0B\f\r') AS sent,
+                 len(list_filter(regexp_split_to_array(piece, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM s),
+    c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+    lists AS (SELECT doc_id, list(sent ORDER BY i) AS sents FROM w GROUP BY doc_id),
+    goal AS (SELECT *, greatest(upto - n + {RUN_WORDS}, upto + 1) AS target FROM c),
+    -- A run that ends with j starts at the last sentence with enough words from there on, j - 1 at the latest.
+    back AS (SELECT doc_id, i AS j, least(upto - {RUN_WORDS}, lag(upto - n) OVER (PARTITION BY doc_id ORDER BY i)) AS target FROM c QUALIFY i > 0),
+    starts AS (SELECT doc_id, i, upto - n AS before FROM c),
+    places AS (SELECT g.doc_id, g.i, e.i AS j FROM goal g ASOF JOIN c e ON g.doc_id = e.doc_id AND g.target <= e.upto
+               UNION SELECT b.doc_id, e.i, b.j FROM back b ASOF JOIN starts e ON b.doc_id = e.doc_id AND b.target >= e.before),
+    r AS (SELECT doc_id, i, j, array_to_string(sents[i + 1 : j + 1], chr(1)) AS run FROM places JOIN lists USING (doc_id)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth, min(doc_id) OVER (PARTITION BY run) AS first FROM r),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE nth > 1),
+    firsts AS (SELECT doc_id, min(first) AS first_doc FROM f WHERE nth > 1 GROUP BY doc_id)
     SELECT w.doc_id, count(*) AS n_sentences, count(gone.i) AS n_removed, any_value(first_doc) AS first_doc,
            any_value(head) || coalesce(string_agg(piece, '' ORDER BY w.i) FILTER (gone.i IS NULL), '') AS text
     FROM w JOIN firsts USING (doc_id) JOIN p USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id"""}

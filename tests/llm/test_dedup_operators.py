@@ -156,6 +156,15 @@ def test_span_dedup_removes_later_copies_inside_and_across_documents(spark):
     assert span_dedup.span_dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_span_dedup_removes_short_last_sentences_of_copies(spark):
+    rng = random.Random(8)
+    copy = " ".join(" ".join(f"w{rng.random()}" for _ in range(n)) + "." for n in (12, 9, 14, 8, 4))
+    rows = [(1, copy), (2, copy), (3, f"An own start here.\n{copy} An own end."), (4, "Too short. To go."), (5, "Too short. To go.")]
+    out = {r.doc_id: r for r in span_dedup.span_dedup(docs(spark, rows)).collect()}
+    assert set(out) == {2, 3} and out[2].text == "" and out[2].n_removed == 5
+    assert out[3].text == "An own start here.\nAn own end." and out[3].n_removed == 5
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(9)
     items = [(i, " ".join(f"b{i}_{j}" for j in range(rng.choice([3, 5, 8, 40, 90])))) for i in range(12)] + [(20, None), (21, ""), (None, "b0_0 b0_1")]
