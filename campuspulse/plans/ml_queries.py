@@ -60,15 +60,26 @@ def rf_oof(spark, d):
     return ml.fold_summary(materialise(predictions(spark, d, lambda f: ml.forest(trees=100, depth=4))))
 
 
+@query("rf_oof_deep")
+def rf_oof_deep(spark, d):
+    return ml.fold_summary(materialise(predictions(spark, d, lambda f: ml.forest(trees=200, depth=10, leaf=5))))
+
+
 @query("gbt_oof")
 def gbt_oof(spark, d):
-    return ml.fold_summary(materialise(predictions(spark, d, lambda f: ml.boosted(rounds=10))))
+    return ml.fold_summary(materialise(predictions(spark, d, lambda f: ml.boosted())))
+
+
+@query("gbt_oof_weighted")
+def gbt_oof_weighted(spark, d):
+    """200 rounds of depth 5; the balanced weights of the classes stand to each other as n0 to n1."""
+    return ml.fold_summary(materialise(predictions(spark, d, lambda f: ml.boosted(rounds=200, depth=5))))
 
 
 @query("model_comparison")
 def model_comparison(spark, d):
     frame = ml.assemble(model_frame(spark, d), EVERYTHING)
-    models = {"logistic": logistic(frame), "forest": ml.forest(50, 5), "boosted": ml.boosted(rounds=5)}
+    models = {"logistic": logistic(frame), "forest": ml.forest(depth=5), "boosted": ml.boosted()}
     return ml.compare_models({n: materialise(ml.out_of_fold(frame, m)) for n, m in models.items()})
 
 
@@ -102,7 +113,7 @@ def grade_regression(spark, d):
     shape = frame.agg(F.count("*").alias("n"), F.stddev_pop("final_score").alias("s")).head()
     models = {
         "linear": ml.linear(), "ridge": ml.ridge(int(shape.n * 4 / 5), shape.s), "lasso": ml.lasso(),
-        "forest": ml.forest_regressor(30), "boosted": ml.boosted_regressor(5),
+        "forest": ml.forest_regressor(), "boosted": ml.boosted_regressor(),
     }
     scored = [
         ml.regression_metrics(ml.out_of_fold(frame, m).select("final_score", "prediction")).withColumn("model", F.lit(n))
@@ -146,13 +157,32 @@ def pca_variance(spark, d):
     return ml.pca_variance(feature_table(spark, d), names.ALL_FEATURES, 8)
 
 
-@query("feature_clusters")
-def feature_clusters(spark, d):
+def clusters_of(spark, d, k):
     table = feature_table(spark, d)
-    rows = ml.feature_clusters(stats.correlation_matrix(table, names.ALL_FEATURES), names.ALL_FEATURES, 8)
+    rows = ml.feature_clusters(stats.correlation_matrix(table, names.ALL_FEATURES), names.ALL_FEATURES, k)
     return spark.createDataFrame(rows, "feature string, cluster int, cluster_name string")
 
 
+@query("feature_clusters")
+def feature_clusters(spark, d):
+    return clusters_of(spark, d, 8)
+
+
+@query("feature_clusters_4")
+def feature_clusters_4(spark, d):
+    return clusters_of(spark, d, 4)
+
+
+@query("feature_clusters_6")
+def feature_clusters_6(spark, d):
+    return clusters_of(spark, d, 6)
+
+
+@query("feature_clusters_10")
+def feature_clusters_10(spark, d):
+    return clusters_of(spark, d, 10)
+
+
 @query("pooled_features")
 def pooled_features(spark, d):
     table = feature_table(spark, d)
@@ -171,7 +201,7 @@ def reduced_vs_original(spark, d):
     reduced = sorted(c for c in pooled.columns if c.startswith("agg_"))
     out = None
     for tag, columns in (("original", names.ALL_FEATURES), ("reduced", reduced)):
-        pred = ml.out_of_fold(ml.assemble(folds, columns), ml.forest_regressor(20)).select("final_score", "prediction")
+        pred = ml.out_of_fold(ml.assemble(folds, columns), ml.forest_regressor()).select("final_score", "prediction")
         row = ml.regression_metrics(pred).withColumn("features", F.lit(tag))
         out = row if out is None else out.unionByName(row)
     return out
@@ -183,7 +213,7 @@ def course_profiles(spark, d):
     frame = model_frame(spark, d)
     gate = materialise(courses.class_diversity(frame))
     r2, weights = ml.per_course_models(
-        ml.assemble(frame, EVERYTHING), gate, EVERYTHING, lambda: ml.forest_regressor(10, 4), folds=2
+        ml.assemble(frame, EVERYTHING), gate, EVERYTHING, ml.forest_regressor
     )
     top = materialise(weights).groupBy("course_id").agg(F.max_by("feature", "importance").alias("top_importance"))
     rho = stats.spearman(frame, EVERYTHING, "final_score", ["course_id"])
@@ -198,7 +228,7 @@ def mean_importance(spark, d):
     """Importances averaged over one forest per gated course."""
     frame = model_frame(spark, d)
     gate = courses.class_diversity(frame).withColumn("n", F.lit(0).cast("long"))
-    _, weights = ml.per_course_models(ml.assemble(frame, EVERYTHING), gate, EVERYTHING, lambda: ml.forest_regressor(10, 4))
+    _, weights = ml.per_course_models(ml.assemble(frame, EVERYTHING), gate, EVERYTHING, ml.forest_regressor)
     return ml.mean_importance(weights)
 
 

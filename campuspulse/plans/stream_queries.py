@@ -38,6 +38,11 @@ def stream_alerts(spark, d):
     return jobs.collect_available(jobs.inactivity_alerts(clicks(spark, d), "24 hours"), "stream-alerts")
 
 
+@query("stream_alerts_72h", "wm", f"SELECT user_id, ended_at AS last_seen, n_events AS events_before FROM ({_sessions('72 HOUR')})")
+def stream_alerts_72h(spark, d):
+    return jobs.collect_available(jobs.inactivity_alerts(clicks(spark, d), "72 hours"), "stream-alerts-72h")
+
+
 @query("stream_trending", "wm", """
     SELECT start AS window_start, start + INTERVAL 24 HOUR AS window_end, resource_id, count(*) AS views FROM (
         SELECT date_trunc('hour', ts) - to_hours(i) AS start, CAST(json_extract_string(props, '$.k') AS INTEGER) AS resource_id

@@ -98,3 +98,33 @@ def test_pca_and_standardise(data):
     got = [r.explained for r in ml.pca_variance(df.drop("features"), ["a", "b", "c"], 3).collect()]
     want = np.sort(np.linalg.eigvalsh(np.corrcoef(pdf[["a", "b", "c"]].values.T)))[::-1] / 3
     assert np.allclose(got, want)
+
+
+def test_queries_fit_full_models(spark, monkeypatch):
+    from campuspulse.plans import catalog, ml_queries
+
+    fitted, frame = [], spark.createDataFrame([(1, 1, 0, 50.0), (1, 2, 1, 60.0)], "course_id long, user_id long, failed int, final_score double")
+    for name in ("model_frame", "feature_table"):
+        monkeypatch.setattr(ml_queries, name, lambda *a, **b: frame)
+    monkeypatch.setattr(ml_queries, "materialise", lambda df: df)
+    monkeypatch.setattr(ml, "assemble", lambda df, features: df)
+    monkeypatch.setattr(ml, "out_of_fold", lambda df, model, k=5: fitted.append((model, k)) or df.withColumn("prediction", F.lit(1.0)))
+    monkeypatch.setattr(ml, "fold_summary", lambda df: df)
+    monkeypatch.setattr(ml, "compare_models", lambda models: frame)
+    monkeypatch.setattr(ml_queries.stats, "correlation_matrix", lambda *a: None)
+    monkeypatch.setattr(ml, "feature_clusters", lambda *a: [])
+    monkeypatch.setattr(ml, "pooled_features", lambda *a: frame.withColumn("agg_a", F.lit(1.0)))
+    monkeypatch.setattr(frame.__class__, "select", lambda self, *c, f=frame.__class__.select: f(self, *[x for x in c if not isinstance(x, str) or x in self.columns]))
+    for name in ("gbt_oof", "gbt_oof_weighted", "rf_oof_deep", "model_comparison", "grade_regression", "reduced_vs_original"):
+        catalog.queries()[name](spark, "")
+    trees = [m.getNumTrees() for m, _ in fitted if "RandomForest" in type(m).__name__]
+    rounds = [(m.getMaxIter(), m.getMaxDepth()) for m, _ in fitted if "GBT" in type(m).__name__]
+    assert sorted(trees) == [100, 100, 100, 100, 200] and sorted(rounds) == [(100, 3), (100, 3), (100, 3), (200, 5)]
+    made = {}
+    monkeypatch.setattr(ml, "per_course_models", lambda df, gate, features, make, folds=5: made.setdefault("m", (make(), folds)) and (1 / 0))
+    monkeypatch.setattr(ml_queries.courses, "class_diversity", lambda df: df)
+    for name in ("course_profiles", "mean_importance"):
+        made.clear()
+        with pytest.raises(ZeroDivisionError):
+            catalog.queries()[name](spark, "")
+        assert made["m"][0].getNumTrees() == 100 and made["m"][0].getMaxDepth() == 5 and made["m"][1] == 5
