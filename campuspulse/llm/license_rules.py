@@ -50,21 +50,21 @@ epl-1|eclipse public|this program and the accompanying materials are made availa
 epl-2|eclipse public|this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2 0
 cddl-1|common development|the contents of this file are subject to the terms of the common development and distribution license
 zlib|altered|altered source versions must be plainly marked as such
-bsl-1|boost|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+bsl-1|organization|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
 unlicense|unencumbered|this is free and unencumbered software released into the public domain
-wtfpl|what the|everyone is permitted to copy and distribute verbatim or modified copies .{0,80}changing it is allowed as long as the name is changed
+wtfpl|verbatim|everyone is permitted to copy and distribute verbatim or modified copies .{0,80}changing it is allowed as long as the name is changed
 cc0-1|waive|affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 ofl-1.1|font|this font software is licensed under the sil open font license version 1 1
-artistic-2|artistic|this license establishes the terms under which a given free software package may be copied modified distributed
+artistic-2|establishes|this license establishes the terms under which a given free software package may be copied modified distributed
 python-2|python|psf is making python available to licensee on an as is basis
 openssl|openssl|this product includes software developed by the openssl project
 postgresql|postgresql|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
 ncsa|university|developed by .{1,60}university of illinois .{0,200}with the software without restriction
-eupl-1.2|european union public|licensed under the eupl (?:version )?1 2
-elastic-2|elastic|you may not provide the software to third parties as a hosted or managed service
-sspl-1|server side|if you make the functionality of the program .{0,60}available to third parties as a service you must make the service source code available
-busl-1.1|business source|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
-commons-clause|commons clause|the license does not include and the license does not grant to you the right to sell the software
+eupl-1.2|eupl|licensed under the eupl (?:version )?1 2
+elastic-2|hosted or managed|you may not provide the software to third parties as a hosted or managed service
+sspl-1|functionality|if you make the functionality of the program .{0,60}available to third parties as a service you must make the service source code available
+busl-1.1|licensor|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+commons-clause|sell the software|the license does not include and the license does not grant to you the right to sell the software
 proprietary|confidential|this (?:software|document|material) is (?:the )?(?:confidential and proprietary|proprietary and confidential)
 all-rights-reserved|reproduc|no part of this (?:publication|work|document|book) may be reproduced
 """
@@ -75,7 +75,8 @@ mit|mit|(?:the )?mit licen[cs]e(?:d)?
 mit|expat|expat licen[cs]e
 mit-0|mit|mit no attribution(?: licen[cs]e)?
 isc|isc|isc licen[cs]e
-0bsd|bsd|(?:zero clause bsd|bsd zero clause|free public license 1 0 0)
+0bsd|bsd|(?:zero clause bsd|bsd zero clause)
+0bsd|free public|free public license 1 0 0
 bsd-2-clause|bsd|(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)(?: licen[cs]e)?
 bsd-3-clause|bsd|(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?
 bsd-4-clause|bsd|(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?
@@ -150,7 +151,8 @@ odc-by-1|open data commons|open data commons attribution licen[cs]e
 cdla-permissive|community data|community data licen[cs]e agreement permissive
 cdla-sharing|community data|community data licen[cs]e agreement sharing
 ogl-uk-3|open government|open government licen[cs]e(?: v3 0)?
-etalab-2|etalab|(?:etalab|licence ouverte)(?: 2 0)?
+etalab-2|etalab|etalab(?: 2 0)?
+etalab-2|ouverte|licence ouverte(?: 2 0)?
 ofl-1.1|open font|(?:sil )?open font licen[cs]e(?: version)?(?: 1 1)?
 artistic-2|artistic|artistic licen[cs]e(?: version)? 2(?: 0)?
 artistic-1|artistic|(?:perl )?artistic licen[cs]e(?: 1 0)?
@@ -260,7 +262,8 @@ def _rules() -> tuple[Rule, ...]:
     raw += [(LINK, *x) for x in _lines(_LINKS)]
     for label, name in _pairs(_NOTICES):
         raw.append((NOTICE, label, "licensed", f"licensed under (?:the |a |an )?{name}"))
-        raw.append((NOTICE, label, "released", f"(?:released|distributed) under (?:the |a |an )?{name}"))
+        raw.append((NOTICE, label, "released", f"released under (?:the |a |an )?{name}"))
+        raw.append((NOTICE, label, "distributed", f"distributed under (?:the |a |an )?{name}"))
         raw.append((NOTICE, label, "terms", f"(?:under|subject to) the terms of (?:the |a |an )?{name}"))
     raw += [(NAME, *x) for x in _lines(_NAMES)]
     return tuple(Rule(p, i, label, key, WEIGHT[p], re.compile(rf"(?<!\S){body}(?!\S)")) for i, (p, label, key, body) in enumerate(raw))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 
 import numpy as np
@@ -180,6 +181,41 @@ def test_license_rules_are_many_and_telling():
     assert all(r.keyword.split()[0] for r in license_rules.RULES)
 
 
+def _shortest_texts(parsed):
+    """Texts that a rule's regex matches, one for each choice of alternatives, repeats at their fewest."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            first = arg[0][1]
+            more = [chr(first[0] if isinstance(first, tuple) else first) if str(arg[0][0]) != "CATEGORY" else "x"]
+        elif name == "ANY":
+            more = ["x"]
+        elif name == "BRANCH":
+            more = [t for b in arg[1] for t in _shortest_texts(b)]
+        elif name == "SUBPATTERN":
+            more = _shortest_texts(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [t * arg[0] for t in _shortest_texts(arg[2])] if arg[0] else [""]
+        else:
+            assert name == "ASSERT_NOT", name
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_every_license_rule_has_a_keyword_its_regex_implies():
+    # These texts do not name their licence and stand in others too; here the keyword tells them apart.
+    shared = {"gpl-1", "gpl-2", "gpl-3", "postgresql"}
+    wrong = [(r.label, r.keyword, t) for r in license_rules.RULES for t in _shortest_texts(re._parser.parse(r.regex.pattern))
+             if r.keyword not in t and not (r.priority == license_rules.GRANT and r.label in shared)]
+    assert not wrong
+    for text in ("Licensed under the EUPL 1.2", "distributed under MIT", "licence ouverte", "free public license 1.0.0"):
+        assert license_scan.detect(license_scan._WORD.findall(text.lower()))
+
+
 def test_license_scan_base_equals_brute_force(spark):
     rng = random.Random(4)
     pool = ["under", "the", "mit", "license", "apache", "Version", "2", "cc", "BY", "nc", "x", "é", "4"]
