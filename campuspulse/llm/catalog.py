@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 from campuspulse.llm import (
-    bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, jaccard_join, license_scan, line_dedup, pii, quality_crf, span_dedup,
+    bpe, chat_format, decontaminate, exact_dedup, fill_in_middle, jaccard_join, license_scan, line_dedup, pii, quality_crf, secret_crf, span_dedup,
     whitening,
 )
 
 MODULES = (exact_dedup, quality_crf, pii, span_dedup, bpe, jaccard_join, line_dedup, chat_format, license_scan, decontaminate,
-           whitening, fill_in_middle)
+           whitening, secret_crf, fill_in_middle)
 
 
 def queries():
