@@ -1,5 +1,6 @@
 """Secret scan: patterns against plain regular expressions, the chain against enumeration, tags on planted secrets."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -145,3 +146,15 @@ def test_sample_is_bounded_and_whole(spark, monkeypatch):
     monkeypatch.setattr(sc, "fit_texts", lambda texts: seen.append(texts))
     sc.fit(docs(spark, [(i, "w" * (10 + i)) for i in range(50)] + [(None, None)]), limit=20, chars=200)
     assert 0 < len(seen[0]) <= 20 and sum(map(len, seen[0])) <= 200 and all(len(t) >= 10 or t == "" for t in seen[0])
+
+
+def test_query_counts_and_digests(spark, monkeypatch, field):
+    monkeypatch.setattr(sc, "fit", lambda docs: field)
+    texts = dict(duckdb.execute("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    got = sc.op12_secrets(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = base(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[0] == k for w in want) for k in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(filter(None, line.split(","))) <= set(r.spans.split(","))
