@@ -7,14 +7,17 @@ all its metrics come from one aggregate over the out-of-fold predictions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import safe_ratio
@@ -28,11 +31,17 @@ SEED = 42
 
 # --- preparation ----------------------------------------------------------------------
 
-def impute(df: DataFrame, features: list[str], strategy: str = "median") -> DataFrame:
-    """Fill nulls with the column median (or zero); infinities become zero."""
+def impute(df: DataFrame, features: list[str], strategy: str = "median", by: list[str] | None = None) -> DataFrame:
+    """Fill nulls with the column median (of the row's group with ``by``) or zero; infinities become zero."""
     inf = float("inf")
     ready = df.withColumns({f: F.col(f).cast("double") for f in features})
-    if strategy == "median":
+    if strategy == "median" and by:
+        present = [F.struct(F.lit(f).alias("feature"), F.when(~F.isnan(f), F.col(f)).alias("value")) for f in features]
+        medians = percentiles(ready.select(*by, F.inline(F.array(*present))), [*by, "feature"], "value", {"median": 0.5})
+        wide = medians.groupBy(*by).agg(*[F.max(F.when(F.col("feature") == f, F.col("median"))).alias(f"_m_{f}") for f in features])
+        ready = ready.join(wide, by, "left").select(*[
+            F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"_m_{c}")).alias(c) if c in features else F.col(c) for c in ready.columns])
+    elif strategy == "median":
         present = [F.struct(F.lit(f).alias("feature"), F.when(~F.isnan(f), F.col(f)).alias("value")) for f in features]
         # Exact medians of all features in one pass; one number per feature reaches the driver.
         long = ready.select(F.inline(F.array(*present)))
@@ -67,11 +76,11 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = SEED, ids: tuple[str, ...] = ("course_id", "user_id")) -> DataFrame:
     """Fold 0..k-1 with every class spread evenly.
 
-    Rows are numbered within their class in hash order; the numbering is sliced by
-    the leading hash bits, so a class is never sorted in one task.
+    Rows are numbered within their class in the order of an MD5 of seed and ids; the numbering is sliced by
+    the leading digits, so a class is never sorted in one task.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *ids))
-    numbered = sliced_row_number(hashed, [label], ["_h", *ids], F.shiftright("_h", 54), "_pos")
+    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *ids)))
+    numbered = sliced_row_number(hashed, [label], ["_h", *ids], F.substring("_h", 1, 3), "_pos")
     return numbered.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_h", "_pos")
 
 
@@ -99,10 +108,12 @@ def forest(trees: int = 100, depth: int = 4, leaf: int = 1) -> RandomForestClass
     )
 
 
-def boosted(rounds: int = 100, depth: int = 3, rate: float = 0.1) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features", labelCol="failed", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED
+def boosted(rounds: int = 100, depth: int = 3, rate: float = 0.1, weighted: bool = False) -> GBTClassifier:
+    """Boosted trees, with the balanced weights of the classes if ``weighted``; node ids are cached and their lineage is cut every ten rounds."""
+    model = GBTClassifier(
+        featuresCol="features", labelCol="failed", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED, cacheNodeIds=True, checkpointInterval=10
     )
+    return model.setWeightCol("weight") if weighted else model
 
 
 def linear(target: str = "final_score") -> LinearRegression:
@@ -120,31 +131,50 @@ def lasso(alpha: float = 0.1, target: str = "final_score") -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=1.0, standardization=False, regParam=alpha)
 
 
-def forest_regressor(trees: int = 100, depth: int = 5, target: str = "final_score") -> RandomForestRegressor:
+def forest_regressor(trees: int = 100, depth: int = 30, target: str = "final_score") -> RandomForestRegressor:
+    """Trees that grow as far as the trainer allows: 30 levels."""
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, seed=SEED)
 
 
 def boosted_regressor(rounds: int = 100, depth: int = 3, target: str = "final_score") -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED)
+    return GBTRegressor(
+        featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED, cacheNodeIds=True, checkpointInterval=10)
 
 
 # --- evaluation ------------------------------------------------------------------------
 
+ROWS_PER_TASK = 50_000
+
+
+def fitted_input(df: DataFrame) -> DataFrame:
+    """The rows that all fits read, dealt to as many tasks as they can fill and kept: trees make a job per level, and each starts from here."""
+    tasks = max(1, min(df.count() // ROWS_PER_TASK + 1, df.sparkSession.sparkContext.defaultParallelism * 4))
+    return df.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_together(spark: SparkSession, jobs: list[Callable[[], object]], width: int = 8) -> list:
+    """Results of fits that run side by side: each is a chain of small jobs, so one fit leaves most cores idle."""
+    with ThreadPoolExecutor(max_workers=min(width, max(1, len(jobs)))) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs]))
+
+
 def out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame:
-    """Each row predicted by the model fitted on the other folds."""
-    parts = [estimator.fit(df.where(F.col("fold") != i)).transform(df.where(F.col("fold") == i)) for i in range(k)]
-    out = reduce(DataFrame.unionByName, parts)
+    """Each row predicted by the model fitted on the other folds; all folds are fitted side by side."""
+    ready = fitted_input(df)
+    try:
+        models = fit_together(df.sparkSession, [lambda i=i: estimator.fit(ready.where(F.col("fold") != i)) for i in range(k)])
+    finally:
+        ready.unpersist()
+    out = reduce(DataFrame.unionByName, [m.transform(df.where(F.col("fold") == i)) for i, m in enumerate(models)])
     if "probability" in out.columns:
         out = out.withColumn("probability", vector_to_array("probability")[1])
     return out.drop("features", "rawPrediction")
 
 
-def holdout(df: DataFrame, estimator, fold: int = 0) -> DataFrame:
-    """80/20 evaluation: one of five folds is predicted by a model of the others."""
-    out = estimator.fit(df.where(F.col("fold") != fold)).transform(df.where(F.col("fold") == fold))
-    if "probability" in out.columns:
-        out = out.withColumn("probability", vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction")
+def large_enough(result: DataFrame, frame: DataFrame, label: str = "failed", least: int = 20) -> DataFrame:
+    """``result``, or nothing where the frame has under ``least`` rows or a single class."""
+    shape = frame.agg(F.count("*").alias("_n"), F.count_distinct(label).alias("_classes"))
+    return attach_row(result, shape).where((F.col("_n") >= least) & (F.col("_classes") > 1)).drop("_n", "_classes")
 
 
 def classification_metrics(pred: DataFrame, by: list[str] | None = None, label: str = "failed") -> DataFrame:
@@ -196,7 +226,9 @@ def compare_models(predictions: dict[str, DataFrame]) -> DataFrame:
 
 
 def best_model(comparison: DataFrame, by: str = "recall") -> DataFrame:
-    return comparison.agg(F.max_by("model", by).alias("model"), F.max(by).alias(by))
+    """The model with the highest value (nine digits; the first by name of a tie)."""
+    order = F.struct(-F.round(F.coalesce(by, F.lit(float("-inf"))), 9), "model")
+    return comparison.agg(F.min_by("model", order).alias("model"), F.max(by).alias(by))
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
@@ -283,24 +315,3 @@ def pooled_features(df: DataFrame, clusters: list[tuple[str, int, str]]) -> Data
         held = [F.col(f) for f, _, n in clusters if n == name]
         columns[f"agg_{name}"] = reduce(lambda a, b: a + b, held) / len(held)
     return scaled.withColumns(columns)
-
-
-def per_course_models(df: DataFrame, gated: DataFrame, features: list[str], make, folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Cross-validated r2 and importances of one model per gated course.
-
-    The gate leaves a short list of course ids; each course's model is a Spark job
-    over that course's rows. Returns (course metrics, importances).
-    """
-    spark = df.sparkSession
-    metrics, weights = [], []
-    for row in gated.select("course_id", "n").orderBy("course_id").collect():  # ids of gated courses only
-        rows = df.where(F.col("course_id") == row.course_id)
-        k = min(folds, row.n // 3)
-        if k >= 2:
-            hashed = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED), "user_id"), F.lit(k)).cast("int"))
-            scored = regression_metrics(out_of_fold(hashed, make(), k), ["fold"])
-            metrics.append(scored.agg(F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std")).withColumn("course_id", F.lit(row.course_id)))
-        weights.append(importances(make().fit(rows), features, spark).withColumn("course_id", F.lit(row.course_id)))
-    empty = spark.createDataFrame([], "r2_mean double, r2_std double, course_id bigint")
-    none = spark.createDataFrame([], "feature string, importance double, course_id bigint")
-    return reduce(DataFrame.unionByName, metrics, empty), reduce(DataFrame.unionByName, weights, none)

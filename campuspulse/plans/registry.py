@@ -11,6 +11,7 @@ from campuspulse.functions.exprs import round_doubles
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_RECURSIVE: set[str] = set()
 
 _SCORE = "(CAST(round((c_acctbal + 1000) * 100) AS BIGINT) * 2 + 110) // 220 / 100.0"
 
@@ -116,9 +117,11 @@ _NEEDS = {
 }
 
 
-def add_cte(name: str, sql: str, needs: list[str]) -> None:
+def add_cte(name: str, sql: str, needs: list[str], recursive: bool = False) -> None:
     CTES[name] = sql
     _NEEDS[name] = needs
+    if recursive:
+        _RECURSIVE.add(name)
 
 
 def sql_with(needs: str, body: str) -> str:
@@ -134,7 +137,8 @@ def sql_with(needs: str, body: str) -> str:
     for name in needs.split():
         visit(name)
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in wanted]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    head = "WITH RECURSIVE" if wanted & _RECURSIVE else "WITH"
+    return f"{head} {', '.join(parts)} {body}" if parts else body
 
 
 def rnd(expr: str, name: str | None = None, digits: int = 6) -> str:

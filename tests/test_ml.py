@@ -56,6 +56,7 @@ def test_out_of_fold_covers_every_row_and_learns(data):
     pred = ml.out_of_fold(df, ml.linear()).select("user_id", "final_score", "prediction")
     assert pred.select("user_id").distinct().count() == len(pdf)
     assert one(ml.regression_metrics(pred)).r2 > 0.5
+    assert {r.fold for r in ml.out_of_fold(df, ml.linear()).select("fold").distinct().collect()} == set(range(5))
     summary = one(ml.fold_summary(ml.out_of_fold(df, ml.logistic(160)).cache()))
     assert summary.auc_mean > 0.8 and summary.f1_std >= 0
 
@@ -100,31 +101,42 @@ def test_pca_and_standardise(data):
     assert np.allclose(got, want)
 
 
+def test_boosting_is_weighted_only_where_asked():
+    plain, weighted = ml.boosted(), ml.boosted(200, 5, weighted=True)
+    assert not plain.isSet("weightCol") and weighted.getWeightCol() == "weight"
+    assert (plain.getMaxIter(), plain.getMaxDepth(), weighted.getMaxIter(), weighted.getMaxDepth()) == (100, 3, 200, 5)
+
+
+def test_trees_learn_planted_data(data):
+    _, df = data
+    forest = one(ml.fold_summary(ml.out_of_fold(df, ml.forest(trees=20)).cache()))
+    trees = one(ml.fold_summary(ml.out_of_fold(df, ml.boosted(rounds=10, weighted=True)).cache()))
+    assert forest.auc_mean > 0.8 and trees.auc_mean > 0.8
+    grades = one(ml.regression_metrics(ml.out_of_fold(df, ml.forest_regressor(trees=20)).select("final_score", "prediction")))
+    assert grades.r2 > 0.5
+
+
 def test_queries_fit_full_models(spark, monkeypatch):
     from campuspulse.plans import catalog, ml_queries
 
-    fitted, frame = [], spark.createDataFrame([(1, 1, 0, 50.0), (1, 2, 1, 60.0)], "course_id long, user_id long, failed int, final_score double")
+    fitted, frame = [], spark.createDataFrame([(1, 1, 0, 50.0)], "course_id long, user_id long, failed int, final_score double")
+    done = frame.withColumn("prediction", F.lit(1.0)).withColumn("probability", F.lit(0.5))
     for name in ("model_frame", "feature_table"):
         monkeypatch.setattr(ml_queries, name, lambda *a, **b: frame)
     monkeypatch.setattr(ml_queries, "materialise", lambda df: df)
     monkeypatch.setattr(ml, "assemble", lambda df, features: df)
-    monkeypatch.setattr(ml, "out_of_fold", lambda df, model, k=5: fitted.append((model, k)) or df.withColumn("prediction", F.lit(1.0)))
+    monkeypatch.setattr(ml, "out_of_fold", lambda df, model, k=5: fitted.append((model, k)) or done)
     monkeypatch.setattr(ml, "fold_summary", lambda df: df)
     monkeypatch.setattr(ml, "compare_models", lambda models: frame)
+    monkeypatch.setattr(ml_queries.lm, "logistic_out_of_fold", lambda *a, **b: done)
+    monkeypatch.setattr(ml_queries.lm, "linear_out_of_fold", lambda *a, **b: done)
     monkeypatch.setattr(ml_queries.stats, "correlation_matrix", lambda *a: None)
     monkeypatch.setattr(ml, "feature_clusters", lambda *a: [])
     monkeypatch.setattr(ml, "pooled_features", lambda *a: frame.withColumn("agg_a", F.lit(1.0)))
     monkeypatch.setattr(frame.__class__, "select", lambda self, *c, f=frame.__class__.select: f(self, *[x for x in c if not isinstance(x, str) or x in self.columns]))
     for name in ("gbt_oof", "gbt_oof_weighted", "rf_oof_deep", "model_comparison", "grade_regression", "reduced_vs_original"):
         catalog.queries()[name](spark, "")
-    trees = [m.getNumTrees() for m, _ in fitted if "RandomForest" in type(m).__name__]
-    rounds = [(m.getMaxIter(), m.getMaxDepth()) for m, _ in fitted if "GBT" in type(m).__name__]
-    assert sorted(trees) == [100, 100, 100, 100, 200] and sorted(rounds) == [(100, 3), (100, 3), (100, 3), (200, 5)]
-    made = {}
-    monkeypatch.setattr(ml, "per_course_models", lambda df, gate, features, make, folds=5: made.setdefault("m", (make(), folds)) and (1 / 0))
-    monkeypatch.setattr(ml_queries.courses, "class_diversity", lambda df: df)
-    for name in ("course_profiles", "mean_importance"):
-        made.clear()
-        with pytest.raises(ZeroDivisionError):
-            catalog.queries()[name](spark, "")
-        assert made["m"][0].getNumTrees() == 100 and made["m"][0].getMaxDepth() == 5 and made["m"][1] == 5
+    forests = sorted((m.getNumTrees(), m.getMaxDepth()) for m, _ in fitted if "RandomForest" in type(m).__name__)
+    rounds = sorted((m.getMaxIter(), m.getMaxDepth()) for m, _ in fitted if "GBT" in type(m).__name__)
+    assert forests == [(100, 4), (100, 30), (100, 30), (100, 30), (200, 10)] and rounds == [(100, 3), (100, 3), (100, 3), (200, 5)]
+    assert all(k == 5 for _, k in fitted)
