@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import PASS_MARK, direction, safe_ratio
 from campuspulse.functions.tails import chi2_pvalue, normal_pvalue, r_to_t, t_pvalue, two_by_two_pvalue
-from campuspulse.operators.ranks import attach_row, midranks, percentiles, prefix_totals, value_counts
+from campuspulse.operators.ranks import attach_row, percentiles, prefix_totals, value_counts
 
 
 def guarded_r(covar: Column, sx: Column, sy: Column) -> Column:
@@ -53,22 +53,25 @@ def to_long(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, features: list[str], target: str, by: list[str], min_n: int = 5) -> DataFrame:
-    """Spearman rho of every feature with the target per group: (by, feature, n, r)."""
-    long = to_long(df, [*by, F.col(target).cast("double").alias("_y")], features).where(
-        F.col("value").isNotNull() & F.col("_y").isNotNull()
-    )
+    """Spearman rho of every feature with the target per group: (by, feature, n, r).
+
+    Rows become joint counts of (feature value, target value) first. Target ranks come from their marginal counts and are added up per
+    feature value, so feature values, of which one (zero) may hold most rows, are only ever aggregated and ranked as distinct values. Ranks
+    are centred before they are multiplied.
+    """
+    long = to_long(df, [*by, F.col(target).cast("double").alias("_y")], features)
     keys = [*by, "feature"]
-    rx = midranks(long, keys, "value").select(*keys, "value", F.col("midrank").alias("_rx"))
-    ry = midranks(long, keys, "_y").select(*keys, "_y", F.col("midrank").alias("_ry"))
-    ranked = long.join(rx, [*keys, "value"]).join(ry, [*keys, "_y"])
-    return (
-        ranked.groupBy(*keys)
-        .agg(
-            F.count("*").alias("n"),
-            guarded_r(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx"), F.stddev_pop("_ry")).alias("r"),
-        )
-        .where((F.col("n") >= min_n) & F.col("r").isNotNull())
-    )
+    joint = long.where(F.col("value").isNotNull() & F.col("_y").isNotNull()).groupBy(*keys, "_y", "value").agg(F.count("*").alias("n"))
+    centred = F.col("n_below") + F.col("n") / 2 - F.col("n_below_all") / 2
+    targets = prefix_totals(value_counts(joint, keys, "_y", F.col("n")), keys, "_y", {"n": "n_below"})
+    ranked = joint.join(targets.select(*keys, "_y", centred.alias("_ry")), [*keys, "_y"])
+    per_value = ranked.groupBy(*keys, "value").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_ry")).alias("_s"), F.sum(F.col("n") * F.col("_ry") ** 2).alias("_q"))
+    placed = prefix_totals(per_value, keys, "value", {"n": "n_below"}).withColumn("_rx", centred)
+    sums = placed.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(F.col("_rx") * F.col("_s")).alias("_xy"), F.sum(F.col("n") * F.col("_rx") ** 2).alias("_xx"), F.sum("_q").alias("_yy"))
+    r = guarded_r(F.col("_xy"), F.sqrt("_xx"), F.sqrt("_yy"))
+    return sums.select(*keys, "n", r.alias("r")).where((F.col("n") >= min_n) & F.col("r").isNotNull())
 
 
 def with_significance(corr: DataFrame, alpha: float = 0.05) -> DataFrame:
