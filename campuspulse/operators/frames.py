@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -392,29 +394,65 @@ def staff_roster(enrollments: DataFrame) -> DataFrame:
     )
 
 
-def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame, salts: int = 16) -> DataFrame:
-    """Events of rostered users between the start and end of their course (inclusive).
+def _windows(roster: DataFrame, courses: DataFrame) -> DataFrame:
+    return roster.select(*KEYS).join(courses.select("course_id", "start_at", "end_at"), "course_id").where("start_at <= end_at")
+
+
+def hours_in_window(events: DataFrame, roster: DataFrame, courses: DataFrame, **extra) -> DataFrame:
+    """Hourly rows (as ``hourly`` by course and user) of events between the start and end of the user's course, inclusive.
 
-    The join works on raw events, so a user's rows are spread over ``salts`` tasks
-    and the much smaller roster is repeated once per salt.
+    Events are folded to hours before they meet the roster. An hour that lies inside the window as a whole passes as it is; only the
+    hours that a start or an end cuts, at most two for a course and user, go back to their events.
     """
-    windows = courses.select("course_id", "start_at", "end_at")
-    bounds = (
-        roster.select(*KEYS).join(windows, "course_id")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    spread = events.withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int"))
-    return (
-        spread.join(bounds, ["user_id", "_salt"])
-        .where(F.col("ts").between(F.col("start_at"), F.col("end_at")))
-        .drop("_salt")
-    )
+    met = hourly(events, **extra).join(_windows(roster, courses), "user_id")
+    inside = (F.col("first_ts") >= F.col("start_at")) & (F.col("last_ts") <= F.col("end_at"))
+    touched = (F.col("last_ts") >= F.col("start_at")) & (F.col("first_ts") <= F.col("end_at"))
+    columns = [*KEYS, "hour", "first_ts", "last_ts", "cnt", *extra]
+    cut = met.where(touched & ~inside).select(*KEYS, F.col("hour").alias("_hour"), "start_at", "end_at")
+    again = events.withColumn("_hour", F.date_trunc("hour", "ts")).join(cut, ["user_id", "_hour"]).where(F.col("ts").between(F.col("start_at"), F.col("end_at")))
+    return met.where(inside).select(*columns).unionByName(hourly(again, keys=KEYS, **extra).select(*columns))
+
+
+def heavy_users(events: DataFrame, share: float) -> DataFrame:
+    """(user_id, n) of users that may hold at least ``share`` of all events: a frequent-item sketch, then their exact counts.
+
+    The sketch keeps at most 1 / share items, which bounds what reaches the driver.
+    """
+    items = events.select("user_id").freqItems(["user_id"], share).first()[0]
+    some = events.where(F.col("user_id").isin([i for i in items if i is not None])) if items else events.limit(0)
+    return some.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def in_course_window(events: DataFrame, roster: DataFrame, courses: DataFrame) -> DataFrame:
+    """Events of rostered users between the start and end of their course (inclusive), row by row; ``hours_in_window`` moves far less.
+
+    A user with more events than a task's even share is dealt to tasks in proportion; all others are joined by id alone.
+    """
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = events.count()
+    even = max(1.0, total / tasks)
+    # At most one row per task: a user heavier than the even share.
+    salts = {r.user_id: math.ceil(r.n / even) for r in heavy_users(events, min(1.0, max(1e-4, 1 / tasks))).collect() if r.n > even}
+    bounds = _windows(roster, courses)
+    if salts:
+        number = _salts_of(salts)
+        events = events.withColumn("_salt", F.pmod(F.xxhash64("ts"), number).cast("int"))
+        bounds = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), number - 1)))
+        met = events.join(bounds, ["user_id", "_salt"]).drop("_salt")
+    else:
+        met = events.join(bounds, "user_id")
+    return met.where(F.col("ts").between(F.col("start_at"), F.col("end_at")))
+
+
+def _salts_of(salts: dict[int, int]) -> Column:
+    mapped = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+    return F.coalesce(F.try_element_at(mapped, F.col("user_id")), F.lit(1))
 
 
 def instructor_features(views: DataFrame, staff: DataFrame, courses: DataFrame, participation_kinds: tuple[str, ...] = ()) -> DataFrame:
-    """The student activity profile computed for staff, with their role; zero where nothing was seen."""
+    """The student activity profile of page views inside the course window computed for staff, with their role; zero where nothing was seen."""
     parts = F.when(F.col("kind").isin(*participation_kinds), F.col("cnt")).otherwise(0)
-    hours = hourly(views, keys=KEYS, parts=F.sum(parts)).join(courses.select("course_id", "start_at", "end_at"), "course_id")
+    hours = hours_in_window(views, staff, courses, parts=F.sum(parts)).join(courses.select("course_id", "start_at", "end_at"), "course_id")
     joined = staff.select(*KEYS, "user_role").join(activity_profile(hours), KEYS, "left")
     kinds = dict(joined.dtypes)
     return joined.select(*KEYS, "user_role", *[F.coalesce(F.col(c), F.lit(0).cast(kinds[c])).alias(c) for c in joined.columns[3:]])

@@ -497,6 +497,5 @@ def instructor_features(spark, d):
     kind = F.when(F.col("program") == "BUILDING", "TeacherEnrollment").when(F.col("program") == "MACHINERY", "TaEnrollment")
     roster = inputs.members(spark, d).withColumn("type", kind)
     staff = frames.staff_roster(roster)
-    views = frames.in_course_window(tables.activity(spark, d), staff, tables.courses(spark, d))
-    table = frames.instructor_features(views, staff, tables.courses(spark, d), tables.PARTICIPATION_KINDS)
+    table = frames.instructor_features(tables.activity(spark, d), staff, tables.courses(spark, d), tables.PARTICIPATION_KINDS)
     return table.select(*activity.KEYS, "user_role", *STAFF_FEATURES)

@@ -559,8 +559,24 @@ def page_views_in_window(spark, d):
     windows = tables.courses(spark, d).select(
         "course_id", (F.col("start_at") + F.expr("INTERVAL 9 DAYS")).alias("start_at"), (F.col("end_at") - F.expr("INTERVAL 11 DAYS")).alias("end_at")
     )
-    views = frames.in_course_window(tables.activity(spark, d), inputs.members(spark, d), windows)
-    return views.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    hours = frames.hours_in_window(tables.activity(spark, d), inputs.members(spark, d), windows)
+    return hours.groupBy(*KEYS).agg(F.sum("cnt").alias("n"), F.min("first_ts").alias("first_ts"))
+
+
+@query("page_view_rows_in_window", "act", """SELECT course_id, user_id, event_id, ts FROM act
+    WHERE ts BETWEEN TIMESTAMP '2024-01-10 11:30:00' AND TIMESTAMP '2024-01-20 07:15:00'""")
+def page_view_rows_in_window(spark, d):
+    """The views themselves, for bounds that cut an hour."""
+    windows = tables.courses(spark, d).select("course_id", F.lit("2024-01-10 11:30:00").cast("timestamp_ntz").alias("start_at"), F.lit("2024-01-20 07:15:00").cast("timestamp_ntz").alias("end_at"))
+    return frames.in_course_window(tables.activity(spark, d), inputs.members(spark, d), windows).select(*KEYS, "event_id", "ts")
+
+
+@query("page_views_in_cut_hours", "act", """SELECT course_id, user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM act
+    WHERE ts BETWEEN TIMESTAMP '2024-01-10 11:30:00' AND TIMESTAMP '2024-01-20 07:15:00' GROUP BY ALL""")
+def page_views_in_cut_hours(spark, d):
+    windows = tables.courses(spark, d).select("course_id", F.lit("2024-01-10 11:30:00").cast("timestamp_ntz").alias("start_at"), F.lit("2024-01-20 07:15:00").cast("timestamp_ntz").alias("end_at"))
+    hours = frames.hours_in_window(tables.activity(spark, d), inputs.members(spark, d), windows)
+    return hours.groupBy(*KEYS).agg(F.sum("cnt").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
 @query("unprocessed_ids", "enr", "SELECT user_id FROM enr WHERE user_id NOT IN (SELECT user_id FROM events)")

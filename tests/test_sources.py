@@ -77,7 +77,7 @@ def test_csv_json_parquet_round_trips(spark, tmp_path):
     assert sorted(readers.read_features_csv(spark, str(tmp_path / "csv"), df.schema).collect()) == sorted(df.collect())
     writers.write_json(df, str(tmp_path / "json"))
     assert spark.read.schema(df.schema).json(str(tmp_path / "json")).count() == 2
-    writers.write_by_course(df, str(tmp_path / "pq"), salts=4)
+    writers.write_by_course(df, str(tmp_path / "pq"), rows_per_file=4)
     assert sorted(p.name for p in (tmp_path / "pq").glob("course_id=*")) == ["course_id=1", "course_id=2"]
     pruned = spark.read.parquet(str(tmp_path / "pq")).where("course_id = 1")
     assert pruned.count() == 1
@@ -101,3 +101,18 @@ def test_explain_shows_pushdown_and_pruning(spark, sf):
     plan = tables.activity(spark, sf).where(F.col("user_id") == 3).select("user_id", "ts")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,3)" in plan
     assert "props" not in plan.split("ReadSchema:")[1]
+
+
+def test_files_by_course_are_even_in_a_skewed_table(spark, tmp_path):
+    big = spark.range(20_000).selectExpr("7 as course_id", "id as user_id", "id * 0.5 as x")
+    middle = spark.range(2_900).selectExpr("8 as course_id", "id as user_id", "id * 0.5 as x")
+    small = spark.range(300).selectExpr("100 + id % 50 as course_id", "id as user_id", "0.0 as x").unionByName(spark.sql("SELECT CAST(NULL AS INT) AS course_id, 1L AS user_id, 1.0 AS x"))
+    df = big.unionByName(middle).unionByName(small)
+    writers.write_by_course(df, str(tmp_path / "pq"), rows_per_file=1000)
+    per_file = spark.read.parquet(str(tmp_path / "pq")).groupBy("course_id", F.input_file_name().alias("f")).count().collect()
+    sizes = [r["count"] for r in per_file if r.course_id == 7]
+    assert len(sizes) == 20 and max(sizes) < 2 * min(sizes)
+    assert len([r for r in per_file if r.course_id == 8]) == 3
+    assert len([r for r in per_file if r.course_id not in (7, 8)]) == 51
+    assert sum(r["count"] for r in per_file) == df.count()
+    writers.write_by_course(df.limit(0), str(tmp_path / "none"))
