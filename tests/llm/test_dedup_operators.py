@@ -196,3 +196,42 @@ def test_a_sketch_meets_every_set_that_reaches_the_threshold():
     for n in range(1, 200):
         least = -(-75 * n // 100)
         assert decontaminate.sketch_size(n) == n - least + 1
+
+
+def _with_header(n):
+    """Texts of their own words behind one common header, and for every tenth one a near copy."""
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((i, "all rights reserved by the same owner " + " ".join(own)))
+        if i % 10 == 0:
+            rows.append((n + i, "all rights reserved by the same owner " + " ".join(own[:-2])))
+    return rows
+
+
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_pairs_of_a_common_header_grow_in_line(spark, tasks):
+    made = []
+    for n in (200, 400):
+        d = docs(spark, _with_header(n)).repartition(tasks)
+        frequent = jaccard_join.frequent_shingles(d)
+        prefixed = jaccard_join.prefixes(d, frequent)
+        entities = prefixed.where("n > 0").groupBy("entity", "grp", "n").agg(F.min("doc_id").alias("doc_id"))
+        lists = jaccard_join.lists_of(prefixed, entities)
+        longest = lists.groupBy("list").count().agg(F.max("count")).first()[0]
+        roots = spark.createDataFrame([], "node long, root long")
+        made.append(jaccard_join.open_pairs(lists, roots).count())
+        assert longest <= 4
+    assert made[1] <= 2 * made[0] + 10
+
+
+def test_a_pair_is_made_in_its_first_common_list(spark):
+    # Entities 1 and 2 share lists 10, 11 and 12, 2 and 3 share 12 only; 4 is in the component of 1.
+    rows = [(l, e, 100, i, e * 100) for e, ls in {1: [10, 11, 12], 2: [10, 11, 12], 3: [5, 12], 4: [10]}.items() for i, l in enumerate(ls)]
+    lists = spark.createDataFrame(rows, "list long, entity long, n long, i int, grp long")
+    roots = spark.createDataFrame([(1, 1), (4, 1)], "node long, root long")
+    pairs = sorted(tuple(r) for r in jaccard_join.open_pairs(lists, roots).collect())
+    assert pairs == [(1, 2), (1, 3), (2, 3), (2, 4)]
+    plan = jaccard_join.open_pairs(lists, roots)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan
