@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import PASS_MARK, direction, safe_ratio
-from campuspulse.functions.tails import chi2_pvalue, normal_pvalue, r_to_t, t_pvalue, two_by_two_pvalue
+from campuspulse.functions.tails import chi2_pvalue, normal_pvalue, r_to_t, rank_sum_pvalue, t_pvalue, two_by_two_pvalue
 from campuspulse.operators.ranks import attach_row, percentiles, prefix_totals, value_counts
 
 
@@ -186,16 +186,17 @@ def t_test(df: DataFrame, features: list[str]) -> DataFrame:
     return long.select("feature", "n_passed", "n_failed", "mean_passed", "mean_failed", t.alias("t"), (n1 + n2 - 2).alias("df"))
 
 
-def mann_whitney(df: DataFrame, features: list[str]) -> DataFrame:
-    """U of passed against failed per feature, with the tie-corrected normal score.
+def rank_sums(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
+    """U of passed against failed per feature (and group), with the tie-corrected normal score and whether there are ties.
 
     Works on counts per distinct value and never ranks single rows.
     """
-    long = to_long(df.where("failed is not null"), ["failed"], features)
-    counts = value_counts(long, ["feature"], "value", passed=F.count_if(F.col("failed") == 0))
-    placed = prefix_totals(counts, ["feature"], "value", {"n": "n_below"})
+    keys = [*(by or []), "feature"]
+    long = to_long(df.where("failed is not null"), [*(by or []), "failed"], features)
+    counts = value_counts(long, keys, "value", passed=F.count_if(F.col("failed") == 0))
+    placed = prefix_totals(counts, keys, "value", {"n": "n_below"})
     mid = F.col("n_below") + (F.col("n") + 1) / 2
-    agg = placed.groupBy("feature").agg(
+    agg = placed.groupBy(*keys).agg(
         F.sum("passed").alias("n_passed"), F.sum(F.col("n") - F.col("passed")).alias("n_failed"),
         F.sum(F.col("passed") * mid).alias("_ranks"),
         F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("_ties"),
@@ -205,7 +206,21 @@ def mann_whitney(df: DataFrame, features: list[str]) -> DataFrame:
     u = F.col("_ranks") - a * (a + 1) / 2
     sd = F.sqrt(a * b / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     z = F.try_divide(F.abs(u - a * b / 2) - 0.5, sd)
-    return agg.select("feature", "n_passed", "n_failed", u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"))
+    return agg.select(*keys, "n_passed", "n_failed", u.alias("u"), F.greatest(z, F.lit(0.0)).alias("z"), (F.col("_ties") > 0).alias("tied"))
+
+
+def mann_whitney(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
+    return rank_sums(df, features, by).drop("tied")
+
+
+EXACT_GROUP = 8
+
+
+def mann_whitney_test(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
+    """The same with two-sided p-values: exact where a group has at most eight members and nothing ties, else by the normal score."""
+    found = rank_sums(df, features, by).where((F.col("n_passed") > 0) & (F.col("n_failed") > 0))
+    small = (F.least("n_passed", "n_failed") <= EXACT_GROUP) & ~F.col("tied")
+    return found.withColumn("p_value", F.when(small, rank_sum_pvalue("u", "n_passed", "n_failed")).otherwise(normal_pvalue(F.col("z")))).drop("tied")
 
 
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
@@ -241,10 +256,6 @@ def with_t_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p_value", t_pvalue(F.col("t"), F.col("df").cast("double")))
 
 
-def with_z_p(df: DataFrame) -> DataFrame:
-    return df.withColumn("p_value", normal_pvalue(F.col("z")))
-
-
 # Insight catalogue (feature, description, higher is worse, share with a 20 % cut).
 CATALOGUE = [
     ("weekday_morning_pct", "studying in the morning (6am-12pm)", False, True),
@@ -372,29 +383,37 @@ def trend_line(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     )
 
 
-def density_curve(df: DataFrame, value: str, by: str, points: int = 40) -> DataFrame:
+def density_curve(df: DataFrame, value: str, by: str, points: int = 40, bins: int = 20, reach: float = 9.0) -> DataFrame:
     """Gaussian kernel density per group on a common grid, Scott's bandwidth.
 
-    Each distinct value meets the fixed number of grid points once; sums combine
-    on the map side.
+    Values are binned linearly first: each gives its two neighbouring bins, of which a bandwidth has ``bins``, weights that keep its place on average. Only
+    bins meet the grid points, and only within ``reach`` bandwidths. Against the sum over all values a density is off by
+    at most ``1 / (8 * bins**2)`` of the kernel's peak (0.03 percent for 20 bins), whatever the number of rows.
     """
-    counts = value_counts(df, [by], value)
+    present = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(F.col(by), F.col(value).cast("double").alias("_v"))
+    widths = present.groupBy(by).agg(
+        F.count("*").alias("_n"), (F.stddev_samp("_v") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("_h")).where(F.col("_h") > 0)
+    # One small map for all groups: rows meet it without a join.
+    per_group = widths.agg(F.map_from_entries(F.collect_list(F.struct(by, F.struct("_n", "_h")))).alias("_groups"))
     bounds = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    widths = df.where(F.col(value).isNotNull()).groupBy(by).agg(
-        F.count("*").alias("_n"),
-        (F.stddev_samp(value) * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("_h"),
-    )
+    known = attach_row(attach_row(present, bounds), per_group).withColumn("_g", F.try_element_at("_groups", F.col(by))).where("_g is not null")
+    step = F.col("_g._h") / bins
+    place = (F.col("_v") - F.col("_lo")) / step
+    low = F.floor(place)
+    part = place - low
+    binned = known.select(by, F.inline(F.array(F.struct(low.alias("_bin"), (1 - part).alias("_w")), F.struct((low + 1).alias("_bin"), part.alias("_w")))))
+    weights = binned.where("_w > 0").groupBy(by, "_bin").agg(F.sum("_w").alias("_w"))
+    rows = attach_row(attach_row(weights, bounds), per_group).withColumn("_g", F.try_element_at("_groups", F.col(by)))
     grid = F.transform(
         F.sequence(F.lit(0), F.lit(points - 1)),
         lambda i: F.struct(i.alias("i"), (F.col("_lo") + i * (F.col("_hi") - F.col("_lo")) / (points - 1)).alias("x")),
     )
-    u = (F.col("g.x") - F.col(value)) / F.col("_h")
-    kernel = F.col("n") * F.exp(-0.5 * u * u) / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2) * F.pi()))
+    u = (F.col("_p.x") - F.col("_lo")) / F.col("_g._h") - F.col("_bin") / F.lit(float(bins))
+    kernel = F.when(F.abs(u) <= reach, F.col("_w") * F.exp(-0.5 * u * u) / (F.col("_g._n") * F.col("_g._h") * F.sqrt(F.lit(2) * F.pi()))).otherwise(0.0)
     return (
-        attach_row(counts.join(widths.where(F.col("_h") > 0), by), bounds)
-        .withColumn("g", F.explode(grid))
-        .groupBy(by, F.col("g.i").alias("point"))
-        .agg(F.max("g.x").alias("x"), F.sum(kernel).alias("density"))
+        rows.withColumn("_p", F.explode(grid))
+        .groupBy(by, F.col("_p.i").alias("point"))
+        .agg(F.max("_p.x").alias("x"), F.sum(kernel).alias("density"))
     )
 
 

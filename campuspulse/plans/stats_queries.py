@@ -9,7 +9,7 @@ from campuspulse.operators import access, courses, risk, stats
 from campuspulse.operators.activity import KEYS
 from campuspulse.operators.sessions import session_features
 from campuspulse.plans import inputs
-from campuspulse.plans.course_queries import student_frame
+from campuspulse.plans.course_queries import student_frame, user_stats
 from campuspulse.plans.registry import add_cte, big, query, rnd, sql_chi2_p, sql_t_p, sql_z_p
 from campuspulse.session import materialise
 from campuspulse.sources import tables
@@ -103,6 +103,15 @@ def cross_course_mean_r(spark, d):
     return stats.cross_course_mean(stats.with_significance(pearson(spark, d)).where("significant"))
 
 
+add_cte("sigwide", f"SELECT * FROM peart WHERE {P_R} < 0.5", ["peart"])
+
+
+@query("cross_course_mean_r_wide", "sigwide", f"SELECT feature, {rnd('avg(r)', 'avg_r')}, count(*) AS n_courses, {big('sum(n)', 'total_n')}, {rnd('abs(avg(r))', 'abs_avg_r')} FROM sigwide GROUP BY ALL HAVING count(*) >= 2")
+def cross_course_mean_r_wide(spark, d):
+    """The same at p < 0.5, which the test data reaches."""
+    return stats.cross_course_mean(stats.with_significance(pearson(spark, d), 0.5).where("significant"))
+
+
 @query("cross_course_consistency", "pear", f"SELECT feature, {rnd('avg(r)', 'mean')}, {rnd('stddev_pop(r)', 'std')}, count(*) AS n_courses, CASE WHEN min(r) > 0 OR max(r) < 0 THEN 'consistent' ELSE 'mixed' END AS consistency FROM pear GROUP BY ALL")
 def cross_course_consistency(spark, d):
     return stats.cross_course_consistency(pearson(spark, d))
@@ -165,7 +174,36 @@ add_cte("core_u", _mwu("'unique_active_hours', 'total_activity_time', 'avg_gap_h
 
 @query("mann_whitney_pvalues", "core_u", f"SELECT feature, n_passed, n_failed, {rnd('u')}, {rnd('z')}, {rnd(sql_z_p('z'), 'p_value')} FROM core_u")
 def mann_whitney_pvalues(spark, d):
-    return stats.with_z_p(stats.mann_whitney(students(spark, d), CORE))
+    return stats.mann_whitney_test(students(spark, d), CORE)
+
+
+add_cte("mwpart", """
+    SELECT account_id, program, failed, score, rank() OVER w + (count(*) OVER (PARTITION BY account_id, program, score) - 1) / 2 AS mid, count(*) OVER (PARTITION BY account_id, program, score) AS tie
+    FROM (SELECT account_id, program, CASE WHEN final_score < 57 THEN 1 ELSE 0 END AS failed, avg_score AS score
+          FROM enr JOIN (SELECT user_id, avg_score FROM subst) USING (user_id) WHERE avg_score IS NOT NULL AND final_score IS NOT NULL)
+    WINDOW w AS (PARTITION BY account_id, program ORDER BY score)""", ["enr", "subst"])
+add_cte("mwgroup", """
+    SELECT account_id, program, count(*) FILTER (failed = 0) AS n_passed, count(*) FILTER (failed = 1) AS n_failed, count(*) AS n, max(tie) > 1 AS tied,
+           sum(mid) FILTER (failed = 0) - count(*) FILTER (failed = 0) * (count(*) FILTER (failed = 0) + 1) / 2 AS u, CAST(sum(tie * tie - 1) AS DOUBLE) AS ties
+    FROM mwpart GROUP BY ALL HAVING count(*) FILTER (failed = 0) > 0 AND count(*) FILTER (failed = 1) > 0""", ["mwpart"])
+add_cte("mwsmall", "SELECT *, least(n_passed, n_failed) AS m, least(u, n_passed * n_failed - u) AS low FROM mwgroup WHERE least(n_passed, n_failed) <= 8 AND NOT tied", ["mwgroup"])
+# ways: how many sets of m of the first n ranks have the sum s.
+add_cte("mwways", """SELECT 0 AS n, 0 AS m, 0 AS s, CAST(1 AS DOUBLE) AS ways
+    UNION ALL SELECT n + 1, m + j, s + j * (n + 1), sum(ways) FROM mwways, range(2) q(j) WHERE n < (SELECT max(n) FROM mwsmall) AND m + j <= 8 GROUP BY n, m + j, s + j * (n + 1)""",
+        ["mwsmall"], recursive=True)
+add_cte("mwexact", """SELECT account_id, program, least(1, 2 * sum(w.ways) FILTER (w.s - w.m * (w.m + 1) / 2 <= low) / sum(w.ways)) AS p
+    FROM mwsmall g JOIN mwways w ON w.n = g.n AND w.m = g.m GROUP BY ALL""", ["mwways"])
+
+
+@query("mann_whitney_small_groups", "mwexact", f"""SELECT account_id, program, n_passed, n_failed, {rnd('u')}, {rnd('z')}, {rnd(f"coalesce(p, {sql_z_p('z')})", 'p_value')} FROM (
+    SELECT *, greatest(0, (abs(u - n_passed * n_failed / 2) - 0.5) / sqrt(n_passed * n_failed / 12 * ((n + 1) - ties / (n * (n - 1))))) AS z FROM mwgroup)
+    LEFT JOIN mwexact USING (account_id, program)""")
+def mann_whitney_small_groups(spark, d):
+    """Average submission scores of passing against failing students of each account and programme; most groups are small enough for the exact test."""
+    scores = user_stats(spark, d).select("user_id", F.col("avg_score").alias("score"))
+    members = stats.pass_fail(inputs.members(spark, d)).select("user_id", "account_id", "program", "failed")
+    found = stats.mann_whitney_test(members.join(scores, "user_id"), ["score"], ["account_id", "program"])
+    return found.drop("feature")
 
 
 add_cte("cont", "SELECT dominant_time, CASE WHEN final_score >= 57 THEN 'Passed' ELSE 'Failed' END AS outcome, count(*) AS n FROM active GROUP BY ALL", ["active"])
@@ -251,30 +289,50 @@ TEXT = """printf('Students with %s %s have %.0f%% higher failure risk (failure r
     || CASE WHEN p < 0.001 THEN ' (p < 0.001)' WHEN p < 0.01 THEN ' (p < 0.01)' WHEN p < 0.05 THEN ' (p < 0.05)' ELSE printf(' (p = %.3f, not statistically significant)', p) END"""
 
 
-@query("insights", "ing", f"""SELECT feature, {rnd('rr', 'relative_risk')}, {rnd('oratio', 'odds_ratio')}, {rnd('p', 'p_value')}, p < 0.05 AS significant, hn AS high_group_n, ln_ AS low_group_n,
+def insights_sql(least):
+    return f"""SELECT feature, {rnd('rr', 'relative_risk')}, {rnd('oratio', 'odds_ratio')}, {rnd('p', 'p_value')}, p < 0.05 AS significant, hn AS high_group_n, ln_ AS low_group_n,
     {rnd('hr', 'high_fail_rate')}, {rnd('lr', 'low_fail_rate')}, {TEXT} AS insight_text
-    FROM (SELECT *, CASE WHEN least(a, b, c, d) < 5 THEN {FISHER} ELSE {sql_chi2_p('y2', '1')} END AS p FROM (SELECT *, {YATES} AS y2 FROM ing WHERE rr > 1.2))""")
-def insights(spark, d):
-    """The whole catalogue over the engagement table of all students, with sentences."""
+    FROM (SELECT *, CASE WHEN least(a, b, c, d) < 5 THEN {FISHER} ELSE {sql_chi2_p('y2', '1')} END AS p FROM (SELECT *, {YATES} AS y2 FROM ing WHERE rr > {least}))"""
+
+
+def insight_table(spark, d, min_risk):
     table = stats.pass_fail(inputs.engagement(spark, d))
     weekend = [F.round(f"weekend_{s}_pct", 6) for s in ("morning", "afternoon", "evening", "night")]
     total = weekend[0]
     for c in weekend[1:]:
         total = total + c
     frame = materialise(table.select(*KEYS, "failed", *CAT_FEATURES, total.alias("weekend_study_pct")))
-    out = stats.insights(stats.feature_impact(frame, digits=6))
+    out = stats.insights(stats.feature_impact(frame, digits=6), min_risk)
     return out.select("feature", "relative_risk", "odds_ratio", "p_value", "significant", "high_group_n", "low_group_n", "high_fail_rate", "low_fail_rate", "insight_text")
 
 
+@query("insights", "ing", insights_sql(1.2))
+def insights(spark, d):
+    """The whole catalogue over the engagement table of all students, with sentences."""
+    return insight_table(spark, d, 1.2)
+
+
+@query("insights_wide", "ing", insights_sql(0.9))
+def insights_wide(spark, d):
+    """The same from a relative risk of 0.9 on, which the test data reaches."""
+    return insight_table(spark, d, 0.9)
+
+
 @query("trend_line", "active", f"SELECT {rnd('regr_slope(final_score, page_views)', 'slope')}, {rnd('regr_intercept(final_score, page_views)', 'intercept')}, count(*) AS n FROM active")
 def trend_line(spark, d):
     return stats.trend_line(inputs.all_students(spark, d), "page_views", "final_score")
 
 
-@query("density_curve", "active", f"""
-    SELECT failed, CAST(i AS INTEGER) AS point, {rnd('x')}, {rnd('sum(exp(-0.5 * pow((x - total_activity_time) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi()))', 'density')}
-    FROM active JOIN (SELECT failed, count(*) AS n, stddev_samp(total_activity_time) * pow(count(*), -0.2) AS h FROM active GROUP BY 1 HAVING stddev_samp(total_activity_time) > 0) USING (failed),
-    (SELECT i, lo + i * (hi - lo) / 39 AS x FROM range(40) t(i), (SELECT min(total_activity_time) AS lo, max(total_activity_time) AS hi FROM active)) GROUP BY failed, i, x""")
+add_cte("dens", "SELECT failed, count(*) AS n, stddev_samp(total_activity_time) * pow(count(*), -0.2) AS h FROM active GROUP BY 1 HAVING stddev_samp(total_activity_time) > 0", ["active"])
+add_cte("densp", """SELECT failed, n, h, lo, hi, (total_activity_time - lo) / (h / 20) AS place
+    FROM active JOIN dens USING (failed), (SELECT CAST(min(total_activity_time) AS DOUBLE) AS lo, CAST(max(total_activity_time) AS DOUBLE) AS hi FROM active)""", ["dens"])
+add_cte("densw", """SELECT failed, n, h, lo, hi, bin, sum(w) AS w FROM (SELECT failed, n, h, lo, hi, floor(place) AS bin, 1 - (place - floor(place)) AS w FROM densp
+    UNION ALL SELECT failed, n, h, lo, hi, floor(place) + 1, place - floor(place) FROM densp) GROUP BY ALL""", ["densp"])
+
+
+@query("density_curve", "densw", f"""SELECT failed, CAST(i AS INTEGER) AS point, {rnd('max(lo + i * (hi - lo) / 39)', 'x')},
+    {rnd('sum(CASE WHEN abs(i * (hi - lo) / 39 / h - bin / 20) <= 9 THEN w * exp(-0.5 * pow(i * (hi - lo) / 39 / h - bin / 20, 2)) ELSE 0 END / (n * h * sqrt(2 * pi())))', 'density')}
+    FROM densw, range(40) t(i) GROUP BY failed, i""")
 def density_curve(spark, d):
     return stats.density_curve(students(spark, d), "total_activity_time", "failed")
 

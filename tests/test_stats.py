@@ -131,3 +131,34 @@ def test_f1_of_published_precision_and_recall(spark):
 def test_empty_metrics_are_zero(spark):
     m = one(ml.classification_metrics(spark.createDataFrame([(0, 0.0)], "failed int, prediction double")))
     assert (m.precision, m.recall, m.f1, m.accuracy) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_density_is_close_to_the_exact_sum(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i % 2), float(v)) for i, v in enumerate(np.concatenate([rng.exponential(50, 400), [0.0] * 100, [900.0]]))]
+    df = spark.createDataFrame(rows + [(0, None), (None, 1.0), (2, 5.0)], "g int, v double")
+    got = {(r.g, r.point): (r.x, r.density) for r in stats.density_curve(df, "v", "g").collect()}
+    assert {g for g, _ in got} == {0, 1}
+    for g in (0, 1):
+        v = np.array([x for k, x in rows if k == g])
+        h = v.std(ddof=1) * len(v) ** -0.2
+        exact = {i: np.exp(-0.5 * ((got[g, i][0] - v) / h) ** 2).sum() / (len(v) * h * np.sqrt(2 * np.pi)) for i in range(40)}
+        peak = max(exact.values())
+        assert max(abs(got[g, i][1] - exact[i]) for i in exact) < peak / (8 * 20**2) * 1.01
+
+
+def test_small_groups_get_the_exact_rank_test(spark):
+    from campuspulse.functions.tails import normal_two_sided, rank_sum_two_sided
+
+    rows = [("a", int(i >= 4), float(v)) for i, v in enumerate([1, 5, 6, 9, 2, 3, 4])]  # no ties
+    rows += [("b", i % 2, float(i // 4)) for i in range(12)] + [("c", 0, 1.0)]  # ties; one class only
+    df = spark.createDataFrame(rows, "g string, failed int, x double")
+    got = {r.g: r for r in stats.mann_whitney_test(df, ["x"], ["g"]).collect()}
+    assert set(got) == {"a", "b"}
+    assert got["a"].p_value == pytest.approx(rank_sum_two_sided(got["a"].u, 4, 3)) and got["b"].p_value == pytest.approx(normal_two_sided(got["b"].z))
+
+
+def test_planted_effect_across_courses_and_as_an_insight(spark):
+    corr = spark.createDataFrame([("f", c, 40, 0.6) for c in (1, 2, 3)] + [("g", 1, 40, 0.05), ("g", 2, 40, 0.7)], "feature string, course_id long, n long, r double")
+    mean = stats.cross_course_mean(stats.with_significance(corr).where("significant")).collect()
+    assert [(r.feature, r.n_courses, round(r.avg_r, 9)) for r in mean] == [("f", 3, 0.6)]
