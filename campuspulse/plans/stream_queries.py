@@ -67,6 +67,18 @@ def stream_ingest(spark, d):
 @query("stream_rescore", "", """SELECT user_id, count(DISTINCT date_trunc('hour', ts)) AS active_hours, max(ts) AS last_ts,
     CASE WHEN count(DISTINCT date_trunc('hour', ts)) < 10 THEN 1 ELSE 0 END AS alert_few_hours FROM events GROUP BY ALL""")
 def stream_rescore(spark, d):
+    """Active hours from keyed state: no stored batch is read again."""
+    return rescored(spark, d, 72.0).select("user_id", "active_hours", "last_ts", "alert_few_hours")
+
+
+def rescored(spark, d, idle_hours):
     base = run_dir(spark, "stream-rescore")
-    jobs.rescore_alerts(clicks(spark, d), f"{base}/hours", f"{base}/alerts", f"{base}/checkpoint")
-    return jobs.latest_alerts(spark, f"{base}/alerts").select("user_id", F.col("active_hours"), "last_ts", "alert_few_hours")
+    jobs.rescore_alerts(clicks(spark, d), f"{base}/alerts", f"{base}/checkpoint", idle_hours=idle_hours)
+    return jobs.latest_alerts(spark, f"{base}/alerts")
+
+
+@query("stream_idle_timers", "wm", """SELECT user_id, max(ts) AS last_ts, count(DISTINCT date_trunc('hour', ts)) AS active_hours FROM events GROUP BY ALL
+    HAVING date_trunc('milliseconds', max(ts)) + INTERVAL 24 HOUR <= (SELECT mark FROM wm)""")
+def stream_idle_timers(spark, d):
+    """Students whose timer of 24 silent hours has fired and who have not come back."""
+    return rescored(spark, d, 24.0).where("alert_inactive = 1").select("user_id", "last_ts", "active_hours")

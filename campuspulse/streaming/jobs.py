@@ -6,11 +6,16 @@ checkpoint folder, and survives restarts and lost executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from campuspulse.operators.activity import hourly
 from campuspulse.session import run_dir
 
 
@@ -104,40 +109,88 @@ def collect_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def rescore_alerts(events: DataFrame, table: str, alerts: str, checkpoint: str, min_hours: int = 10) -> None:
-    """Micro-batch re-scoring: students seen in a batch get their active-hour alert recomputed.
+def _distinct_hours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(user_id, hour, ts): the latest event of each user and hour of a batch of rows."""
+    for batch in batches:
+        rows = pa.table({"user_id": batch["user_id"], "hour": batch["hour"], "ts": batch["ts"]})
+        yield from rows.group_by(["user_id", "hour"]).aggregate([("ts", "max")]).rename_columns(["user_id", "hour", "ts"]).to_batches()
+
+
+class ActivityState(StatefulProcessor):
+    """Distinct active hours and last event of a student, and a timer for silence.
 
-    Each batch adds its hourly rows under its own batch number, so a repeated batch
-    overwrites itself. Rows are stored by a hash bucket of the student, and only the
-    buckets of the batch's students are read back.
+    State is one entry per active hour, one row of totals and one timer. A row goes out whenever new events change the totals and
+    when the timer fires.
     """
-    buckets = 64
-
-    def score(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = hourly(batch.withColumn("cnt", F.lit(1))).withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
-        fresh = spark.read.parquet(f"{table}/batch={batch_id}")
-        seen = fresh.select("user_id").distinct()
-        hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most 64 numbers
-        stored = spark.read.option("basePath", table).parquet(table)
-        history = stored.where(F.col("bucket").isin(hit) & (F.col("batch") <= batch_id))
-        (
-            history.join(seen, "user_id", "left_semi")
-            .groupBy("user_id")
-            .agg(F.count_distinct("hour").alias("active_hours"), F.max("last_ts").alias("last_ts"))
-            .withColumn("alert_few_hours", F.when(F.col("active_hours") < min_hours, 1).otherwise(0))
-            .write.mode("overwrite").parquet(f"{alerts}/batch={batch_id}")
-        )
-
-    query = (
-        events.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def __init__(self, min_hours: int, idle_hours: float):
+        self.min_hours, self.idle = min_hours, int(idle_hours * 3_600_000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.hours = handle.getMapState("hours", "hour long", "seen boolean")
+        self.total = handle.getValueState("total", "active long, last long")
+
+    def _row(self, key, active: int, last: int, inactive: int) -> pd.DataFrame:
+        return pd.DataFrame({
+            "user_id": [key[0]], "active_hours": [active], "last_us": [last], "alert_few_hours": [int(active < self.min_hours)], "alert_inactive": [inactive]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        active, last = self.total.get() if self.total.exists() else (0, -(1 << 62))
+        for part in rows:
+            for hour, at in zip(part["hour"].tolist(), part["us"].tolist()):
+                if not self.hours.containsKey((hour,)):
+                    self.hours.updateValue((hour,), (True,))
+                    active += 1
+                last = max(last, at)
+        self.total.update((active, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last // 1000 + self.idle)
+        yield self._row(key, active, last, 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        active, last = self.total.get()
+        yield self._row(key, active, last, 1)
+
+    def close(self) -> None:
+        pass
+
+
+def activity_scores(events: DataFrame, min_hours: int = 10, idle_hours: float = 72.0, delay: str = "2 hours") -> DataFrame:
+    """Live alert rows of each student: active hours, last event, too few hours, silent for ``idle_hours`` of event time.
+
+    Rows are reduced to (student, hour) inside each task before they are shuffled, so a very active account sends one row per hour and
+    task. A batch touches the state of its own students only. Needs ``keyed_state``.
+    """
+    hours = events.where("ts is not null and user_id is not null").select("user_id", F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour"), "ts")
+    kinds = dict(hours.dtypes)
+    reduced = hours.mapInArrow(_distinct_hours, f"user_id {kinds['user_id']}, hour long, ts timestamp")
+    keyed = reduced.withWatermark("ts", delay).select("user_id", "hour", F.unix_micros("ts").alias("us"), "ts").groupBy("user_id")
+    out = keyed.transformWithStateInPandas(
+        ActivityState(min_hours, idle_hours), f"user_id {kinds['user_id']}, active_hours long, last_us long, alert_few_hours int, alert_inactive int", "Append", "EventTime")
+    return out.select("user_id", "active_hours", F.timestamp_micros("last_us").alias("last_ts"), "alert_few_hours", "alert_inactive")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep their state in the store that keyed state with timers needs."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def rescore_alerts(events: DataFrame, alerts: str, checkpoint: str, min_hours: int = 10, idle_hours: float = 72.0) -> None:
+    """Re-score the students of everything that has arrived; a rerun with the same checkpoint goes on where this ended."""
+    with keyed_state(events.sparkSession):
+        run_available(activity_scores(events, min_hours, idle_hours), alerts, checkpoint)
 
 
 def latest_alerts(spark: SparkSession, alerts: str) -> DataFrame:
-    """The newest alert row of each student over all batches."""
-    rows = spark.read.option("basePath", alerts).parquet(alerts)
-    newest = F.max_by(F.struct("active_hours", "last_ts", "alert_few_hours"), "batch").alias("r")
-    return rows.groupBy("user_id").agg(newest).select("user_id", "r.*")
+    """The newest alert row of each student: hours and last event only grow, and a timer's row follows its events' row."""
+    row = F.struct("active_hours", "last_ts", "alert_inactive", "alert_few_hours")
+    return spark.read.parquet(alerts).groupBy("user_id").agg(F.max(row).alias("r")).select("user_id", "r.*")

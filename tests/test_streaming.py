@@ -58,15 +58,22 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert [(r.started_at, r.n_events) for r in spark.read.parquet(out).collect()] == [(when("2024-01-02 10:00"), 1)]
 
 
-def test_rescoring_by_batch(spark, tmp_path):
+def test_rescoring_keeps_state_over_restarts_and_fires_timers(spark, tmp_path):
     src, base = tmp_path / "in", tmp_path / "state"
-    args = (str(base / "hours"), str(base / "alerts"), str(base / "ck"))
-    arrive(spark, src, "a", [(1, 1, "2024-01-01 10:00"), (2, 2, "2024-01-01 10:00")])
-    jobs.rescore_alerts(stream(spark, src), *args, min_hours=2)
-    arrive(spark, src, "b", [(3, 1, "2024-01-01 12:00")])
-    jobs.rescore_alerts(stream(spark, src), *args, min_hours=2)
-    got = {r.user_id: (r.active_hours, r.alert_few_hours) for r in jobs.latest_alerts(spark, args[1]).collect()}
-    assert got == {1: (2, 0), 2: (1, 1)}
+    args = (str(base / "alerts"), str(base / "ck"))
+    arrive(spark, src, "a", [(1, 1, "2024-01-01 10:00"), (2, 2, "2024-01-01 10:00"), (3, 1, "2024-01-01 10:20")])
+    jobs.rescore_alerts(stream(spark, src), *args, min_hours=2, idle_hours=24)
+    first = {r.user_id: (r.active_hours, r.alert_few_hours, r.alert_inactive) for r in jobs.latest_alerts(spark, args[0]).collect()}
+    assert first == {1: (1, 1, 0), 2: (1, 1, 0)}
+    arrive(spark, src, "b", [(4, 1, "2024-01-01 12:00"), (5, 1, "2024-01-01 10:40")])
+    jobs.rescore_alerts(stream(spark, src), *args, min_hours=2, idle_hours=24)
+    arrive(spark, src, "c", [(6, 1, "2024-01-02 13:00")])
+    jobs.rescore_alerts(stream(spark, src), *args, min_hours=2, idle_hours=24)
+    got = {r.user_id: (r.active_hours, r.last_ts, r.alert_few_hours, r.alert_inactive) for r in jobs.latest_alerts(spark, args[0]).collect()}
+    assert got == {1: (3, when("2024-01-02 13:00"), 0, 0), 2: (1, when("2024-01-01 10:00"), 1, 1)}
+    # Each batch wrote rows of its own students only.
+    rows = spark.read.parquet(args[0]).where("user_id = 2").collect()
+    assert sorted(r.alert_inactive for r in rows) == [0, 1]
 
 
 def test_trending_counts_slide(spark, tmp_path):
