@@ -130,10 +130,12 @@ def results_json(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
-@query("read_hour_matrix", "act", """SELECT course_id, CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, CAST(count(a.ts) AS DOUBLE) AS cnt
+HOUR_MATRIX_SQL = """SELECT course_id, CAST(d AS INTEGER) AS dow, CAST(h AS INTEGER) AS hour, CAST(count(a.ts) AS DOUBLE) AS cnt
     FROM (SELECT DISTINCT course_id FROM act), range(7) x(d), range(24) y(h) LEFT JOIN (SELECT course_id AS c, ts, isodow(ts) - 1 AS dw, hour(ts) AS hr FROM act) a ON c = course_id AND dw = d AND hr = h
-    GROUP BY ALL""")
-def read_hour_matrix(spark, d):
+    GROUP BY ALL"""
+
+
+def hour_matrix_files(spark, d):
     """{course: 7 x 24} documents, one line each; the matrix of a course is bounded whatever the number of its events."""
     cell = F.struct(F.weekday("hour").alias("d"), F.hour("hour").alias("h"))
     counts = inputs.hours(spark, d).groupBy("course_id", cell.alias("k")).agg(F.sum("cnt").cast("double").alias("n"))
@@ -143,20 +145,45 @@ def read_hour_matrix(spark, d):
     path = run_dir(spark, "hour-matrix")
     docs = cells.select(F.to_json(F.create_map(F.col("course_id").cast("string"), grid)).alias("value"))
     docs.write.text(path)
-    return readers.hour_matrix_rows(spark.read.text(path))
+    return path
 
 
-@query("read_course_bundle", "enr sub", """SELECT 'enrollments' AS part, course_id, count(*) AS n FROM enr GROUP BY ALL
-    UNION ALL SELECT 'assignments', course_id, count(DISTINCT assignment_id) FROM sub GROUP BY ALL""")
-def read_course_bundle(spark, d):
-    """Bundles of one course each, as JSON lines, fanned out into frames."""
+@query("read_hour_matrix", "act", HOUR_MATRIX_SQL)
+def read_hour_matrix(spark, d):
+    return readers.hour_matrix_rows(spark.read.text(hour_matrix_files(spark, d)))
+
+
+@query("read_hour_matrix_blocks", "act", HOUR_MATRIX_SQL)
+def read_hour_matrix_blocks(spark, d):
+    """The same documents read as byte blocks, several to a document."""
+    return readers.read_hour_matrix(spark, hour_matrix_files(spark, d), block_bytes=1024)
+
+
+BUNDLE_SQL = """SELECT 'enrollments' AS part, course_id, count(*) AS n FROM enr GROUP BY ALL
+    UNION ALL SELECT 'assignments', course_id, count(DISTINCT assignment_id) FROM sub GROUP BY ALL"""
+
+
+def bundle_counts(spark, d, **how):
+    """Bundles of one course each, fanned out into frames."""
     enrolled = inputs.members(spark, d).groupBy("course_id").agg(F.collect_list(F.struct(*KEYS)).alias("enrollments"))
     work = tables.assignments(spark, d).groupBy("course_id").agg(F.collect_list(F.struct("course_id", F.col("assignment_id").alias("id"), "name")).alias("assignments"))
-    parts = readers.read_course_bundle(spark, _as_json(enrolled.join(work, "course_id"), "bundle"), multiline=False)
+    parts = readers.read_course_bundle(spark, _as_json(enrolled.join(work, "course_id"), "bundle"), **how)
     counted = [parts[p].groupBy("course_id").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "course_id", "n") for p in ("enrollments", "assignments")]
     return counted[0].unionByName(counted[1])
 
 
+@query("read_course_bundle", "enr sub", BUNDLE_SQL)
+def read_course_bundle(spark, d):
+    """As JSON lines."""
+    return bundle_counts(spark, d, multiline=False)
+
+
+@query("read_large_bundle", "enr sub", BUNDLE_SQL)
+def read_large_bundle(spark, d):
+    """As documents of any size and layout, each read by as many tasks as it has blocks."""
+    return bundle_counts(spark, d, block_bytes=4096)
+
+
 @query("read_wrapped", "", "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region")
 def read_wrapped(spark, d):
     rows = tables.courses(spark, d).select(F.array(F.struct(F.col("course_id").alias("id"), F.col("course_name").alias("name"))).alias("courses"))

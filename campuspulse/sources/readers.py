@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from campuspulse import schemas
 from campuspulse.functions.exprs import parse_ts
+from campuspulse.sources import bundles
 
 
 def _json(spark: SparkSession, path: str, schema: StructType, multiline: bool) -> DataFrame:
@@ -97,12 +98,14 @@ def read_features_csv(spark, path, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def read_hour_matrix(spark, path) -> DataFrame:
-    """``{course: 7 x 24 matrix}`` documents, one a file (so a file is one task), as (course_id, dow, hour, cnt) rows.
-
-    Documents of one line each are better read as text lines and given to ``hour_matrix_rows``.
-    """
-    return hour_matrix_rows(spark.read.text(path, wholetext=True))
+def read_hour_matrix(spark, path, block_bytes: int = bundles.BLOCK_BYTES) -> DataFrame:
+    """``{course: 7 x 24 matrix}`` documents as (course_id, dow, hour, cnt) rows; one document is read by many tasks."""
+    entries = bundles.named_values(bundles.blocks(spark, path, block_bytes), block_bytes)
+    rows = bundles.parsed(entries, None, schemas.HOUR_MATRIX.valueType).where("r is not null")
+    return (
+        rows.select(F.col("field").cast("long").alias("course_id"), F.posexplode("r").alias("dow", "hours"))
+        .select("course_id", "dow", F.posexplode("hours").alias("hour", "cnt"))
+    )
 
 
 def hour_matrix_rows(texts: DataFrame) -> DataFrame:
@@ -115,16 +118,18 @@ def hour_matrix_rows(texts: DataFrame) -> DataFrame:
     )
 
 
-def read_course_bundle(spark, path, multiline=True) -> dict[str, DataFrame]:
+def read_course_bundle(spark, path, multiline=True, block_bytes: int = bundles.BLOCK_BYTES) -> dict[str, DataFrame]:
     """A course bundle (four arrays in one document) fanned out into four frames.
 
-    With ``multiline`` a file is one document and one task; JSON lines are split across tasks.
+    With ``multiline`` documents may span lines and have any size: each is read by as many tasks as it has blocks. JSON lines are split by Spark.
     """
+    parts = ("enrollments", "student_summaries", "submissions", "assignments")
+    if multiline:
+        known = bundles.blocks(spark, path, block_bytes)
+        records = {part: bundles.array_records(known, block_bytes, part) for part in parts}
+        return {part: bundles.parsed(records[part], part, schemas.COURSE_BUNDLE[part].dataType.elementType).select("r.*") for part in parts}
     bundle = _json(spark, path, schemas.COURSE_BUNDLE, multiline)
-    return {
-        part: bundle.select(F.explode(part).alias("r")).select("r.*")
-        for part in ("enrollments", "student_summaries", "submissions", "assignments")
-    }
+    return {part: bundle.select(F.explode(part).alias("r")).select("r.*") for part in parts}
 
 
 def read_wrapped(spark, path, field: str, schema: StructType, multiline=True) -> DataFrame:
