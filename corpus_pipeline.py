@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campuspulse.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality_crf
-from campuspulse.llm.common import table, text_of, written
+from campuspulse.llm.common import small_batches, table, text_of, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text): token ids and the text decoded from them."""
+    """(doc_id, n_tokens, ids, text): token ids and the text decoded from them.
+
+    A batch holds texts, their ids and the decoded texts at once, so batches are small and the rows are written here.
+    """
     image = bpe.prepare(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bpe.encoded(image, text_of()).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decoded(image, F.col("ids")).alias("text"))
+    rows = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decoded(image, F.col("ids")).alias("text"))
+    with small_batches(spark, 1000):
+        return written(rows, "token-ids")
 
 
 STAGES = [
