@@ -5,7 +5,7 @@ digits, repeated words); transitions tie neighbouring labels. Forward-backward g
 probability of being good, and a document's score is their mean, weighted by line length.
 
 Only documents are labelled, so in training each line carries its document's label. The model is fitted on at most
-``TRAIN_DOCS`` labelled documents (those of the smallest id hashes, at most ``TRAIN_LINES`` lines of each), which bounds
+``TRAIN_DOCS`` labelled documents, those of the smallest id hashes, whole ones only and at most ``TRAIN_LINES`` lines together, which bounds
 what the driver gets; scoring covers all lines of all documents. Messages are computed as products of
 2 x 2 matrices by parallel prefixes: the first line's matrix has equal rows, which starts a new chain.
 
@@ -30,7 +30,7 @@ from campuspulse.llm.common import ids_and_text, table, text_of
 from campuspulse.llm.textbytes import slices, span_hashes, spans
 
 TRAIN_DOCS = 3_000
-TRAIN_LINES = 400
+TRAIN_LINES = 200_000
 ROUNDS = 200
 L2 = 1e-4
 THRESHOLD = 0.3
@@ -191,22 +191,26 @@ def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for a, _, raw, offs in slices(batch["text"]):
             x, owner, _ = features(raw, offs)
-            heads = np.searchsorted(owner, owner)
-            keep = np.arange(len(owner)) - heads < TRAIN_LINES
-            x, owner = x[keep], owner[keep]
             labels = batch["quality"].take(pa.array(owner + a))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(owner + a)), pa.array(np.arange(len(x)), pa.int64()), labels, pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))],
                 names=["doc_id", "line", "quality", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    """Fit on the labelled documents that are not held out; ``limit`` bounds the sample."""
+def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> Model:
+    """Fit on the labelled documents that are not held out; ``limit`` and ``max_lines`` bound the sample of whole documents."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     wanted = wanted.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # At most ``limit`` rows of two numbers: small enough to broadcast at any size of input.
     sample = ids_and_text(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "quality")
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1).alias("n")).withColumn("h", F.xxhash64("doc_id"))
+    kept, total = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id)):  # at most ``limit`` rows
+        if total + r.n <= max_lines:
+            kept.append(r.doc_id)
+            total += r.n
+    sample = sample.where(F.col("doc_id").isin(kept)) if kept else sample.limit(0)
     found = sample.mapInArrow(_training_lines, "doc_id long, line long, quality int, x array<float>").toArrow()
     if not found.num_rows:
         return fit_chains(np.zeros((0, len(FEATURES))), np.zeros(0, bool), np.zeros(0))
