@@ -199,11 +199,11 @@ def _features(cell: Column) -> list[Column]:
     return out
 
 
-def chosen(forest: boosting.Forest) -> Column:
-    """Accepted candidates that no base span and no better candidate overlaps, from ``base`` and ``candidates``."""
+def chosen(forest: boosting.Forest, base: str = "base", candidates: str = "candidates") -> Column:
+    """Accepted candidates that no base span and no better candidate overlaps, from the columns ``base`` and ``candidates``."""
     if math.isinf(forest.cut):
         return F.array().cast(_SPAN)
-    scored = F.transform("candidates", lambda c: F.struct(
+    scored = F.transform(candidates, lambda c: F.struct(
         forest.margin_column(_features(c["cell"])).alias("margin"), (-c["start"]).alias("early"), (-c["kind"]).alias("first"),
         c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
     good = F.filter(scored, lambda c: c["margin"] >= forest.cut)
@@ -211,7 +211,7 @@ def chosen(forest: boosting.Forest) -> Column:
     none = F.array().cast(_SPAN)
 
     def take(acc, c):
-        taken = F.exists(acc, lambda t: _overlap(t, c)) | F.exists("base", lambda b: _overlap(b, c))
+        taken = F.exists(acc, lambda t: _overlap(t, c)) | F.exists(base, lambda b: _overlap(b, c))
         return F.when(taken, acc).otherwise(F.array_append(acc, F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
 
     return F.array_sort(F.aggregate(F.reverse(F.array_sort(good)), none, take))
@@ -232,8 +232,8 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, forest: boosting.Forest) -> DataFrame:
     """All columns, with every span of ``text`` replaced by ``<kind>``; overlapping spans are replaced once, under the first's kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("base", base_spans(text)).withColumn("candidates", _candidates(text))
-    spans = F.array_sort(F.transform(F.concat("base", chosen(forest)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rows = docs.withColumn("__pii_base", base_spans(text)).withColumn("__pii_candidates", _candidates(text))
+    spans = F.array_sort(F.transform(F.concat("__pii_base", chosen(forest, "__pii_base", "__pii_candidates")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(acc, s):

@@ -269,3 +269,12 @@ def test_pipeline_stages_keep_columns_and_survive_odd_rows(spark):
             out = stage(spark, frame, SF01)
             assert k == 4 or out.columns == frame.columns
             out.collect()
+
+
+def test_redaction_keeps_columns_named_like_its_own(spark):
+    d = docs(spark, [(1, "mail a.b@c.example now"), (2, None)]).selectExpr("*", "'x' as base", "7 as candidates", "8 as spans")
+    forest = pii.fit(pii.proposals(d.limit(0)))
+    out = pii.redact(d, forest)
+    assert out.columns == d.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "mail <email> now" and (got[1].base, got[1].candidates, got[1].spans) == ("x", 7, 8)
