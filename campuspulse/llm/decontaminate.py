@@ -3,16 +3,17 @@
 Items are short and documents long, so similarity of whole sets says nothing;
 what counts is how much of an item a document contains. Hashing every shingle once and keeping the
 smallest values gives a MinHash sketch of an item. Items are partitioned by the number of their
-shingles; each partition has its own sketch length, the least one that some shingle of the sketch must
-occur in any document that contains the threshold's share of the item (``n - ceil(t * n) + 1``), so the search loses nothing.
-Documents are probed partition by partition; each hit is verified by counting the item's distinct
-shingles, as word sequences, in the document.
+shingles; each partition has its own sketch length, set by its largest item: so many that some shingle of the sketch must
+occur in any document that contains the threshold's share of an item (``n - ceil(t * n) + 1``), so the search loses nothing.
+Documents are probed partition by partition, except by those whose items are too large for the document to contain; each hit is verified by
+counting the item's distinct shingles, as word sequences, in the document. Items with fewer words than a shingle have partitions of their own, one for
+each number of words: documents are probed with runs of that many words and contain such an item where its words stand one after another.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_SHINGLES`` shingles, and a block's sketches and
 items go to the executors, so what is sent is bounded at any size of benchmark or corpus. Documents are never shuffled.
 
-Edge cases: null text or item is empty and matches nothing. An item with fewer words than a shingle is one
-shingle, its whole sequence, and is found in documents that are that sequence. Items repeated under several ids match under each;
+Edge cases: null text or item is empty and matches nothing. An item with fewer words than a shingle counts as one
+shingle, its whole sequence. Items repeated under several ids match under each;
 items with a null id are matched and reported with a null id. Repeated rows are reported each. An empty
 table on either side gives no matches. Extra columns of documents are kept by ``drop_contaminated`` and ignored by ``matches``.
 """
@@ -56,49 +57,78 @@ def word_shingles(words: list[bytes], k: int = SHINGLE_WORDS) -> set[bytes]:
     return {b" ".join(words[i: i + k]) for i in range(len(words) - k + 1)}
 
 
+class Partition:
+    """Sketch values of items of similar size, with the least number of shingles of a document that can contain one."""
+
+    def __init__(self, sketches: list[np.ndarray], items: list[int], least: int):
+        keys, owner = np.concatenate(sketches), np.repeat(items, [len(s) for s in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items, self.least = keys[order], owner[order], least
+        self.gate = np.zeros(1 << 16, bool)
+        self.gate[keys >> np.uint64(48)] = True
+
+    def hits(self, hashes: np.ndarray, owners: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        pairs: set[tuple[int, int]] = set()
+        near = np.flatnonzero(self.gate[hashes >> np.uint64(48)] & (sizes[owners] >= self.least))
+        low, high = (np.searchsorted(self.keys, hashes[near], side) for side in ("left", "right"))
+        for at in np.flatnonzero(high > low):
+            pairs.update((int(owners[near[at]]), int(j)) for j in self.items[low[at]: high[at]])
+        return pairs
+
+
 class Block:
     """Sketches and shingles of a bounded number of items."""
 
     def __init__(self, items: list[tuple[int | None, str]], threshold: float):
         self.threshold = threshold
-        self.items = [(i, word_shingles(words_of((t or "").encode()))) for i, t in items]
+        words = [words_of((t or "").encode()) for _, t in items]
+        self.items = [(i, word_shingles(w)) for (i, _), w in zip(items, words)]
+        self.short = [b" " + b" ".join(w) + b" " if 0 < len(w) < SHINGLE_WORDS else None for w in words]
         texts = pa.array([t or "" for _, t in items], pa.large_string())
-        partitions: dict[int, list[tuple[np.ndarray, int]]] = {}
+        groups: dict[int, list[tuple[np.ndarray, int]]] = {}
+        runs: dict[int, list[tuple[np.ndarray, int]]] = {}
         at = 0
         for first, end, raw, offs in slices(texts):
             hashes, owners, _ = shingle_sets(raw, offs)
             for i in range(end - first):
                 own = hashes[owners == i]
-                if len(own):
-                    # shingle_sets sorts by hash, so the sketch is a prefix
-                    partitions.setdefault(len(own).bit_length(), []).append((own[: sketch_size(len(own), threshold)], at + i))
+                if len(own) and not self.short[at + i]:
+                    groups.setdefault(len(own).bit_length(), []).append((own, at + i))
+            for k in sorted({len(w) for w in words[at: at + end - first] if 0 < len(w) < SHINGLE_WORDS}):
+                hashes, owners, counts = shingle_sets(raw, offs, k)
+                for h, i in zip(hashes, owners):
+                    if counts[i] == k:
+                        runs.setdefault(k, []).append((np.array([h]), at + int(i)))
             at += end - first
         self.partitions = []
-        for size in sorted(partitions):
-            keys = np.concatenate([h for h, _ in partitions[size]])
-            owner = np.concatenate([np.full(len(h), i) for h, i in partitions[size]])
-            order = np.argsort(keys, kind="stable")
-            gate = np.zeros(1 << 16, bool)
-            gate[keys >> np.uint64(48)] = True
-            self.partitions.append((keys[order], owner[order], gate))
-
-    def candidates(self, hashes: np.ndarray, owners: np.ndarray) -> set[tuple[int, int]]:
+        for size in sorted(groups):
+            held = groups[size]
+            length = sketch_size(max(len(h) for h, _ in held), threshold)
+            least = math.ceil(threshold * min(len(h) for h, _ in held) - 1e-9)
+            # shingle_sets sorts by hash, so the sketch is the first part of a set
+            self.partitions.append(Partition([h[:length] for h, _ in held], [i for _, i in held], least))
+        self.runs = {k: Partition([h for h, _ in held], [i for _, i in held], 1) for k, held in runs.items()}
+
+    def candidates(self, raw: np.ndarray, offs: np.ndarray) -> set[tuple[int, int]]:
         """(text number, item number) pairs that share a sketch value."""
         pairs: set[tuple[int, int]] = set()
-        for keys, items, gate in self.partitions:
-            near = np.flatnonzero(gate[hashes >> np.uint64(48)])
-            low, high = (np.searchsorted(keys, hashes[near], side) for side in ("left", "right"))
-            for at in np.flatnonzero(high > low):
-                pairs.update((int(owners[near[at]]), int(j)) for j in items[low[at]: high[at]])
+        for words, partitions in [(SHINGLE_WORDS, self.partitions), *((k, [p]) for k, p in self.runs.items())]:
+            if partitions:
+                hashes, owners, _ = shingle_sets(raw, offs, words)
+                sizes = np.bincount(owners, minlength=len(offs) - 1)
+                for p in partitions:
+                    pairs |= p.hits(hashes, owners, sizes)
         return pairs
 
     def verified(self, raw: bytes, items: list[int]) -> list[dict]:
-        own = word_shingles(words_of(raw))
+        words = words_of(raw)
+        own = word_shingles(words)
+        joined = b" " + b" ".join(words) + b" "
         found = []
         for j in items:
             item_id, wanted = self.items[j]
-            n = len(wanted & own)
-            if n >= self.threshold * len(wanted) - 1e-9:
+            n = int(self.short[j] in joined) if self.short[j] else len(wanted & own)
+            if n and n >= self.threshold * len(wanted) - 1e-9:
                 found.append({"item_id": item_id, "n_item": len(wanted), "n_found": n})
         return found
 
@@ -124,9 +154,8 @@ def matches_in(spark, items: list[tuple[int | None, str]], threshold: float = TH
     def find(texts: pa.Array) -> pa.Array:
         block, out = shared.value, []
         for first, end, raw, offs in slices(texts):
-            hashes, owners, _ = shingle_sets(raw, offs)
             wanted: dict[int, list[int]] = {}
-            for i, j in sorted(block.candidates(hashes, owners)):
+            for i, j in sorted(block.candidates(raw, offs)):
                 wanted.setdefault(i, []).append(j)
             data = raw.tobytes() if wanted else b""
             out += [block.verified(data[offs[i]: offs[i + 1]], wanted[i]) if i in wanted else [] for i in range(end - first)]
@@ -176,8 +205,11 @@ _SETS = r"""
                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM {name}_words)"""
 ORACLES = {"op10_decontaminate": f"""
     WITH {_SETS.format(name='documents', id='doc_id')}, {_SETS.format(name='benchmark', id='item_id')},
-    sizes AS (SELECT id, count(*) AS n FROM benchmark_sets GROUP BY id)
-    SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_found
+    sizes AS (SELECT id, count(*) AS n FROM benchmark_sets GROUP BY id),
+    short AS (SELECT id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM benchmark_words WHERE len(w) BETWEEN 1 AND 4)
+    SELECT d.id AS doc_id, b.id AS item_id, 1 AS n_item, 1 AS n_found FROM documents_words d JOIN short b ON contains(' ' || array_to_string(d.w, ' ') || ' ', b.s)
+    UNION ALL SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_found
     FROM documents_sets d JOIN benchmark_sets b USING (s) JOIN sizes ON sizes.id = b.id
+    WHERE b.id NOT IN (SELECT id FROM short WHERE id IS NOT NULL)
     GROUP BY d.id, b.id HAVING 100 * count(*) >= 75 * any_value(n)"""}
 QUERIES = {"op10_decontaminate": op10_decontaminate}

@@ -181,8 +181,8 @@ def test_decontamination_equals_brute_force(spark):
     want = []
     for d, t in rows:
         for i, x in items:
-            s = shingles(x)
-            if s and len(s & shingles(t)) >= 0.75 * len(s):
+            s, few = shingles(x), len((x or "").split()) < 5
+            if s and (f" {x} " in f" {' '.join((t or '').lower().split())} " if few else len(s & shingles(t)) >= 0.75 * len(s)):
                 want.append((d, i))
     assert got == sorted(want, key=str) and len(want) > 10
     d = docs(spark, rows)
@@ -192,6 +192,21 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.drop_contaminated(d, bench.limit(0)).count() == len(rows)
 
 
+def test_items_of_one_to_four_words_inside_long_texts(spark):
+    items = [(1, "quick brown fox"), (2, "Zebra"), (3, "a b"), (4, "one two three four"), (5, "brown fox jumps over it"), (6, "fox quick")]
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, f"{long} the QUICK\nbrown  fox jumps {long}"), (2, "quick brown"), (3, "zebra"), (4, f"{long} zebras a bb a b"), (5, "one two three four"), (6, "fox jumps over"), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_item, r.n_found) for r in decontaminate.matches(docs(spark, rows), bench).collect())
+    assert got == [(1, 1, 1, 1), (3, 2, 1, 1), (4, 3, 1, 1), (5, 4, 1, 1)]
+    assert decontaminate.drop_contaminated(docs(spark, rows), bench).count() == 3
+
+
+def test_partitions_skip_documents_that_are_too_small():
+    block = decontaminate.Block([(1, " ".join(f"a{i}" for i in range(10))), (2, " ".join(f"b{i}" for i in range(100)))], 0.75)
+    assert [p.least for p in block.partitions] == [5, 72] and [len(p.keys) for p in block.partitions] == [2, 25]
+
+
 def test_a_sketch_meets_every_set_that_reaches_the_threshold():
     for n in range(1, 200):
         least = -(-75 * n // 100)
