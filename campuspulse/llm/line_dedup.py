@@ -126,17 +126,17 @@ def line_dedup(docs: DataFrame, joined: bool = True) -> DataFrame:
 
 
 def op7_line_dedup(spark, sf_dir):
-    """By the rule of its SQL twin, where a chunk may close after one line."""
-    return line_dedup(table(spark, sf_dir, "documents"), joined=False)
-
-
-def op7_line_dedup_joined(spark, sf_dir):
     """The operator's own rule: chunks close from their second line on."""
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op7_line_dedup_joined": op7_line_dedup_joined}
-ORACLES = {"op7_line_dedup": f"""
+def op7_line_dedup_single(spark, sf_dir):
+    """Where a chunk may close after one line."""
+    return line_dedup(table(spark, sf_dir, "documents"), joined=False)
+
+
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op7_line_dedup_single": op7_line_dedup_single}
+ORACLES = {"op7_line_dedup_single": f"""
     WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
     lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM d),
     hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),
@@ -147,7 +147,7 @@ ORACLES = {"op7_line_dedup": f"""
     judged AS (SELECT *, m >= {MIN_LINES} AND row_number() OVER (PARTITION BY m >= {MIN_LINES}, body ORDER BY doc_id, k) > 1 AS gone FROM chunks)
     SELECT doc_id, CAST(sum(m) AS BIGINT) AS n_lines, CAST(coalesce(sum(m) FILTER (gone), 0) AS BIGINT) AS n_removed,
            count(*) FILTER (gone) AS n_chunks, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
-    FROM judged GROUP BY doc_id""", "op7_line_dedup_joined": f"""
+    FROM judged GROUP BY doc_id""", "op7_line_dedup": f"""
     WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
     lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM d),
     hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),

@@ -191,18 +191,18 @@ def _listed(found):
 
 
 def op4_span_dedup(spark, sf_dir):
-    """By the rule of its SQL twin, with the runs that start at each sentence only."""
-    return _listed(span_dedup(table(spark, sf_dir, "documents"), ends=False))
+    """The operator's own rule: the runs that start at each sentence and those that end with it."""
+    return _listed(span_dedup(table(spark, sf_dir, "documents")))
 
 
-def op4_span_dedup_ends(spark, sf_dir):
-    """The operator's own rule, with the runs that end with each sentence too."""
-    return _listed(span_dedup(table(spark, sf_dir, "documents")))
+def op4_span_dedup_starts(spark, sf_dir):
+    """With the runs that start at each sentence only."""
+    return _listed(span_dedup(table(spark, sf_dir, "documents"), ends=False))
 
 
 _PIECE = r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*|\z)"
-QUERIES = {"op4_span_dedup": op4_span_dedup, "op4_span_dedup_ends": op4_span_dedup_ends}
-ORACLES = {"op4_span_dedup": rf"""
+QUERIES = {"op4_span_dedup": op4_span_dedup, "op4_span_dedup_starts": op4_span_dedup_starts}
+ORACLES = {"op4_span_dedup_starts": rf"""
     WITH d AS (SELECT doc_id, ltrim(coalesce(text, ''), E' \t\n\x0B\f\r') AS body, coalesce(text, '') AS whole FROM documents),
     p AS (SELECT doc_id, list_filter(regexp_extract_all(body, '{_PIECE}'), lambda x: x <> '') AS pieces,
                  substr(whole, 1, length(whole) - length(body)) AS head FROM d),
@@ -219,7 +219,7 @@ ORACLES = {"op4_span_dedup": rf"""
     firsts AS (SELECT doc_id, min(first) AS first_doc FROM f WHERE nth > 1 GROUP BY doc_id)
     SELECT w.doc_id, count(*) AS n_sentences, count(gone.i) AS n_removed, any_value(first_doc) AS first_doc,
            any_value(head) || coalesce(string_agg(piece, '' ORDER BY w.i) FILTER (gone.i IS NULL), '') AS text
-    FROM w JOIN firsts USING (doc_id) JOIN p USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id""", "op4_span_dedup_ends": rf"""
+    FROM w JOIN firsts USING (doc_id) JOIN p USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id""", "op4_span_dedup": rf"""
     WITH d AS (SELECT doc_id, ltrim(coalesce(text, ''), E' \t\n\x0B\f\r') AS body, coalesce(text, '') AS whole FROM documents),
     p AS (SELECT doc_id, list_filter(regexp_extract_all(body, '{_PIECE}'), lambda x: x <> '') AS pieces,
                  substr(whole, 1, length(whole) - length(body)) AS head FROM d),
