@@ -348,7 +348,7 @@ def activity_level(df: DataFrame, by: str = "course_id", value: str = "page_view
     seen = df.where(F.col(value) > 0)
     # 64 slices per doubling of the count keep the order and stay few at any size.
     placed = positions(
-        seen, [by], [value, "user_id"], [F.floor(64 * F.log2(F.col(value))), F.floor(F.col("user_id") / 65536)]
+        seen, [by], [value, "user_id"], [F.floor(64 * F.log2(F.col(value))), None]
     )
     sizes = seen.groupBy(by).agg(F.count("*").alias("_n"))
     base, extra = F.floor(F.col("_n") / 3), F.col("_n") % 3
