@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from campuspulse.functions.exprs import safe_ratio
 from campuspulse.functions.features import GROUPS
+from campuspulse.operators.forests import forest_out_of_fold
 from campuspulse.operators.frames import zscore_within
 from campuspulse.operators.ranks import attach_row, percentiles, sliced_row_number
 from campuspulse.operators.stats import auc
@@ -160,6 +161,8 @@ def fit_together(spark: SparkSession, jobs: list[Callable[[], object]], width: i
 
 def out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame:
     """Each row predicted by the model fitted on the other folds; all folds are fitted side by side."""
+    if isinstance(estimator, RandomForestRegressor):
+        return forest_out_of_fold(df, estimator, fit_together, k)
     ready = fitted_input(df)
     try:
         models = fit_together(df.sparkSession, [lambda i=i: estimator.fit(ready.where(F.col("fold") != i)) for i in range(k)])
