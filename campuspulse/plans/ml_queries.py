@@ -176,7 +176,9 @@ add_cte("lrcmp", " UNION ALL ".join(
 
 
 def compared_sets(spark, d):
-    return ml.compare_models({tag: logistic_predictions(spark, d, features) for tag, (_, features) in _SETS.items()})
+    # Imputation, scaling and folds do not depend on the other features, so one frame holds all three sets.
+    frame = model_frame(spark, d)
+    return ml.compare_models({tag: lm.logistic_out_of_fold(frame, features) for tag, (_, features) in _SETS.items()})
 
 
 @query("feature_set_comparison", "lrcmp", f"SELECT model, {rnd('recall')}, {rnd('f1')}, {rnd('auc')} FROM lrcmp")

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from campuspulse.operators import linear_models as lm
 from campuspulse.operators import ml
@@ -136,3 +137,16 @@ def test_medians_of_the_course(spark):
 def test_best_model_prefers_the_first_of_a_tie(spark):
     table = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", None)], "model string, auc double")
     assert ml.best_model(table, "auc").first().model == "a"
+
+
+def test_feature_sets_share_one_frame(spark, monkeypatch):
+    from campuspulse.plans import catalog, ml_queries
+
+    rows = [(1, i, i % 2, i % 5, *[float((i * (j + 3)) % 7) for j in range(len(ml_queries.EVERYTHING))]) for i in range(60)]
+    names = ", ".join(f"{f} double" for f in ml_queries.EVERYTHING)
+    frame = spark.createDataFrame(rows, f"course_id long, user_id long, failed int, fold int, {names}").withColumn("weight", F.lit(1.0))
+    built = []
+    monkeypatch.setattr(ml_queries, "model_frame", lambda *a, **b: built.append(a) or frame)
+    for name in ("feature_set_comparison", "best_model"):
+        built.clear()
+        assert catalog.queries()[name](spark, "").count() == 3 and len(built) == 1
