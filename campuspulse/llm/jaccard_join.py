@@ -9,7 +9,7 @@
    the others, the pairs of different components that pass the same filters are verified as well.
 
 A list of near copies so costs one pair per member, and no link is lost. The order changes cost only: it holds a bounded
-number of frequent shingles (``FREQUENT``), counted over a share of the documents. Lists of shingles that are not frequent are short; the frequent ones
+number of frequent shingles (``FREQUENT``), counted over all documents. Lists of shingles that are not frequent are short; the frequent ones
 are reduced before their shuffle and joined, so that a hot one can be split.
 
 Edge cases: null text and texts without words have no shingles and link with nothing, not even each other. Texts with fewer words
@@ -33,7 +33,6 @@ from campuspulse.llm.textbytes import mix, shingle_sets, slices
 
 PERCENT = 75
 FREQUENT = 200_000
-SAMPLE = 8
 BEFORE = 8
 SENT_IDS = 500_000
 
@@ -59,12 +58,9 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
     """The most frequent shingles, rarest first; at most ``limit``, which bounds what is collected and broadcast.
 
-    Counts are exact over one of ``SAMPLE`` documents by id hash, whatever task holds them: a shingle of ten times ``SAMPLE`` documents is missed once
-    in two thousand cases, so lists of shingles not known to be frequent stay short at any size of the corpus. The counts order prefixes and
-    decide no result.
+    Counts are exact over all documents. They order prefixes and decide no result.
     """
-    some = ids_and_text(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    counts = some.select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    counts = ids_and_text(docs).select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     top = most_frequent(counts, limit, "shingle-counts").toArrow()
     order = np.lexsort((top["shingle"].to_numpy(), top["n"].to_numpy()))
     return top["shingle"].to_numpy()[order].view(np.uint64)

@@ -250,3 +250,9 @@ def test_a_pair_is_made_in_its_first_common_list(spark):
     assert pairs == [(1, 2), (1, 3), (2, 3), (2, 4)]
     plan = jaccard_join.open_pairs(lists, roots)._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_overlap" in plan
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    texts = [f"one{i // 2} two three four five{i // 2}" for i in range(60)] + [f"alone{i} two three four five" for i in range(10)]
+    frequent = jaccard_join.frequent_shingles(docs(spark, list(enumerate(texts))))
+    assert len(frequent) == len(set(frequent)) == 30
