@@ -116,10 +116,14 @@ def _distinct_hours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from rows.group_by(["user_id", "hour"]).aggregate([("ts", "max")]).rename_columns(["user_id", "hour", "ts"]).to_batches()
 
 
+HOURS_PER_BLOCK = 1024
+
+
 class ActivityState(StatefulProcessor):
     """Distinct active hours and last event of a student, and a timer for silence.
 
-    State is one entry per active hour, one row of totals and one timer. A row goes out whenever new events change the totals and
+    State is one bitmap per ``HOURS_PER_BLOCK`` hours that hold activity, one row of totals and one timer: every access is a call to the
+    state server, so a batch makes two or three per student and block, not two per hour. A row goes out whenever new events change the totals and
     when the timer fires.
     """
 
@@ -128,7 +132,7 @@ class ActivityState(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.hours = handle.getMapState("hours", "hour long", "seen boolean")
+        self.hours = handle.getMapState("blocks", "block long", "seen binary")
         self.total = handle.getValueState("total", "active long, last long")
 
     def _row(self, key, active: int, last: int, inactive: int) -> pd.DataFrame:
@@ -136,15 +140,21 @@ class ActivityState(StatefulProcessor):
             "user_id": [key[0]], "active_hours": [active], "last_us": [last], "alert_few_hours": [int(active < self.min_hours)], "alert_inactive": [inactive]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        active, last = self.total.get() if self.total.exists() else (0, -(1 << 62))
+        known = self.total.exists()
+        active, last = self.total.get() if known else (0, -(1 << 62))
+        blocks: dict[int, int] = {}
         for part in rows:
-            for hour, at in zip(part["hour"].tolist(), part["us"].tolist()):
-                if not self.hours.containsKey((hour,)):
-                    self.hours.updateValue((hour,), (True,))
-                    active += 1
-                last = max(last, at)
+            for hour in part["hour"].unique().tolist():
+                block, bit = divmod(hour, HOURS_PER_BLOCK)
+                blocks[block] = blocks.get(block, 0) | 1 << bit
+            last = max(last, int(part["us"].max()))
+        for block, seen in blocks.items():
+            before = int.from_bytes(self.hours.getValue((block,))[0], "little") if known and self.hours.containsKey((block,)) else 0
+            if seen & ~before:
+                active += (seen & ~before).bit_count()
+                self.hours.updateValue((block,), ((seen | before).to_bytes(HOURS_PER_BLOCK // 8, "little"),))
         self.total.update((active, last))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if known else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last // 1000 + self.idle)
         yield self._row(key, active, last, 0)

@@ -1,5 +1,6 @@
 """Streams against their batch twins on the same files."""
 
+import pandas as pd
 from helpers import when
 
 from campuspulse.operators import activity, sessions
@@ -81,3 +82,68 @@ def test_trending_counts_slide(spark, tmp_path):
     arrive(spark, src, "a", [(1, 1, "2024-01-01 10:10"), (2, 1, "2024-01-01 11:10"), (3, 1, "2024-01-03 11:10")])
     got = jobs.collect_available(jobs.trending(stream(spark, src), "2 hours", "1 hour"), "t").orderBy("window_start").collect()
     assert [(r.window_start, r.views) for r in got] == [(when("2024-01-01 09:00"), 1), (when("2024-01-01 10:00"), 2), (when("2024-01-01 11:00"), 1)]
+
+
+class Calls:
+    """A state variable or handle in memory that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.value, self.timers, self.calls = {}, None, [], 0
+
+    def getMapState(self, *a):
+        return self
+
+    def getValueState(self, *a):
+        return Single(self)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.kept
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Single:
+    def __init__(self, calls):
+        self.all = calls
+
+    def exists(self):
+        self.all.calls += 1
+        return self.all.value is not None
+
+    def get(self):
+        self.all.calls += 1
+        return self.all.value
+
+    def update(self, value):
+        self.all.calls += 1
+        self.all.value = value
+
+
+def test_state_calls_do_not_grow_with_the_hours_of_a_batch():
+    state, handle = jobs.ActivityState(10, 24.0), Calls()
+    state.init(handle)
+    batch = lambda hours: iter([pd.DataFrame({"hour": hours, "us": [h * 3_600_000_000 for h in hours]})])
+    out = list(state.handleInputRows((7,), batch([*range(1000, 1200), 1000, -5]), None))
+    assert out[0].active_hours[0] == 201 and out[0].last_us[0] == 1199 * 3_600_000_000 and handle.calls < 10
+    out = list(state.handleInputRows((7,), batch([-5, -6, 1100, 5000, 1024]), None))
+    assert out[0].active_hours[0] == 203 and out[0].last_us[0] == 5000 * 3_600_000_000 and len(handle.timers) == 1
+    assert out[0].alert_few_hours[0] == 0 and handle.calls < 30
