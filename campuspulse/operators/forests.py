@@ -5,6 +5,9 @@ a node holds a few rows, it is thousands of times larger than they are, and ther
 grown by Spark's trainer, until a node is expected to hold ``NODE_ROWS`` rows. From there the rows of each open node of each tree meet in one
 group, which grows the rest of that tree below the node and sends the held-out rows down.
 
+Rows of equal features stay together in every tree. So a task adds up those it holds before it sends them, and a node that many of them share,
+such as the students without any activity, needs no further levels of Spark's trainer.
+
 Each tree draws Poisson weights for its rows, anew below the levels of Spark's trainer, which does not tell the weights it drew. Cut points
 below those levels are up to 255 quantiles of each feature.
 """
@@ -13,15 +16,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from campuspulse.operators.trees import drawn, poisson_table
 from campuspulse.session import materialise
 
 NODE_ROWS = 4_000
@@ -44,7 +47,10 @@ def _coder(cuts: list[np.ndarray]):
             x = batch["x"].flatten().to_numpy().reshape(len(batch), -1)
             codes = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
             body = pa.array([row.tobytes() for row in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["_row"], body], names=["_row", "code"])
+            # Rows of equal features carry the number of the first of them in the batch.
+            _, first, kind = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            alike = batch["_row"].take(pa.array(first[kind.ravel()]))
+            yield pa.RecordBatch.from_arrays([batch["_row"], body, alike], names=["_row", "code", "alike"])
 
     return emit
 
@@ -52,36 +58,81 @@ def _coder(cuts: list[np.ndarray]):
 # --- the part of a tree below a node ---------------------------------------------------------
 
 
-def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, depth: int, subset: int, rng: np.random.Generator) -> np.ndarray:
+def _chosen(nodes: int, width: int, subset: int, rng: np.random.Generator, wanted: np.ndarray) -> np.ndarray:
+    """(subset, wanted nodes): the features each node tries. Every node draws, so that a node's features do not depend on which others are open."""
+    drawn = rng.random((nodes, width))[wanted]
+    if subset >= width:
+        return np.argsort(drawn, axis=1).T
+    some = np.argpartition(drawn, subset - 1, axis=1)[:, :subset]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(drawn, some, axis=1), axis=1), axis=1).T
+
+
+def _by_node_and_code(node: np.ndarray, code: np.ndarray, nodes: int) -> np.ndarray:
+    """The order of the rows by node and then code, for each line of ``code``; short keys are sorted by digits and not by comparison."""
+    if nodes <= 256:
+        return np.argsort((node << 8).astype(np.uint16) | code, axis=1, kind="stable")
+    first = np.argsort(code, axis=1, kind="stable")
+    again = np.argsort((node.astype(np.uint16) if nodes <= 65536 else node)[first], axis=1, kind="stable")
+    return np.take_along_axis(first, again, axis=1)
+
+
+def _best_splits(x: np.ndarray, wy: np.ndarray, w: np.ndarray, node: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, feature, cut) of the best split of each node; a node without two codes gains minus infinity.
+
+    Each line below stands for one tried feature. A node's rows fill the same places of every line, whatever the feature.
+    """
+    at, nodes = np.arange(len(x)), tried.shape[1]
+    code = x[at, tried[:, node]]
+    order = _by_node_and_code(node, code, nodes)
+    code = np.take_along_axis(code, order, axis=1)
+    size = np.bincount(node, minlength=nodes)
+    end = np.cumsum(size)
+    place = np.repeat(np.arange(nodes), size)
+    start = end - size
+
+    def left(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        upto = np.cumsum(v[order], axis=1)
+        before = np.concatenate([np.zeros((len(upto), 1)), upto[:, end[:-1] - 1]], axis=1)
+        return upto - before[:, place], np.bincount(node, v, nodes)
+
+    (w_left, weight), (y_left, total) = left(w), left(wy)
+    inside = np.zeros(code.shape, bool)
+    inside[:, :-1] = code[:, 1:] != code[:, :-1]
+    inside[:, end - 1] = False
+    w_right = np.where(inside, weight[place] - w_left, 1.0)
+    gain = y_left**2 / w_left + (total[place] - y_left) ** 2 / w_right
+    gain = np.where(inside, gain - (total**2 / weight)[place], -np.inf)
+    best = np.maximum.reduceat(gain, start, axis=1)
+    line = best.argmax(axis=0)
+    top = best[line, np.arange(nodes)]
+    hit = np.flatnonzero(gain[line[place], at] == top[place])
+    hit = hit[np.append(True, place[hit][1:] != place[hit][:-1])]
+    return top, tried[line, np.arange(nodes)], code[line, hit].astype(np.int64)
+
+
+def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, depth: int, subset: int, rng: np.random.Generator,
+          inner: np.ndarray | None = None) -> np.ndarray:
     """The values of the rows ``held`` by a tree grown on rows ``x`` of weight ``w``, all nodes of a level at once.
 
-    A node tries ``subset`` features and splits where the squared error falls most; it ends when none lowers it.
+    A node tries ``subset`` features and splits where the squared error falls most; it ends when none lowers it. A row may stand for several
+    of equal features, with their mean ``y`` and ``inner``, their squared error about it.
     """
     out, centre = np.zeros(len(held)), np.average(y, weights=w)
+    inner = np.zeros(len(x)) if inner is None else inner
     y, node, below, where, nodes = y - centre, np.zeros(len(x), np.int64), np.zeros(len(held), np.int64), np.arange(len(held)), 1
     for level in range(depth + 1):
         weight, total = np.bincount(node, w, nodes), np.bincount(node, w * y, nodes)
-        rest = np.bincount(node, w * y * y, nodes) - total**2 / weight
+        rest = np.bincount(node, w * y * y + inner, nodes) - total**2 / weight
         split, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
-        if level < depth:
-            tried = np.argsort(rng.random((nodes, x.shape[1])), axis=1)[:, :subset]
-            key = (node[:, None] * subset + np.arange(subset)) * 256 + np.take_along_axis(x, tried[node], axis=1)
-            order = np.argsort(key, axis=None, kind="stable")
-            key, row = key.ravel()[order], order // subset
-            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-            key, part = key[last], key[last] >> 8
-            w_upto, y_upto = np.cumsum(w[row])[last], np.cumsum((w * y)[row])[last]
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(part))))
-            # Sums left of a cut: running sums less those before the run of this node and feature.
-            w_left, y_left = w_upto - np.append(0, w_upto)[first][run], y_upto - np.append(0, y_upto)[first][run]
-            owner, inside = part // subset, np.append(part[1:] == part[:-1], False)
-            owner, w_left, y_left, part, key = owner[inside], w_left[inside], y_left[inside], part[inside], key[inside]
-            gain = y_left**2 / w_left + (total[owner] - y_left) ** 2 / (weight[owner] - w_left) - total[owner] ** 2 / weight[owner]
-            best = np.lexsort((-gain, owner))
-            best = best[np.append(True, owner[best][1:] != owner[best][:-1])] if len(best) else best
-            best = best[(gain[best] > 1e-9 * rest[owner[best]]) & (rest[owner[best]] > 1e-9)]
-            split[owner[best]], cut[owner[best]] = tried[owner[best], part[best] % subset], key[best] & 255
+        wanted = np.flatnonzero(rest > 1e-9)
+        if level < depth and len(wanted):
+            number = np.full(nodes, -1)
+            number[wanted] = np.arange(len(wanted))
+            live = number[node] >= 0
+            x, y, w, inner, node = x[live], y[live], w[live], inner[live], node[live]
+            gain, feature, code = _best_splits(x, w * y, w, number[node], _chosen(nodes, x.shape[1], subset, rng, wanted))
+            better = gain > 1e-9 * rest[wanted]
+            split[wanted[better]], cut[wanted[better]] = feature[better], code[better]
         done = split[below] < 0
         out[where[done]] = (total / weight)[below[done]] + centre
         where, below = where[~done], below[~done]
@@ -89,26 +140,103 @@ def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, held: np.ndarray, depth:
             break
         child = 2 * (np.cumsum(split >= 0) - 1)
         live = split[node] >= 0
-        x, y, w, node = x[live], y[live], w[live], node[live]
+        x, y, w, inner, node = x[live], y[live], w[live], inner[live], node[live]
         node = child[node] + (x[np.arange(len(x)), split[node]] > cut[node])
         below = child[below] + (held[where, split[below]] > cut[below])
         nodes = int(2 * (split >= 0).sum())
     return out
 
 
-def _finish(depth: int, subset: int, seed: int):
+# --- the rows of open nodes -------------------------------------------------------------------
+
+
+_PART = "model int, tree int, leaf int, value double, first long, n long, code binary, w binary, wy binary, wyy binary, held_code binary, held binary"
+
+
+def _cut_up(leaf: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each leaf."""
+    order = np.argsort(leaf, kind="stable")
+    names, start = np.unique(leaf[order], return_index=True)
+    return dict(zip(names.tolist(), np.split(order, start[1:])))
+
+
+def _placed(batch: pa.RecordBatch, shared, k: int):
+    """(model, tree, open, value, leaf of each kind of equal rows, its first row, rows of training, held kinds) for every tree of a batch."""
+    ends, trees = shared.value
+    fold = batch["fold"].to_numpy()
+    _, first, kind = np.unique(batch["alike"].to_numpy(), return_index=True, return_inverse=True)
+    for m in range(k):
+        leaf = batch[f"_leaf{m}"].flatten().to_numpy().reshape(len(batch), -1)[first]
+        train, held = np.flatnonzero(fold != m), np.unique(kind[fold == m])
+        for t in range(trees):
+            yield m, t, *ends[m, t], leaf[:, t], first, kind, train, held
+
+
+def _parts(shared, k: int, seed: int):
+    """Per open node and batch: codes, draws and sums of its training rows, kinds of equal rows as one, and codes and numbers of its held-out kinds."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, (_, trees) = poisson_table(), shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, alike, y = (batch[c].to_numpy() for c in ("_row", "alike", "y"))
+            code = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(len(batch), -1)
+            out = []
+            for m, t, is_open, value, leaf, first, kind, train, held in _placed(batch, shared, k):
+                often = drawn(row[train], seed, m * trees + t, table).astype(float)
+                at, target = kind[train], y[train]
+                w, wy, wyy = (np.bincount(at, v, len(first)) for v in (often, often * target, often * target * target))
+                use = np.flatnonzero((w > 0) & is_open[leaf])
+                held = held[is_open[leaf[held]]]
+                learnt, asked = _cut_up(leaf[use]), _cut_up(leaf[held])
+                for name in sorted(learnt.keys() | asked.keys()):
+                    mine = use[learnt.get(name, [])] if name in learnt else use[:0]
+                    theirs = held[asked[name]] if name in asked else held[:0]
+                    out.append((m, t, name, float(value[name]), int(row.min()), len(mine) + len(theirs), code[first[mine]].tobytes(), w[mine].tobytes(),
+                                wy[mine].tobytes(), wyy[mine].tobytes(), code[first[theirs]].tobytes(), alike[first[theirs]].tobytes()))
+                if t == trees - 1 and out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind_) for c, kind_ in zip(zip(*out), _KINDS)], names=_NAMES)
+                    out = []
+
+    return emit
+
+
+_NAMES = [field.split()[0] for field in _PART.split(", ")]
+_KINDS = [{"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[field.split()[1]] for field in _PART.split(", ")]
+
+
+def _ended(shared, k: int):
+    """(fold, alike, total, n) of held-out kinds over the trees whose leaf Spark's trainer ended."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, trees = shared.value
+        for batch in batches:
+            alike, total, n = batch["alike"].to_numpy(), 0.0, 0
+            for m, t, is_open, value, leaf, first, _, _, held in _placed(batch, shared, k):
+                done = ~is_open[leaf[held]]
+                total, n = total + np.where(done, value[leaf[held]], 0.0), n + done.astype(np.int64)
+                if t == trees - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(held), m, np.int32)), pa.array(alike[first[held]]), pa.array(total), pa.array(n)], names=["fold", "alike", "total", "n"])
+                    total, n = 0.0, 0
+
+    return emit
+
+
+def _finish(depth: int, subset: int, seed: int, width: int):
     def values(part: pa.Table) -> pa.Table:
-        part = part.sort_by("_row")
-        codes = part["code"].combine_chunks()
-        x = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(part), -1)
-        w, held = part["w"].to_numpy(), part["held"].to_numpy()
-        if (w > 0).any():
-            names = [part[c][0].as_py() for c in ("model", "tree", "leaf")]
-            use = ~held
-            value = grown(x[use], part["y"].to_numpy()[use], w[use], x[held], depth, subset, np.random.default_rng([seed, *names]))
-        else:
-            value = part["value"].to_numpy()[held]
-        return pa.table({"_row": part["_row"].to_numpy()[held], "value": value})
+        part = part.sort_by("first")
+        code, w, wy, wyy, held, alike = (
+            np.frombuffer(b"".join(part[c].to_pylist()), kind)
+            for c, kind in (("code", np.uint8), ("w", float), ("wy", float), ("wyy", float), ("held_code", np.uint8), ("held", np.int64)))
+        model, tree, leaf = (part[c][0].as_py() for c in ("model", "tree", "leaf"))
+        value = np.full(len(alike), part["value"][0].as_py())
+        if len(w) and len(alike):
+            # Kinds of one code can no longer be told apart.
+            _, first, at = np.unique(code.reshape(-1, width).view(f"V{width}").ravel(), return_index=True, return_inverse=True)
+            w, wy, wyy = (np.bincount(at.ravel(), v) for v in (w, wy, wyy))
+            value = grown(code.reshape(-1, width)[first], wy / w, w, held.reshape(-1, width), depth, subset,
+                          np.random.default_rng([seed, model, tree, leaf]), np.maximum(wyy - wy**2 / w, 0.0))
+        return pa.table({"fold": pa.array(np.full(len(alike), model, np.int32)), "alike": alike, "total": value, "n": np.ones(len(alike), np.int64)})
 
     return values
 
@@ -116,27 +244,22 @@ def _finish(depth: int, subset: int, seed: int):
 # --- the forest -------------------------------------------------------------------------------
 
 
-def poisson(uniform: Column, most: int = 12) -> Column:
-    """Poisson(1) from a uniform number."""
-    upto = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(most)])
-    return reduce(lambda a, b: a + b, [(uniform >= float(u)).cast("double") for u in upto])
-
-
-def leaves(model: RandomForestRegressionModel, depth: int) -> list[tuple[int, int, float, bool]]:
-    """(tree, leaf, value, open) of all leaves; those at full depth are open: the trainer stopped there and not for want of a gain."""
-    rows = []
-    for t, tree in enumerate(model.trees):
+def leaves(model: RandomForestRegressionModel, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(open, value) of the leaves of each tree; those at full depth are open: the trainer stopped there and not for want of a gain."""
+    found = []
+    for tree in model.trees:
         lines = [s for s in tree.toDebugString.splitlines() if s.lstrip().startswith("Predict:")]
-        rows += [(t, i, float(s.split(":")[1]), len(s) - len(s.lstrip()) - 2 >= depth) for i, s in enumerate(lines)]
-    return rows
+        found.append((np.array([len(s) - len(s.lstrip()) - 2 >= depth for s in lines]), np.array([float(s.split(":")[1]) for s in lines])))
+    return found
 
 
 def forest_out_of_fold(df: DataFrame, estimator: RandomForestRegressor, fit_together, k: int = 5) -> DataFrame:
     """Each row with the ``prediction`` of the forest of the other folds; all folds and trees grow side by side.
 
-    Groups hold about ``NODE_ROWS`` rows; where nodes are uneven, Spark's trainer adds levels until none holds over eight times that.
+    Groups hold about ``NODE_ROWS`` rows; where nodes are uneven, Spark's trainer adds levels until none holds over eight times that, rows of equal
+    features in one batch counted once.
     """
-    spark, target, deepest = df.sparkSession, estimator.getLabelCol(), estimator.getMaxDepth()
+    spark, target, deepest, seed = df.sparkSession, estimator.getLabelCol(), estimator.getMaxDepth(), estimator.getSeed()
     ready = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
     rows = ready.where("fold is not null").select("_row", "fold", F.col(target).cast("double").alias("y"), "features", vector_to_array("features").alias("x"))
     first = rows.first()
@@ -144,30 +267,30 @@ def forest_out_of_fold(df: DataFrame, estimator: RandomForestRegressor, fit_toge
         return ready.withColumn("prediction", F.lit(None).cast("double")).drop("features", "_row").limit(0)
     width, n = len(first.x), rows.count()
     subset = max(1, math.ceil(width / 3))
-    codes = rows.select("_row", "x").mapInArrow(_coder(cut_points(rows, width)), "_row long, code binary")
-    # A task's share is small, as each row becomes a row per tree and fold.
-    coded = materialise(rows.drop("x").join(codes, "_row").repartition(max(n // 5_000 + 1, spark.sparkContext.defaultParallelism)))
+    codes = rows.select("_row", "x").mapInArrow(_coder(cut_points(rows, width)), "_row long, code binary, alike long")
+    # Rows of equal features are sent to one task, a small share of all.
+    tasks = max(n // 5_000 + 1, spark.sparkContext.defaultParallelism)
+    coded = materialise(rows.drop("x").join(codes, "_row").repartition(tasks, "alike"))
     fitted = coded.coalesce(max(1, min(n // 50_000 + 1, spark.sparkContext.defaultParallelism * 4)))
     depth = min(deepest, max(0, math.ceil(math.log2(max(n, 1) / NODE_ROWS))))
     while True:
         top = estimator.copy().setMaxDepth(depth).setLabelCol("y").setLeafCol("_leaf")
         models = fit_together(spark, [lambda i=i: top.fit(fitted.where(F.col("fold") != i)) for i in range(k)])
-        found = [(i, *leaf) for i, m in enumerate(models) for leaf in leaves(m, depth)]
-        ends = spark.createDataFrame(found, "model int, tree int, leaf int, value double, open boolean")
-        places = reduce(DataFrame.unionByName, [
-            m.transform(coded).select(
-                F.lit(i).alias("model"), "_row", (F.col("fold") == i).alias("held"), "y", "code",
-                F.posexplode(vector_to_array("_leaf").cast("array<int>")).alias("tree", "leaf")) for i, m in enumerate(models)])
-        placed = places.join(F.broadcast(ends), ["model", "tree", "leaf"])
+        ends = {(i, t): leaf for i, m in enumerate(models) for t, leaf in enumerate(leaves(m, depth))}
+        shared = spark.sparkContext.broadcast((ends, estimator.getNumTrees()))
+        places = coded
+        for i, m in enumerate(models):
+            places = m.transform(places).withColumn(f"_leaf{i}", vector_to_array("_leaf").cast("array<int>")).drop("_leaf", "prediction")
+        places = places.drop("features")
+        parts = places.mapInArrow(_parts(shared, k, seed), _PART)
         if depth == 0 or depth == deepest:
             break
-        most = placed.where("open").groupBy("model", "tree", "leaf").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        most = parts.groupBy("model", "tree", "leaf").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
         if (most or 0) <= 8 * NODE_ROWS:
             break
         depth = min(deepest, depth + 2)
-    uniform = F.pmod(F.xxhash64(F.lit(estimator.getSeed()), "model", "tree", "_row"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = placed.where("open").withColumn("w", F.when(F.col("held"), 0.0).otherwise(poisson(uniform))).where("held or w > 0")
-    low = drawn.groupBy("model", "tree", "leaf").applyInArrow(_finish(deepest - depth, subset, estimator.getSeed()), "_row long, value double")
-    high = placed.where("held and not open").select("_row", "value")
-    means = low.unionByName(high).groupBy("_row").agg(F.avg("value").alias("prediction"))
-    return ready.join(means, "_row").drop("features", "_row")
+    low = parts.groupBy("model", "tree", "leaf").applyInArrow(_finish(deepest - depth, subset, seed, width), "fold int, alike long, total double, n long")
+    high = places.mapInArrow(_ended(shared, k), "fold int, alike long, total double, n long")
+    means = low.unionByName(high).groupBy("fold", "alike").agg((F.sum("total") / F.sum("n")).alias("prediction"))
+    found = coded.join(means, ["fold", "alike"]).select("_row", "prediction")
+    return ready.join(found, "_row").drop("features", "_row")

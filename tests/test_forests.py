@@ -41,3 +41,30 @@ def test_deep_forests_leave_small_nodes_to_groups(spark, monkeypatch):
         assert pred.where(F.col("prediction").isNull()).isEmpty()
     # Spark's trainer grows the levels near the root only.
     assert set(fitted) == {0, 3} and len(fitted) == 10
+
+
+def test_rows_that_stand_for_several_grow_the_same_tree():
+    rng = np.random.default_rng(8)
+    kinds = rng.integers(0, 256, (40, 4)).astype(np.uint8)
+    kind = rng.integers(0, 40, 400)
+    y, w = rng.normal(size=400), rng.integers(1, 4, 400).astype(float)
+    every = forests.grown(kinds[kind], y, w, kinds, 3, 4, np.random.default_rng(2))
+    total, sums = np.bincount(kind, w), np.bincount(kind, w * y)
+    inner = np.bincount(kind, w * y * y) - sums**2 / total
+    assert np.allclose(every, forests.grown(kinds, sums / total, total, kinds, 3, 4, np.random.default_rng(2), inner))
+
+
+def test_many_equal_rows_need_no_further_levels_of_the_trainer(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 2_000
+    x = rng.normal(size=(n, 3)) * (np.arange(n) % 10 == 0)[:, None]
+    rows = pd.DataFrame({"user_id": np.arange(n), "fold": rng.integers(0, 5, n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "final_score": 5 * x[:, 0] + rng.normal(size=n)})
+    df = ml.assemble(spark.createDataFrame(rows), ["a", "b", "c"])
+    fitted, fit = [], ml.RandomForestRegressor.fit
+    monkeypatch.setattr(ml.RandomForestRegressor, "fit", lambda self, data, *a: fitted.append(self.getMaxDepth()) or fit(self, data, *a))
+    monkeypatch.setattr(forests, "NODE_ROWS", 100)
+    pred = ml.out_of_fold(df, ml.forest_regressor(trees=10)).select("a", "fold", "final_score", "prediction").toPandas()
+    assert len(pred) == n and pred.prediction.notna().all()
+    assert len(fitted) == 5
+    assert (pred[pred.a == 0].groupby("fold").prediction.nunique() == 1).all()
+    assert np.corrcoef(pred[pred.a != 0].prediction, pred[pred.a != 0].final_score)[0, 1] > 0.8
