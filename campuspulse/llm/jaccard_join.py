@@ -35,6 +35,7 @@ PERCENT = 75
 FREQUENT = 200_000
 BEFORE = 8
 SENT_IDS = 500_000
+COUNTED_AT_ONCE = 1 << 21
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -48,11 +49,63 @@ def is_linked(common: Column, a: Column, b: Column) -> Column:
 # --- frequent shingles -----------------------------------------------------------------
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, raw, offs in slices(batch["text"]):
-            hashes, _, _ = shingle_sets(raw, offs)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["shingle"])
+def _counted(buckets: int):
+    """Per bucket of hashes the distinct shingles of a run of texts: those seen once, and the others with their counts.
+
+    A run is what a task counts at a time, so that a hot shingle leaves it once.
+    """
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        n = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1))
+        parts = [(i, k[c == 1].tobytes(), k[c > 1].tobytes(), c[c > 1].astype(np.int64).tobytes())
+                 for i, (k, c) in enumerate(zip(np.split(keys, edges), np.split(n, edges))) if len(k)]
+        columns = zip(*parts)
+        return pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "once", "more", "n"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, _, raw, offs in slices(batch["text"]):
+                hashes, _, _ = shingle_sets(raw, offs)
+                held.append(hashes)
+                size += len(hashes)
+                if size >= COUNTED_AT_ONCE:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return emit
+
+
+def _totals(part: pa.Table) -> pa.Table:
+    """(shingle, n) of the shingles of a bucket that more than one text has."""
+    once, more, n = (np.frombuffer(b"".join(part[c].to_pylist()), kind) for c, kind in (("once", np.uint64), ("more", np.uint64), ("n", np.int64)))
+    once = np.sort(once)
+    first = np.flatnonzero(np.append(True, once[1:] != once[:-1])) if len(once) else np.zeros(0, np.int64)
+    keys, count = once[first], np.diff(np.append(first, len(once)))
+    known, at = np.unique(more, return_inverse=True)
+    total = np.bincount(at, n, len(known)).astype(np.int64)
+    if len(keys) and len(known):
+        place = np.minimum(np.searchsorted(keys, known), len(keys) - 1)
+        both = keys[place] == known
+        total[both] += count[place[both]]
+        count[place[both]] = 0
+    return pa.table({"shingle": np.concatenate([known, keys[count > 1]]).view(np.int64), "n": np.concatenate([total, count[count > 1]])})
+
+
+def shingle_counts(docs: DataFrame) -> DataFrame:
+    """(shingle, n) of all shingles that more than one document has, counted over all documents.
+
+    Nearly all shingles are seen once, so they travel in arrays by bucket of their hash and not as a row each. A bucket's share is bounded
+    by the number of buckets, which grows with the documents.
+    """
+    texts = ids_and_text(docs).select("text")
+    buckets = 1 << max(6, min(13, (docs.count() // 1024).bit_length()))
+    return texts.mapInArrow(_counted(buckets), "bucket int, once binary, more binary, n binary").groupBy("bucket").applyInArrow(_totals, "shingle long, n long")
 
 
 def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
@@ -60,8 +113,7 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
 
     Counts are exact over all documents. They order prefixes and decide no result.
     """
-    counts = ids_and_text(docs).select("text").mapInArrow(_shingles, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    top = most_frequent(counts, limit, "shingle-counts").toArrow()
+    top = most_frequent(shingle_counts(docs), limit, "shingle-counts").toArrow()
     order = np.lexsort((top["shingle"].to_numpy(), top["n"].to_numpy()))
     return top["shingle"].to_numpy()[order].view(np.uint64)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -252,6 +253,20 @@ def test_a_pair_is_made_in_its_first_common_list(spark):
     assert "arrays_overlap" in plan
 
 
+def test_shingle_counts_are_those_of_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 4, rng.integers(1, 40))) for _ in range(300)] + [None, "", "same words in every text " * 2]
+    monkeypatch.setattr(jaccard_join, "COUNTED_AT_ONCE", 200)
+    got = jaccard_join.shingle_counts(docs(spark, list(enumerate(texts))).repartition(3)).toPandas()
+    assert got.shingle.is_unique and got.n.min() > 1
+    sets = []
+    for text in texts:
+        words = (text or "").split()
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    counts = Counter(s for one in sets for s in one)
+    assert sorted(got.n) == sorted(n for n in counts.values() if n > 1)
+
+
 def test_frequent_shingles_are_counted_over_all_documents(spark):
     texts = [f"one{i // 2} two three four five{i // 2}" for i in range(60)] + [f"alone{i} two three four five" for i in range(10)]
     frequent = jaccard_join.frequent_shingles(docs(spark, list(enumerate(texts))))
