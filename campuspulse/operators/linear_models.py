@@ -166,14 +166,14 @@ def newton_sums(df: DataFrame, features: list[str], label: str, models: dict[int
     return {r[0]: np.array(r[1:], float) for r in wide.collect()}  # one row per model
 
 
-def logistic_by_fold(df: DataFrame, features: list[str], label: str = "failed", c: float = 1.0, steps: int = 25, tolerance: float = 1e-11) -> dict[int, np.ndarray]:
-    """(intercept, coefficients) of the balanced logistic model without each fold, and of all rows under ``ALL_ROWS``.
+def logistic_by_fold(df: DataFrame, features: list[str], label: str = "failed", c: float = 1.0, steps: int = 25, tolerance: float = 1e-11, whole: bool = True) -> dict[int, np.ndarray]:
+    """(intercept, coefficients) of the balanced logistic model without each fold, and with ``whole`` of all rows under ``ALL_ROWS``.
 
     Newton's method on c * Σ w loss + |coefficients|² / 2, with weights that balance the classes of each model's own rows. All models
     share each scan. Without one of the classes a model has no coefficients and an intercept of ±40.
     """
     counts = {(r.fold, r.y): r.n for r in df.groupBy("fold", F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    folds = [ALL_ROWS, *sorted({fold for fold, _ in counts})]
+    folds = [ALL_ROWS][:whole] + sorted({fold for fold, _ in counts})
     weights = {m: class_weights(counts, m) for m in folds}
     p = len(features) + 1
     done = {m: np.concatenate([[40.0 if w[1] else -40.0], np.zeros(p - 1)]) for m, w in weights.items() if 0.0 in w}
@@ -196,6 +196,6 @@ def logistic_by_fold(df: DataFrame, features: list[str], label: str = "failed",
 
 def logistic_out_of_fold(df: DataFrame, features: list[str], label: str = "failed", c: float = 1.0) -> DataFrame:
     """``probability`` (ten digits) and ``prediction`` of every row by the model of the other folds."""
-    score = per_fold(df, features, logistic_by_fold(df, features, label, c))
+    score = per_fold(df, features, logistic_by_fold(df, features, label, c, whole=False))
     out = df.withColumn("probability", F.round(1 / (1 + F.exp(-score)), 10))
     return out.withColumn("prediction", (F.col("probability") > 0.5).cast("double"))
