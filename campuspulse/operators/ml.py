@@ -26,6 +26,7 @@ from campuspulse.operators.forests import forest_out_of_fold
 from campuspulse.operators.frames import zscore_within
 from campuspulse.operators.ranks import attach_row, percentiles, sliced_row_number
 from campuspulse.operators.stats import auc
+from campuspulse.operators.trees import classifier_out_of_fold, fits
 
 SEED = 42
 
@@ -163,6 +164,10 @@ def out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame:
     """Each row predicted by the model fitted on the other folds; all folds are fitted side by side."""
     if isinstance(estimator, RandomForestRegressor):
         return forest_out_of_fold(df, estimator, fit_together, k)
+    if fits(estimator):
+        found = classifier_out_of_fold(df, estimator, k)
+        if found is not None:
+            return found
     ready = fitted_input(df)
     try:
         models = fit_together(df.sparkSession, [lambda i=i: estimator.fit(ready.where(F.col("fold") != i)) for i in range(k)])
