@@ -31,11 +31,14 @@ def byte_symbols() -> dict[str, int]:
 def char_classes() -> np.ndarray:
     """Class of each code point: white space, letter, number or other."""
     table = np.full(0x110000, OTHER, np.uint8)
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        for m in regex.finditer(f"{pattern}+", every):
-            table[points[m.start()]: points[m.end() - 1] + 1] = kind
+    step = 0x800  # in parts, as every worker makes this table; the surrogates are one part
+    for first in range(0, 0x110000, step):
+        if first == 0xD800:
+            continue
+        part = "".join(map(chr, range(first, first + step)))
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+            for m in regex.finditer(f"{pattern}+", part):
+                table[first + m.start(): first + m.end()] = kind
     table[0x1C:0x20] = OTHER  # separators that only some engines count as blanks
     return table
 

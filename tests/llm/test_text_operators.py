@@ -6,6 +6,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import base_pii, docs, jaccard_components, shingles
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from campuspulse.llm import boosting, bpe, chat_format, license_rules, license_scan, pii, quality_crf
 from campuspulse.llm.bpe_lexicon import minimal_automaton
+from campuspulse.llm.common import bounded_batches
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -271,6 +273,25 @@ def test_pipeline_stages_keep_columns_and_survive_odd_rows(spark):
             out.collect()
 
 
+def test_pipeline_stages_run_in_small_batches_when_the_caller_writes_them(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, some = spark.conf.get(key), docs(spark, [(1, "some good text here now")])
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, "10000")
+            stage(spark, some, SF01)
+            assert max(r.n for r in spark.range(0, 1500, 1, 1).mapInArrow(sizes, "n long").collect()) <= 500, name
+        spark.conf.set(key, "100")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_redaction_keeps_columns_named_like_its_own(spark):
     d = docs(spark, [(1, "mail a.b@c.example now"), (2, None)]).selectExpr("*", "'x' as base", "7 as candidates", "8 as spans")
     forest = pii.fit(pii.proposals(d.limit(0)))
