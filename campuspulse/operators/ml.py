@@ -26,7 +26,7 @@ from campuspulse.operators.forests import forest_out_of_fold
 from campuspulse.operators.frames import zscore_within
 from campuspulse.operators.ranks import attach_row, percentiles, sliced_row_number
 from campuspulse.operators.stats import auc
-from campuspulse.operators.trees import classifier_out_of_fold, fits
+from campuspulse.operators.trees import classifier_out_of_fold, fits, regressor_out_of_fold
 
 SEED = 42
 
@@ -165,6 +165,8 @@ def out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame:
     if isinstance(estimator, RandomForestRegressor):
         return forest_out_of_fold(df, estimator, fit_together, k)
     if fits(estimator):
+        if isinstance(estimator, GBTRegressor):
+            return regressor_out_of_fold(df, estimator, k)
         found = classifier_out_of_fold(df, estimator, k)
         if found is not None:
             return found

@@ -1,4 +1,4 @@
-"""Tree classifiers of all folds at once, grown level by level from histograms.
+"""Tree classifiers and boosted regressors of all folds at once, grown level by level from histograms.
 
 Spark's trainer walks rows one at a time, for each fold and tree apart. Here rows are kept as blocks of feature codes, and one job per level
 sums the histograms of the open nodes of all folds and trees over all blocks. The rules are those of Spark's trainer: cut points, impurity,
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ ROWS_PER_TASK = 10_000
 BLOCK_ROWS = 50_000
 EXACT_ROWS = 10_000
 ROUNDS_KEPT = 25
+DRIVER_BYTES = 1 << 25
 NONE = 1e-12
 
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # feature, cut, left child, value of each node
@@ -91,10 +93,10 @@ def _packer(cuts: list[list[np.ndarray]]):
     return emit
 
 
-def opened(block, k: int) -> tuple[np.ndarray, ...]:
-    """(row, fold, y, w, codes by model and feature) of a block."""
+def opened(block, k: int, kind: type = np.int32) -> tuple[np.ndarray, ...]:
+    """(row, fold, y, w, codes by model and feature) of a block whose targets are of ``kind``."""
     row = np.frombuffer(block["row"], np.int64)
-    return (row, np.frombuffer(block["fold"], np.int32), np.frombuffer(block["y"], np.int32), np.frombuffer(block["w"], np.float64),
+    return (row, np.frombuffer(block["fold"], np.int32), np.frombuffer(block["y"], kind), np.frombuffer(block["w"], np.float64),
             np.frombuffer(block["code"], np.uint8).reshape(k, -1, len(row)))
 
 
@@ -128,13 +130,14 @@ def seed_rows(number: np.ndarray, value: np.ndarray) -> Tree:
 # --- boosting -----------------------------------------------------------------------------------
 
 
-def _boosting_parts(k: int):
-    """The training rows of each model of a block, with a margin of zero."""
+def _boosting_parts(k: int, squared: bool):
+    """The training rows of each model of a block, with a margin of zero; classes become -1 and 1."""
     def parts(block):
-        _, fold, y, w, code = opened(block, k)
+        _, fold, y, w, code = opened(block, k, np.float64 if squared else np.int32)
+        s = y if squared else 2.0 * y - 1.0
         for m in range(k):
             use = fold != m
-            yield m, code[m][:, use], 2.0 * y[use] - 1.0, w[use], np.zeros(int(use.sum()))
+            yield m, code[m][:, use], s[use], w[use], np.zeros(int(use.sum()))
 
     return parts
 
@@ -147,8 +150,11 @@ def _advanced(trees: dict[int, Tree], rate: float, depth: int):
     return step
 
 
-def _level_sums(trees: dict[int, Tree], asked: dict[int, list[int]], level: int, first: bool, bins: int):
-    """(model, sums): weights and weighted targets of the asked nodes by feature and code, over the parts of a task."""
+def _level_sums(trees: dict[int, Tree], asked: dict[int, list[int]], level: int, first: bool, bins: int, squared: bool):
+    """(model, sums): weights and weighted targets of the asked nodes by feature and code, over the parts of a task.
+
+    The first tree fits the targets, the others the falling gradient of the squared error or the logistic loss.
+    """
     def run(parts):
         sums: dict[int, np.ndarray] = {}
         for m, code, s, w, margin in parts:
@@ -156,6 +162,8 @@ def _level_sums(trees: dict[int, Tree], asked: dict[int, list[int]], level: int,
                 continue
             if first:
                 t = s
+            elif squared:
+                t = 2 * (s - margin)
             else:
                 with np.errstate(over="ignore"):
                     t = 4 * s / (1 + np.exp(2 * s * margin))
@@ -187,12 +195,22 @@ def best_cut(h: np.ndarray) -> tuple[int, int, np.ndarray] | None:
     return int(f), int(c), np.array([[y[f, c] / w[f, c], (total - y[f, c]) / (weight - w[f, c])], [w[f, c], weight - w[f, c]]])
 
 
-def _boosted_trees(state: RDD, k: int, depth: int, first: bool, bins: int) -> dict[int, Tree]:
+def _added(sums: RDD, k: int, size: int) -> dict[int, np.ndarray]:
+    """The sums of each model over all tasks, of ``size`` bytes a task. The driver adds them up itself where all are few: that saves a shuffle on each level."""
+    if size * sums.getNumPartitions() > DRIVER_BYTES:
+        return dict(sums.reduceByKey(np.add, k).collect())
+    total: dict[int, np.ndarray] = {}
+    for m, own in sums.collect():
+        total[m] = total[m] + own if m in total else own
+    return total
+
+
+def _boosted_trees(state: RDD, k: int, width: int, depth: int, first: bool, bins: int, squared: bool) -> dict[int, Tree]:
     """The next tree of every model. Sums are taken for the lighter child of a node; the other child has the rest of its parent's."""
     trees = {m: seed_tree(0.0) for m in range(k)}
     asked, derived, held = {m: [0] for m in range(k)}, {m: [] for m in range(k)}, {}
     for level in range(depth):
-        sums = dict(state.mapPartitions(_level_sums(trees, asked, level, first, bins)).reduceByKey(np.add, k).collect())
+        sums = _added(state.mapPartitions(_level_sums(trees, asked, level, first, bins, squared)), k, 16 * bins * width * sum(map(len, asked.values())))
         new_asked, new_derived, new_held = {m: [] for m in range(k)}, {m: [] for m in range(k)}, {}
         for m, own in sums.items():
             h = {node: own[:, :, i * bins:(i + 1) * bins] for i, node in enumerate(asked[m])}
@@ -216,13 +234,13 @@ def _boosted_trees(state: RDD, k: int, depth: int, first: bool, bins: int) -> di
     return trees
 
 
-def _boosted(blocks: DataFrame, estimator: GBTClassifier, k: int, bins: int) -> list[list[tuple[float, Tree]]]:
+def _boosted(blocks: DataFrame, estimator: GBTClassifier | GBTRegressor, k: int, width: int, bins: int) -> list[list[tuple[float, Tree]]]:
     """The steps of each model. Margins are kept from round to round; their lineage is cut every ``ROUNDS_KEPT`` rounds."""
-    depth, rounds = estimator.getMaxDepth(), estimator.getMaxIter()
+    depth, rounds, squared = estimator.getMaxDepth(), estimator.getMaxIter(), isinstance(estimator, GBTRegressor)
     steps: list[list[tuple[float, Tree]]] = [[] for _ in range(k)]
-    state, old = blocks.rdd.flatMap(_boosting_parts(k)).persist(StorageLevel.MEMORY_AND_DISK), None
+    state, old = blocks.rdd.flatMap(_boosting_parts(k, squared)).persist(StorageLevel.MEMORY_AND_DISK), None
     for r in range(rounds):
-        trees = _boosted_trees(state, k, depth, r == 0, bins)
+        trees = _boosted_trees(state, k, width, depth, r == 0, bins, squared)
         if old is not None:
             old.unpersist()
         rate = estimator.getStepSize() if r else 1.0
@@ -258,7 +276,7 @@ def drawn(row: np.ndarray, seed: int, key: int, table: np.ndarray) -> np.ndarray
     return table[mix(row.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + start) >> np.uint64(48)]
 
 
-def _tried(seed: int, key: int, level: int, nodes: int, width: int, subset: int) -> np.ndarray:
+def tried_features(seed: int, key: int, level: int, nodes: int, width: int, subset: int) -> np.ndarray:
     return np.argsort(np.random.default_rng([seed & 0xFFFFFFFF, key, level]).random((nodes, width)), axis=1)[:, :subset].T
 
 
@@ -280,7 +298,7 @@ def _forest_sums(shared, seed: int, trees_each: int, subset: int, bins: int, lev
                 number[nodes] = np.arange(len(nodes))
                 counts = np.zeros((subset, len(nodes) * bins * 2))
                 for row, y, code in own:
-                    tried = _tried(seed, key, level, len(nodes), len(code), subset)
+                    tried = tried_features(seed, key, level, len(nodes), len(code), subset)
                     often = drawn(row, seed, key, table)
                     rows = np.flatnonzero(often)
                     at = number[reached(code, tree, level, rows)]
@@ -323,7 +341,7 @@ def _forest_best(seed: int, subset: int, bins: int, level: int, width: int, weig
         for key, counts in sums.items():
             nodes = counts.shape[1] // (2 * bins)
             counts = counts.reshape(subset, nodes, bins, 2)
-            tried = _tried(seed, key, level, nodes, width, subset)
+            tried = tried_features(seed, key, level, nodes, width, subset)
             yield key, counts[0].sum(axis=1), *forest_splits(counts, tried, weights, leaf)
 
     return run
@@ -370,7 +388,7 @@ def _forest(blocks: DataFrame, estimator: RandomForestClassifier, weights: np.nd
 # --- predictions --------------------------------------------------------------------------------------
 
 
-def _predicted(shared, k: int, depth: int, boosted: bool):
+def _predicted(shared, k: int, depth: int, boosted: bool, squared: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         for batch in batches:
@@ -381,6 +399,9 @@ def _predicted(shared, k: int, depth: int, boosted: bool):
                     total = np.zeros(len(held))
                     for rate, tree in models[m]:
                         total += rate * tree[3][reached(code[m], tree, depth, held)]
+                    if squared:
+                        yield pa.RecordBatch.from_arrays([pa.array(row[held]), pa.array(total)], names=["_row", "prediction"])
+                        continue
                     with np.errstate(over="ignore"):
                         p = 1 / (1 + np.exp(-2 * total)) if boosted else total
                     names = ["_row", "probability", "prediction"]
@@ -399,32 +420,59 @@ def class_weights(rows: DataFrame) -> np.ndarray | None:
 
 def fits(estimator) -> bool:
     """Whether the estimator is one whose rules are followed here: no sampling of its own, no validation, no limits on gain."""
-    if not isinstance(estimator, GBTClassifier | RandomForestClassifier):
+    if not isinstance(estimator, GBTClassifier | GBTRegressor | RandomForestClassifier):
         return False
     same = estimator.getMaxBins() <= 256 and estimator.getMinInfoGain() == 0 and estimator.getMinWeightFractionPerNode() == 0 and estimator.getSubsamplingRate() == 1
-    if isinstance(estimator, GBTClassifier):
+    if isinstance(estimator, GBTRegressor) and estimator.getLossType() != "squared":
+        return False
+    if not isinstance(estimator, RandomForestClassifier):
         return same and estimator.getMinInstancesPerNode() == 1 and estimator.getFeatureSubsetStrategy() == "all" and not estimator.isSet("validationIndicatorCol")
     return same and estimator.getFeatureSubsetStrategy() == "auto" and estimator.getImpurity() == "gini" and estimator.getBootstrap()
 
 
+def _numbered(df: DataFrame, estimator, kind: str) -> tuple[DataFrame, DataFrame]:
+    """The frame with a number for each row, and what models read of its rows in folds."""
+    ready = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    weight = F.col(estimator.getWeightCol()).cast("double") if estimator.isSet("weightCol") else F.lit(1.0)
+    return ready, ready.where("fold is not null").select(
+        "_row", F.col("fold").cast("int").alias("fold"), F.col(estimator.getLabelCol()).cast(kind).alias("y"), weight.alias("w"), vector_to_array("features").alias("x"))
+
+
+def _blocks(rows: DataFrame, n: int, width: int, k: int, bins: int) -> DataFrame:
+    cuts = cut_points(rows, n, width, k, bins)
+    tasks = max(1, min(n // ROWS_PER_TASK + 1, rows.sparkSession.sparkContext.defaultParallelism * 4))
+    return materialise(rows.repartition(tasks).mapInArrow(_packer(cuts), "row binary, fold binary, y binary, w binary, code binary"))
+
+
 def classifier_out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame | None:
     """Each row with ``probability`` and ``prediction`` of the model of the other folds; None where a forest's weights are not those of classes."""
     spark, boosted = df.sparkSession, isinstance(estimator, GBTClassifier)
-    ready = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    weight = F.col(estimator.getWeightCol()).cast("double") if estimator.isSet("weightCol") else F.lit(1.0)
-    rows = ready.where("fold is not null").select(
-        "_row", F.col("fold").cast("int").alias("fold"), F.col(estimator.getLabelCol()).cast("int").alias("y"), weight.alias("w"), vector_to_array("features").alias("x"))
+    ready, rows = _numbered(df, estimator, "int")
     weights = None if boosted else class_weights(rows)
     if not boosted and weights is None:
         return None
     first = rows.first()
     if first is None:
         return ready.withColumns({"probability": F.lit(None).cast("double"), "prediction": F.lit(None).cast("double")}).drop("features", "_row").limit(0)
-    width, n, bins = len(first.x), rows.count(), estimator.getMaxBins()
-    cuts = cut_points(rows, n, width, k, bins)
-    tasks = max(1, min(n // ROWS_PER_TASK + 1, spark.sparkContext.defaultParallelism * 4))
-    blocks = materialise(rows.repartition(tasks).mapInArrow(_packer(cuts), "row binary, fold binary, y binary, w binary, code binary"))
-    models = _boosted(blocks, estimator, k, bins) if boosted else _forest(blocks, estimator, weights, k, width, bins)
+    width, bins = len(first.x), estimator.getMaxBins()
+    blocks = _blocks(rows, rows.count(), width, k, bins)
+    models = _boosted(blocks, estimator, k, width, bins) if boosted else _forest(blocks, estimator, weights, k, width, bins)
     shared = spark.sparkContext.broadcast(models)
-    held = blocks.mapInArrow(_predicted(shared, k, estimator.getMaxDepth(), boosted), "_row long, probability double, prediction double")
+    held = blocks.mapInArrow(_predicted(shared, k, estimator.getMaxDepth(), boosted, False), "_row long, probability double, prediction double")
+    return ready.join(held, "_row").drop("features", "_row")
+
+
+def regressor_out_of_fold(df: DataFrame, estimator: GBTRegressor, k: int = 5) -> DataFrame:
+    """Each row with the ``prediction`` of the boosted trees of the other folds."""
+    ready, rows = _numbered(df, estimator, "double")
+    first = rows.first()
+    if first is None:
+        return ready.withColumn("prediction", F.lit(None).cast("double")).drop("features", "_row").limit(0)
+    n, unknown = rows.agg(F.count("*"), F.count_if(F.col("y").isNull() | F.isnan("y"))).first()
+    if unknown:
+        raise ValueError(f"{estimator.getLabelCol()} is null or NaN in {unknown} rows")
+    width, bins = len(first.x), estimator.getMaxBins()
+    blocks = _blocks(rows, n, width, k, bins)
+    shared = df.sparkSession.sparkContext.broadcast(_boosted(blocks, estimator, k, width, bins))
+    held = blocks.mapInArrow(_predicted(shared, k, estimator.getMaxDepth(), True, True), "_row long, prediction double")
     return ready.join(held, "_row").drop("features", "_row")

@@ -36,6 +36,33 @@ def test_boosting_is_that_of_sparks_trainer(planted, monkeypatch):
     assert np.corrcoef(got.probability, want.probability)[0, 1] > 0.98
 
 
+def test_boosted_regressors_are_those_of_sparks_trainer(planted, monkeypatch):
+    model = ml.boosted_regressor(rounds=5, depth=3, target="grade")
+    df = planted.withColumn("grade", 50 + 9 * F.col("a") + 4 * F.sin(3 * F.col("b")))
+    want = by_spark(df, model, monkeypatch)
+    # No fold is fitted by a chain of jobs of its own.
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda *a: pytest.fail("fitted row by row"))
+    got = ml.out_of_fold(df, model).orderBy("user_id").toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert np.mean(np.isclose(got.prediction, want.prediction, atol=1e-6)) > 0.9
+    assert np.corrcoef(got.prediction, want.prediction)[0, 1] > 0.99
+
+
+def test_boosted_regressors_without_rows_or_targets(planted):
+    model = ml.boosted_regressor(rounds=2, target="grade")
+    assert ml.out_of_fold(planted.withColumn("grade", F.lit(1.0)).limit(0), model).count() == 0
+    assert {r.prediction for r in ml.out_of_fold(planted.withColumn("grade", F.lit(3.0)), model).collect()} == {3.0}
+    with pytest.raises(Exception, match="null or NaN"):
+        ml.out_of_fold(planted.withColumn("grade", F.when(F.col("user_id") > 3, 1.0)), model)
+
+
+def test_sums_of_few_bytes_need_no_shuffle(spark, monkeypatch):
+    parts = spark.sparkContext.parallelize([(m, np.array([m, 1.0])) for m in (0, 1, 0, 1, 0)], 3)
+    for most in (1 << 25, 0):
+        monkeypatch.setattr(trees, "DRIVER_BYTES", most)
+        assert {m: v.tolist() for m, v in trees._added(parts, 2, 16).items()} == {0: [0.0, 3.0], 1: [2.0, 2.0]}
+
+
 def test_forests_agree_with_sparks_trainer_within_chance(planted, monkeypatch):
     model = ml.forest(trees=40, depth=6, leaf=5)
     want = by_spark(planted, model, monkeypatch)
