@@ -165,9 +165,7 @@ def out_of_fold(df: DataFrame, estimator, k: int = 5) -> DataFrame:
     if isinstance(estimator, RandomForestRegressor):
         return forest_out_of_fold(df, estimator, fit_together, k)
     if fits(estimator):
-        if isinstance(estimator, GBTRegressor):
-            return regressor_out_of_fold(df, estimator, k)
-        found = classifier_out_of_fold(df, estimator, k)
+        found = (regressor_out_of_fold if isinstance(estimator, GBTRegressor) else classifier_out_of_fold)(df, estimator, k)
         if found is not None:
             return found
     ready = fitted_input(df)

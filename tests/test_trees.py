@@ -40,6 +40,7 @@ def test_boosted_regressors_are_those_of_sparks_trainer(planted, monkeypatch):
     model = ml.boosted_regressor(rounds=5, depth=3, target="grade")
     df = planted.withColumn("grade", 50 + 9 * F.col("a") + 4 * F.sin(3 * F.col("b")))
     want = by_spark(df, model, monkeypatch)
+    monkeypatch.setattr(trees, "TRAINER_ROWS", 100, raising=False)
     # No fold is fitted by a chain of jobs of its own.
     monkeypatch.setattr(ml.GBTRegressor, "fit", lambda *a: pytest.fail("fitted row by row"))
     got = ml.out_of_fold(df, model).orderBy("user_id").toPandas()
@@ -48,14 +49,20 @@ def test_boosted_regressors_are_those_of_sparks_trainer(planted, monkeypatch):
     assert np.corrcoef(got.prediction, want.prediction)[0, 1] > 0.99
 
 
-def test_boosted_regressors_without_rows_or_targets(planted):
+def test_boosted_regressors_of_one_target_or_unknown_ones(planted, monkeypatch):
+    monkeypatch.setattr(trees, "TRAINER_ROWS", 100)
     model = ml.boosted_regressor(rounds=2, target="grade")
-    assert ml.out_of_fold(planted.withColumn("grade", F.lit(1.0)).limit(0), model).count() == 0
     assert {r.prediction for r in ml.out_of_fold(planted.withColumn("grade", F.lit(3.0)), model).collect()} == {3.0}
-    with pytest.raises(Exception, match="null or NaN"):
+    with pytest.raises(ValueError, match="null or NaN in 4 rows"):
         ml.out_of_fold(planted.withColumn("grade", F.when(F.col("user_id") > 3, 1.0)), model)
 
 
+def test_few_rows_leave_boosted_regressors_to_sparks_trainer(planted):
+    df, model = planted.withColumn("grade", F.col("a")), ml.boosted_regressor(rounds=2, target="grade")
+    assert trees.regressor_out_of_fold(df, model) is None
+    assert ml.out_of_fold(df, model).count() == planted.count()
+
+
 def test_sums_of_few_bytes_need_no_shuffle(spark, monkeypatch):
     parts = spark.sparkContext.parallelize([(m, np.array([m, 1.0])) for m in (0, 1, 0, 1, 0)], 3)
     for most in (1 << 25, 0):
