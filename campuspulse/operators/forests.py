@@ -44,10 +44,11 @@ NONE = 1e-12
 
 
 def cut_points(df: DataFrame, width: int) -> list[np.ndarray]:
-    """Ascending cut points of each entry of ``x``; one row of quantiles reaches the driver."""
+    """Ascending cut points of each entry of ``x``, each from a group of its own; one row of quantiles per entry reaches the driver."""
     at = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
-    row = df.agg(*[F.percentile_approx(F.col("x")[j], at, 10_000).alias(f"q{j}") for j in range(width)]).first()
-    return [np.unique(np.array(q if q is not None else [], float)) for q in row]
+    long = df.select(F.posexplode("x").alias("j", "v"))
+    found = {r.j: r.q for r in long.groupBy("j").agg(F.percentile_approx("v", at, 10_000).alias("q")).collect()}
+    return [np.unique(np.array(found.get(j) or [], float)) for j in range(width)]
 
 
 def _coder(cuts: list[np.ndarray]):
